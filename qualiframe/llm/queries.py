@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, urls
+from . import embeddings, line_dedup, media, mixing, ngram_join, urls
 from .scratch import Scratch
 from .words import word_count
 
@@ -24,6 +24,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_docs(spark, sf_dir))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = _docs(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))
     sized = Scratch(spark, "op4").save(sized, "sizes")
@@ -40,7 +52,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_url_filter, op10_matroska)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op10_matroska)}
 
 
 OP4_SQL = r"""
