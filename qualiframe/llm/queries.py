@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, line_dedup, media, mixing, ngram_join, urls
+from . import binary_packing, cutting_stock, embeddings, line_dedup, media, mixing, ngram_join, quality, suffix_dedup, urls
 from .scratch import Scratch
 from .words import word_count
 
@@ -24,6 +25,19 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """File of a public vocabulary; pass any other path to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return binary_packing.pack(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=50256, length=2048)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_docs(spark, sf_dir))
 
@@ -36,6 +50,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_docs(spark, sf_dir), span=50)
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda total, s: total + s["ends"] - s["starts"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2, length=4096, keep_ids=False)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = _docs(spark, sf_dir).select("doc_id", "source", word_count("text").alias("size"))
     sized = Scratch(spark, "op4").save(sized, "sizes")
@@ -52,7 +83,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op10_matroska)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska)}
 
 
 OP4_SQL = r"""

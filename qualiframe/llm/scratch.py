@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most bytes of a stored (compressed) table that is sent to every executor.
+BROADCAST_BYTES = 8 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -38,6 +42,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stored_bytes(self, name: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def broadcast_if_small(self, df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """``df``, the table saved as ``name``, marked for broadcast if its files are within the limit; else Spark shuffles for the join."""
+        return F.broadcast(df) if self.stored_bytes(name) <= limit else df
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads, and the shuffle files that only they needed."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
