@@ -80,7 +80,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5
     def payload(ids: DataFrame) -> DataFrame:
         """The text of one document of each class; of rows that share its id, the one with its set."""
         chosen = work.save(classes.join(ids, "id", "left_semi").select("id", "row_key"), "chosen")
-        texts = base.select("row_key", "text").join(chosen, "row_key").select("id", "text")
+        texts = base.select("row_key", "text").join(work.broadcast_if_small(chosen, "chosen"), "row_key").select("id", "text")
         return work.save(texts.mapInArrow(_same(n), "id long, payload string"), "texts")
 
     totals, labels = link(classes, payload, _ready(n), lambda sets: minhash.jaccard_links(sets, threshold), work)
