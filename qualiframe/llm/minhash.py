@@ -101,13 +101,16 @@ def windows(items: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarra
 
 def distinct(values: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's values sorted and once, and their number by text."""
-    owner = np.repeat(np.arange(len(number)), number)
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(owner[order].astype(np.int32), kind="stable")]
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], np.bincount(owner[new], minlength=len(number)).astype(np.int64)
+    out, ends = [], np.cumsum(number)
+    for lo, hi in zip((ends - number).tolist(), ends.tolist()):
+        one = np.sort(values[lo:hi])
+        if hi - lo > 1:
+            new = np.empty(hi - lo, bool)
+            new[0] = True
+            np.not_equal(one[1:], one[:-1], out=new[1:])
+            one = one[new]
+        out.append(one)
+    return (np.concatenate(out) if out else values), np.array([len(x) for x in out], np.int64)
 
 
 def fingerprints(values: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -203,8 +206,9 @@ def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     common = np.zeros((len(sets), len(sets)), np.float64)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    width = max(256, 4_000_000 // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(256, 4_000_000 // len(sets)))
+    for at in range(0, columns, max(1, width)):
         lo, hi = np.searchsorted(column, [at, at + width])
         block = np.zeros((len(sets), width), np.float32)
         block[owner[lo:hi], column[lo:hi] - at] = 1
