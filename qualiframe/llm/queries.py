@@ -82,8 +82,14 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_texts(_docs(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, pipeline)}
 
 
 OP4_SQL = r"""
