@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .scratch import Scratch
-from .tokens import WordTokens
+from .tokens import word_tokens
 
 UNIT, SALT_ROWS = 16, 4096
 
@@ -133,7 +133,7 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
 
 def _cut(vocabulary: str, end_id: int, length: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = WordTokens(vocabulary), np.array([end_id], "<u4").tobytes()
+        model, end = word_tokens(vocabulary), np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
         for batch in batches:
