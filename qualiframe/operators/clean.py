@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .. import config as C
 from ..functions import expr as E
@@ -168,8 +169,15 @@ FIXES = (
 )
 
 
+_TEXT_FIXES = ("trim_whitespace", "collapse_internal_spaces", "remove_non_printable", "nullify_blank_and_placeholders")
+
+
 def apply_fixes(df: DataFrame, profiles: list[ColumnProfile], chosen: list[str]) -> Fixed:
-    """The chosen fixes in registry order; those that change nothing are reported as skipped only by their empty audit."""
+    """The chosen fixes in registry order; those not chosen are reported as skipped.
+
+    Text fixes nest expressions, and what follows reads each cell many times, so their result is
+    persisted once (memory, then disk; a lost part is computed again).
+    """
     out = Fixed(df, _no_audit(df))
     names = {p.original_name: p.original_name for p in profiles}
     for fix in FIXES:
@@ -177,6 +185,8 @@ def apply_fixes(df: DataFrame, profiles: list[ColumnProfile], chosen: list[str])
             out.skipped.append(fix.fix_id)
             continue
         before = data_columns(out.df)
+        if out.applied and out.applied[-1] in _TEXT_FIXES and fix.fix_id not in _TEXT_FIXES:
+            out.df = out.df.persist(StorageLevel.MEMORY_AND_DISK)
         out.df, audit, notes = fix.run(out.df, [_renamed(p, names) for p in profiles])
         if fix.fix_id == "normalize_columns":  # later fixes know columns by their new names
             renamed = new_names(before)

@@ -49,6 +49,7 @@ class Session:
         base = self.fixed.df if self.fixed else self.before.df
         run = clean.apply_fixes(base, self.before.profiles, fixes)
         self.fixed = clean.merge(self.fixed, run) if self.fixed else run
+        self.fixed.df = self.fixed.df.persist()
         self.after = analyze(self.fixed.df, **options)
         return self
 

@@ -302,7 +302,8 @@ ISSUE_COLUMNS = ["issue_type", "severity", "confidence", "column_name", "row_ind
 
 
 def analysis(s: SparkSession, d: str) -> engine.Analysis:
-    return engine.analyze(messy(s, d), now=NOW)
+    # Derived, small and read by several passes; equal plans share one cached copy.
+    return engine.analyze(messy(s, d).persist(), now=NOW)
 
 
 def cleaned(s: SparkSession, d: str) -> engine.Session:
@@ -655,7 +656,7 @@ def fix_apply_selected(s, d):
 
 @query()
 def fix_preview(s, d):
-    return clean.preview_fixes(messy(s, d), _with_types(ALL_COLUMNS))
+    return clean.preview_fixes(messy(s, d).persist(), _with_types(ALL_COLUMNS))
 
 
 QUERIES["fix_text_base"], SQL["fix_text_base"] = QUERIES["fix_trim_whitespace"], SQL["fix_trim_whitespace"]
