@@ -107,7 +107,7 @@ def distinct_aggregates(values: DataFrame) -> DataFrame:
     written = E.strip(v) != ""
 
     def rate(test: Column) -> Column:
-        return F.sum(F.when(written & test, F.col("n")).otherwise(0)) / F.sum(F.when(written, F.col("n")).otherwise(0))
+        return F.try_divide(F.sum(F.when(written & test, F.col("n")).otherwise(0)), F.sum(F.when(written, F.col("n")).otherwise(0)))
 
     shaped = values.withColumn("shape", F.when(written, E.signature(E.strip(v)))).withColumn("digits", F.length(F.regexp_replace(v, r"(?:\.0*)?$|^-", "")))
     shares = shaped.groupBy("column", "shape").agg(F.sum("n").alias("k")).filter("shape is not null").groupBy("column").agg((F.max("k") / F.sum("k")).alias("shape_share"))

@@ -50,9 +50,9 @@ def read_sheet(data: bytes, sheet: str | None = None) -> Iterator[list[object]]:
                     dated.add(i)
         width = 0
         for row in ET.fromstring(z.read(path)).iterfind("m:sheetData/m:row", _NS):
-            cells: list[object] = [None] * width
+            cells: list[object] = []
             for c in row.iterfind("m:c", _NS):
-                at = _column(c.get("r")) if c.get("r") else len(cells)
+                at = _column(c.get("r")) if c.get("r") else len(cells)  # a cell without a place follows the one before
                 cells += [None] * (at + 1 - len(cells))
                 v, kind = c.find("m:v", _NS), c.get("t")
                 if kind == "inlineStr":
@@ -68,7 +68,7 @@ def read_sheet(data: bytes, sheet: str | None = None) -> Iterator[list[object]]:
                         number = float(v.text)
                         cells[at] = datetime(1899, 12, 30) + timedelta(days=number) if int(c.get("s", -1)) in dated else number
             width = max(width, len(cells))
-            yield cells
+            yield cells + [None] * (width - len(cells))
 
 
 def write_sheet(header: list[str], rows: Iterable[Iterable[object]], name: str = "Cleaned") -> bytes:

@@ -33,7 +33,8 @@ def row_findings(stream: DataFrame, profiles: list[profile.ColumnProfile], now:
 
 def windowed_counts(findings: DataFrame, time: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Findings by window and type; rows later than the watermark are dropped by Spark."""
-    return findings.withWatermark(time, late).groupBy(F.window(time, width), F.col("finding.issue_type").alias("issue_type")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "issue_type", "n")
+    # Watermarks need a timestamp with time zone; one without is read in the session's.
+    return findings.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), F.col("finding.issue_type").alias("issue_type")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "issue_type", "n")
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
