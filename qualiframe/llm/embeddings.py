@@ -116,7 +116,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def leaves(members: DataFrame, work: Scratch, threshold: float, trees: int, leaf: int) -> DataFrame:
-    """(id, keys): the leaves of every tree that hold a member of (id, label, vector)."""
+    """(id, key): the leaves of every tree that hold a member of (id, label, vector)."""
     root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("label").cast("string"), F.length("vector")) for t in range(trees)]))
     rows = members.select("id", root.alias("node"), "vector", F.lit(False).alias("tight"))
     done, old = [], []
@@ -138,7 +138,7 @@ def leaves(members: DataFrame, work: Scratch, threshold: float, trees: int, leaf
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    return every.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("keys"))
+    return every.withColumnRenamed("node", "key")
 
 
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -150,7 +150,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     units = work.save(units.withColumn("id", ident), "units")
     members = units.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     members = work.save(members, "members")
-    keyed = work.save(leaves(members, work, threshold, trees, leaf).join(members.select("id", "w"), "id"), "keyed")
+    keyed = leaves(members, work, threshold, trees, leaf)
 
     def prepare(payloads: pa.Array) -> list[np.ndarray]:
         return [np.frombuffer(p, np.float64) for p in payloads.to_pylist()]
@@ -161,7 +161,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         np.fill_diagonal(links, False)
         return links
 
-    totals, labels = link(keyed, lambda ids: members.select("id", F.col("vector").alias("payload")), prepare, verify, work)
+    totals, labels = link(keyed, members, lambda ids: members.select("id", F.col("vector").alias("payload")), prepare, verify, work)
     totals, labels = work.save(totals, "totals"), work.save(labels.withColumnRenamed("node", "id").withColumnRenamed("label", "root"), "labels")
     named = work.save(members.select("id", "w", "least").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
     roots = work.save(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")

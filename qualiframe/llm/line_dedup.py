@@ -117,10 +117,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     base = docs.select(row_key.alias("row_key"), F.col(text).alias("text"))
     lines = work.save(base.mapInArrow(_lines(shingle, bands, rows), "row_key long, line int, id long, keys array<long>"), "lines")
-    classes = lines.groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("row_key", "line")).alias("first"), F.first("keys").alias("keys"))
+    classes = lines.groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("row_key", "line")).alias("first"))
     classes = work.save(classes, "classes")
-    lines = work.save(lines.select("row_key", "line", "id"), "places")
-    work.drop("lines")
 
     def payload(ids: DataFrame) -> DataFrame:
         chosen = classes.join(ids, "id", "left_semi").select("id", "first.*").groupBy("row_key").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
@@ -129,15 +127,15 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
         work.release()
         return texts
 
-    _, labels = link(classes, payload, _ready(shingle), lambda sets: minhash.jaccard_links(sets, threshold), work)
+    _, labels = link(lines.select("id", F.explode("keys").alias("key")), classes, payload, _ready(shingle), lambda sets: minhash.jaccard_links(sets, threshold), work)
     labels = work.save(labels.withColumnRenamed("node", "id"), "labels")
     named = classes.select("id", "w", "first").join(labels, "id", "left").filter("w > 1 or label is not null").withColumn("label", F.coalesce("label", "id"))
     named = work.save(named, "named")
     kept = work.save(named.groupBy("label").agg(F.min("first").alias("kept")), "kept")
     told = work.save(named.join(kept, "label").select("id", "kept"), "told")
-    removed = lines.join(told, "id").filter("row_key <> kept.row_key or line <> kept.line")
+    removed = lines.select("row_key", "line", "id").join(told, "id").filter("row_key <> kept.row_key or line <> kept.line")
     removed = work.save(removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "id")).alias("_removed")), "removed")
-    work.drop("classes", "places", "buckets", "shared", "chosen", "texts", "links", "labels", "named", "kept", "told")
+    work.drop("lines", "classes", "shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "links", "labels", "named", "kept", "told")
 
     names = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     slots = [f"_c{i}" for i in range(len(names))]

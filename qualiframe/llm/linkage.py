@@ -93,18 +93,22 @@ def _groups(prepare: Prepare, verify: Verify):
     return run
 
 
-def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], prepare: Prepare, verify: Verify, work: Scratch, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """((id, links), (node, label)) for ``members`` (id, w, keys): total weight of a member's links, and components by smallest id.
+def link(flat: DataFrame, weights: DataFrame, payload: Callable[[DataFrame], DataFrame], prepare: Prepare, verify: Verify, work: Scratch, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """((id, links), (node, label)): total weight of a member's links, and components by smallest id.
 
-    ``payload`` gives (id, payload) for a table of ids; only members of shared buckets are asked for.
-    ``prepare`` turns payloads into arrays, ``verify`` arrays into a symmetric matrix of links.
-    Members without a link are in neither table.
+    ``flat`` has (id, key), repeats allowed, and ``weights`` (id, w) once each.  ``payload`` gives
+    (id, payload) for a table of ids; only members of shared buckets are asked for.  ``prepare`` turns
+    payloads into arrays, ``verify`` arrays into a symmetric matrix of links.  Members without a link
+    are in neither table.
     """
-    flat = members.select("id", F.explode("keys").alias("key"))
-    buckets = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("least")).filter("n > 1")
+    # Most keys belong to one member; two minima by key tell which do not, before anything is joined.
+    shared = flat.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    shared = work.save(shared, "shared_keys")
+    pairs = work.save(flat.join(work.broadcast_if_small(shared, "shared_keys"), "key").distinct(), "pairs")
+    buckets = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("id").alias("least"))
     kept = work.save(buckets.groupBy("n", "mark", "least").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    shared = flat.join(kept, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("of"))
-    shared = work.save(shared.join(members.select("id", "w"), "id"), "shared")
+    of = pairs.join(work.broadcast_if_small(kept, "buckets"), "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("of"))
+    shared = work.save(weights.select("id", "w").join(of, "id"), "shared")
     rows = shared.join(payload(shared.select("id")), "id").select("id", "w", "payload", F.col("of.key").alias("keys"), F.explode("of").alias("one"))
     blocks = F.ceil(F.col("one.n") / F.lit(float(block))).cast("int")
     rows = rows.select("id", "w", "payload", "keys", F.col("one.key").alias("key"), blocks.alias("blocks"))

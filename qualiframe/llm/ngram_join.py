@@ -74,7 +74,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     base = docs.select(F.col(key).cast("long").alias("doc_id"), row_key.alias("row_key"), F.col(text).alias("text"))
     signed = work.save(base.mapInArrow(_signed(n, bands, rows, threshold), "doc_id long, row_key long, id long, keys array<long>"), "signed")
-    classes = signed.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    classes = signed.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least"))
     classes = work.save(classes, "classes")
 
     def payload(ids: DataFrame) -> DataFrame:
@@ -83,12 +83,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5
         texts = base.select("row_key", "text").join(work.broadcast_if_small(chosen, "chosen"), "row_key").select("id", "text")
         return work.save(texts.mapInArrow(_same(n), "id long, payload string"), "texts")
 
-    totals, labels = link(classes, payload, _ready(n), lambda sets: minhash.jaccard_links(sets, threshold), work)
+    totals, labels = link(signed.select("id", F.explode("keys").alias("key")), classes, payload, _ready(n), lambda sets: minhash.jaccard_links(sets, threshold), work)
     totals, labels = work.save(totals, "totals"), work.save(labels.withColumnRenamed("node", "id"), "labels")
     named = work.save(classes.select("id", "w", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
     roots = work.save(named.groupBy("label").agg(F.min("least").alias("class_id")), "roots")
     told = work.save(named.join(roots, "label").join(totals, "id", "left").select("id", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("w") - 1).alias("copies")), "told")
-    work.drop("buckets", "shared", "chosen", "texts", "links", "classes", "named", "roots", "totals", "labels")
+    work.drop("shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "links", "classes", "named", "roots", "totals", "labels")
     out = signed.select("doc_id", "id").join(told, "id", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("copies", zero).alias("copies"))
