@@ -178,5 +178,48 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN key IN (SELECT a FROM
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), half AS (
+  SELECT c.a, c.b, x.n = c.c AND y.n = c.c AS same FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 10 * c.c >= 8 * (x.n + y.n - c.c)
+), e AS (
+  SELECT a, b, same FROM half UNION ALL SELECT b, a, same FROM half
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b
+), class AS (
+  SELECT a, min(b) AS class_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies FROM e GROUP BY a
+)
+SELECT d.doc_id, class.class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 0) AS copies
+FROM documents d JOIN class ON class.a = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), half AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), e AS (
+  SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b
+), part AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n_links FROM e GROUP BY a
+)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN part ON part.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL}
