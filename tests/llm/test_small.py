@@ -428,3 +428,11 @@ def test_media_columns(docs, none):
     packets = media.packet_table(media.encode_texts(docs))
     assert packets.count() == sum(n[2] // 192 * k for n, k in wanted.items())
     assert media.describe_texts(none).count() == 0
+
+
+def test_jaccard_links_in_ranges():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 300_000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(base[rng.random(len(base)) < keep]) for keep in (0.95, 0.95, 0.5)]
+    links = minhash.jaccard_links(sets, 0.8)
+    assert links.tolist() == [[False, True, False], [True, False, False], [False, False, False]]
