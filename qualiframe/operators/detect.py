@@ -209,25 +209,35 @@ def value_findings(df: DataFrame, flagged: DataFrame, names: list[str]) -> DataF
     return rows.select("issue_type", F.when(low, "Low").otherwise("Medium").alias("severity"), confidence[F.col("issue_type")].alias("confidence"), F.col("column").alias("column_name"), F.col(C.ROW_ID).alias("row_index"), F.when(trimmed, E.strip(F.col("value"))).otherwise(F.col("value")).alias("current_value"), F.col("suggested").alias("suggested_value"))
 
 
-def repeated_rows(df: DataFrame) -> DataFrame:
-    """Row ids of rows that repeat an earlier one; null equals null and NaN equals NaN.
+def _repeats(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows whose hash is not alone, and the first row and size of each group of equal rows among them.
 
-    A grouping with partial minima, then a join back: a row that makes up much of the table is not
-    gathered in one task.
+    Only hashes are shuffled for all rows; whole rows travel for those that share one.  Partial
+    minima and a join back mean that a row that makes up much of the table is not gathered in one task.
     """
     names = data_columns(df)
-    slots = df.select(F.col(C.ROW_ID), F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("whole")).withColumn("hash", F.xxhash64("whole"))
-    first = slots.groupBy("hash", "whole").agg(F.min(C.ROW_ID).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("h"), F.col("whole").alias("w"), "first")
-    return slots.join(first, (F.col("hash") == F.col("h")) & F.col("whole").eqNullSafe(F.col("w"))).filter(F.col(C.ROW_ID) > F.col("first")).select(C.ROW_ID)
+    whole = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    slots = df.select(F.col(C.ROW_ID), whole.alias("whole"), F.xxhash64(*[F.col(f"`{n}`") for n in names]).alias("hash"))
+    often = slots.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("hash")
+    rows = slots.join(often, "hash")
+    groups = rows.groupBy("hash", "whole").agg(F.min(C.ROW_ID).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows, groups
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Row ids of rows that repeat an earlier one; null equals null and NaN equals NaN."""
+    rows, groups = _repeats(df)
+    first = groups.select(F.col("hash").alias("h"), F.col("whole").alias("w"), "first")
+    return rows.join(first, (F.col("hash") == F.col("h")) & F.col("whole").eqNullSafe(F.col("w"))).filter(F.col(C.ROW_ID) > F.col("first")).select(C.ROW_ID)
 
 
-def duplicate_findings(df: DataFrame, total: int) -> DataFrame:
-    repeats = repeated_rows(df)
-    count = repeats.agg(F.count(F.lit(1)).alias("k"))
-    severity = E.ratio_severity(F.col("k") / F.lit(float(max(total, 1))), C.DUPLICATE_CUTOFFS)
+def duplicate_findings(df: DataFrame, total: int) -> DataFrame | None:
+    """Findings on repeated rows, or None if there are none."""
+    count = _repeats(df)[1].agg(F.sum(F.col("n") - 1)).first()[0]
+    if not count:
+        return None
     none = F.lit(None).cast("string")
-    # The count is one row; its join with the repeats is the broadcast of a single value.
-    return repeats.join(F.broadcast(count.select(severity.alias("severity")))).select(F.lit("exact_duplicate_row").alias("issue_type"), "severity", F.lit(1.0).alias("confidence"), none.alias("column_name"), F.col(C.ROW_ID).alias("row_index"), none.alias("current_value"), none.alias("suggested_value"))
+    return repeated_rows(df).select(F.lit("exact_duplicate_row").alias("issue_type"), F.lit(severity_of(count, total, C.DUPLICATE_CUTOFFS)).alias("severity"), F.lit(1.0).alias("confidence"), none.alias("column_name"), F.col(C.ROW_ID).alias("row_index"), none.alias("current_value"), none.alias("suggested_value"))
 
 
 # ---- all together ------------------------------------------------------------------------------
@@ -287,8 +297,8 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
             row_rules += date_findings(df, n, now)
 
     found = [explode_findings(df, row_rules), spark.createDataFrame(whole, FINDING)]
-    if names:
-        found.append(duplicate_findings(df, total))
+    if names and (repeats := duplicate_findings(df, total)) is not None:
+        found.append(repeats)
     text = [n for n in names if E.is_text(df, n)]
     spelled = [n for n in text if kinds[n] in (C.CATEGORICAL, C.IDENTIFIER, C.FREE_TEXT)]
     ids = [n for n in names if kinds[n] == C.IDENTIFIER]

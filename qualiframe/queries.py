@@ -462,10 +462,7 @@ def agg_examples(s, d):
     return found.select("value", (F.col("at") + 1).cast("long").alias("place"))
 
 
-_STATS = "min(x) AS min_value, max(x) AS max_value, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(coalesce(stddev_samp(x), 0), 4) AS std"
-
-
-@query("SELECT 'p_retailprice' AS column_name, " + _STATS.replace("x", "p_retailprice").replace("map_retailprice", "max").replace("(p_retailprice)", "(p_retailprice)").replace("map_retailprice_value", "max_value") + " FROM part" if False else "SELECT 'p_retailprice' AS column_name, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value, round(avg(CAST(p_retailprice AS DECIMAL(18, 6))), 2) AS mean, round(median(p_retailprice), 4) AS median FROM part UNION ALL SELECT 'c_acctbal', min(c_acctbal), max(c_acctbal), round(avg(CAST(c_acctbal AS DECIMAL(18, 6))), 2), round(median(c_acctbal), 4) FROM customer")
+@query("SELECT 'p_retailprice' AS column_name, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value, round(avg(CAST(p_retailprice AS DECIMAL(18, 6))), 2) AS mean, round(median(p_retailprice), 4) AS median FROM part UNION ALL SELECT 'c_acctbal', min(c_acctbal), max(c_acctbal), round(avg(CAST(c_acctbal AS DECIMAL(18, 6))), 2), round(median(c_acctbal), 4) FROM customer")
 def agg_numeric(s, d):
     out = None
     for t, c in (("part", "p_retailprice"), ("customer", "c_acctbal")):
@@ -739,9 +736,6 @@ def dash_melt(s, d):
     return compare.melt(compare.severities(*found(s, d)), "severity")
 
 
-_AUDIT = "SELECT row_index, issue_type AS cleaning_action, column_name FROM b"
-
-
 @query(f"{_BA} SELECT issue_type AS cleaning_action, count(*) AS changes, count(DISTINCT row_index) AS rows_changed, count(DISTINCT column_name) AS columns_changed FROM b GROUP BY 1")
 def dash_impact(s, d):
     return compare.impact(found(s, d)[0].withColumnRenamed("issue_type", "cleaning_action"))
@@ -861,6 +855,117 @@ def ui_weights(s, d):
     return s.createDataFrame([(n, w) for n, (w, _) in C.COMPONENTS.items()], "component_name string, component_weight double").orderBy("component_name")
 
 
+@query(f"SELECT * FROM (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in C.EXPLANATIONS.items())}) t(issue_type, explanation)")
+def fn_explain(s, d):
+    return s.createDataFrame(list(C.EXPLANATIONS.items()), "issue_type string, explanation string")
+
+
+# ---- names, by a frame of four columns whose names have defects ---------------------------------
+
+_NAMED = {"c_custkey": "_row_id", "c_name": "Customer ID", "c_nationkey": "customer_id", "c_acctbal": " balance", "c_mktsegment": "marketSegment"}
+_NAMES = (
+    ("near_duplicate_column_name", "Medium", 1.0, "Customer ID", None), ("near_duplicate_column_name", "Medium", 1.0, "customer_id", None), ("column_name_whitespace", "Low", 1.0, " balance", "balance"),
+    ("inconsistent_column_name_formatting", "Low", 0.7, "Customer ID", "customer_id"), ("inconsistent_column_name_formatting", "Low", 0.7, "customer_id", "customer_id"),
+    ("inconsistent_column_name_formatting", "Low", 0.7, " balance", "balance"), ("inconsistent_column_name_formatting", "Low", 0.7, "marketSegment", "marketsegment"),
+)
+
+
+def _name_rule(rule: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = table(s, d, "customer").select(*[F.col(a).alias(b) for a, b in _NAMED.items()])
+        profiles = [profile.ColumnProfile(n, n, "", C.EMPTY, 1.0, 0, 0, 0.0, 0, 0.0, 0, effective_logical_type=C.EMPTY) for n in profile.data_columns(df)]
+        return detect.detect(df, profiles, now=NOW).filter(F.col("issue_type") == rule).select("issue_type", "severity", "confidence", "column_name", "suggested_value")
+
+    return run
+
+
+for _name in ("near_duplicate_column_name", "column_name_whitespace", "inconsistent_column_name_formatting"):
+    QUERIES[_name] = _name_rule(_name)
+    SQL[_name] = "SELECT * FROM (VALUES {}) t(issue_type, severity, confidence, column_name, suggested_value)".format(", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE), {q(n)}, {'CAST(NULL AS VARCHAR)' if v is None else q(v)})" for a, b, c, n, v in _NAMES if a == _name))
+
+
+@query("SELECT * FROM (VALUES ('duplicate_column_name', 'Critical', 'amount'), ('duplicate_column_name', 'Critical', 'amount')) t(issue_type, severity, column_name)")
+def duplicate_column_name(s, d):
+    return s.createDataFrame([(r[0], r[1], r[3]) for r in detect.name_findings(["id", "amount", "amount"])], "issue_type string, severity string, column_name string")
+
+
+@query("SELECT * FROM (VALUES ('customer_id', 'snake_case'), ('a-b', 'kebab-case'), ('Customer ID', 'space separated'), ('marketSegment', 'camelCase/PascalCase'), ('Name', 'unknown')) t(name, style)")
+def fn_name_style(s, d):
+    return s.createDataFrame([(n, detect.name_style(n) or "unknown") for n in ("customer_id", "a-b", "Customer ID", "marketSegment", "Name")], "name string, style string")
+
+
+@query("SELECT * FROM (VALUES ('customer_id', true), ('l_orderkey', true), ('paid', false), ('unitprice', false)) t(name, hinted)")
+def fn_name_hint(s, d):
+    return s.createDataFrame([(n, profile.has_hint(n, C.IDENTIFIER_HINTS)) for n in ("customer_id", "l_orderkey", "paid", "unitprice")], "name string, hinted boolean")
+
+
+# ---- one query for each inferred text type ------------------------------------------------------
+
+_INFERRED = {
+    "infer_empty": "nothing", "infer_bool": "flag", "infer_email": "email", "infer_url": "site", "infer_currency_text": "price", "infer_date_text": "signup", "infer_numeric_text": "amount_text",
+    "infer_phone_text": "phone", "infer_mixed": "mixture", "infer_identifier": "customer_id", "infer_categorical": "segment", "infer_free_text": "note",
+}
+
+
+def _inferred(column: str) -> Query:
+    return lambda s, d: profile.profile_frame(s, profile.profile(messy(s, d).select("_row_id", column))).select(F.col("original_name").alias("column_name"), "logical_type")
+
+
+for _name, _column in _INFERRED.items():
+    QUERIES[_name] = _inferred(_column)
+    SQL[_name] = f"{_WITH} {_infer_sql(_column)}"
+
+
+@query("""WITH f AS (
+  SELECT 'l_quantity' AS column_name, CASE WHEN bool_and(l_quantity = floor(l_quantity)) THEN 'Integer' ELSE 'Decimal' END AS logical_type FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CASE WHEN bool_and(l_extendedprice = floor(l_extendedprice)) THEN 'Integer' ELSE 'Possible currency' END FROM lineitem
+  UNION ALL SELECT 'o_orderdate', CASE WHEN bool_or(hour(o_orderdate) <> 0 OR minute(o_orderdate) <> 0 OR second(o_orderdate) <> 0) THEN 'Datetime' ELSE 'Date' END FROM orders
+  UNION ALL SELECT 'c_acctbal', CASE WHEN bool_and(c_acctbal = floor(c_acctbal)) THEN 'Integer' ELSE 'Decimal' END FROM customer) SELECT * FROM f""")
+def infer_native(s, d):
+    out = None
+    for c, t in (("l_quantity", "lineitem"), ("l_extendedprice", "lineitem"), ("o_orderdate", "orders"), ("c_acctbal", "customer")):
+        df = table(s, d, t).select(F.monotonically_increasing_id().alias("_row_id"), c)
+        one = profile.profile_frame(s, profile.profile(df)).select(F.col("original_name").alias("column_name"), "logical_type")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+for _name in ("infer_date_native", "infer_whole_number", "infer_currency_native"):
+    QUERIES[_name], SQL[_name] = QUERIES["infer_native"], SQL["infer_native"]
+
+
+@query("SELECT event_id, value / 1000 AS confidence FROM events WHERE value / 1000 < 0.7")
+def ovr_low_conf(s, d):
+    return overrides.low_confidence(table(s, d, "events").select("event_id", (F.col("value") / 1000).alias("confidence")))
+
+
+@query(f"{_WITH}, t AS (SELECT _row_id AS row_index, segment AS current, 'Fixed' AS proposed FROM m WHERE _row_id % 100 = 1 ORDER BY 1 LIMIT 10) SELECT * FROM t")
+def ui_preview_changes(s, d):
+    df = messy(s, d).select("_row_id", "segment")
+    asked = df.filter("_row_id % 100 = 1").select(F.col("_row_id").alias("row_index"), F.lit("Fixed").alias("new_value"))
+    audit = clean.replace_values(df, "segment", asked, "guided", "decided")[1]
+    return audit.orderBy("row_index").limit(10).select("row_index", F.col("original_value").alias("current"), F.col("new_value").alias("proposed"))
+
+
+QUERIES["ui_audit_table"], SQL["ui_audit_table"] = QUERIES["fix_trim_whitespace"], SQL["fix_trim_whitespace"]
+QUERIES["ui_profile_table"], SQL["ui_profile_table"] = QUERIES["prof_df"], SQL["prof_df"]
+
+
+@query(f"{ISSUES_CTE}, t AS (SELECT row_index FROM h WHERE column_name = 'score' AND issue_type = 'negative_value' ORDER BY 1 LIMIT 50) SELECT _row_id, CASE WHEN _row_id IN (SELECT row_index FROM t) THEN 0.0 ELSE score END AS score FROM m")
+def res_scope(s, d):
+    """Only the first fifty affected rows are treated, as a chosen subset."""
+    a = analysis(s, d)
+    asked = strategies.resolve(a.df, a.issues, "score", "negative_value", "zero").orderBy("row_index").limit(C.MAX_SAMPLE_ROWS)
+    return clean.replace_values(a.df.select("_row_id", "score"), "score", asked, "guided_negative_value_zero", "decided")[0]
+
+
+@query(f"{ISSUES_CTE} SELECT 'guided_negative_value_zero' AS cleaning_action, count(*) AS changes FROM h WHERE column_name = 'score' AND issue_type = 'negative_value'")
+def res_apply(s, d):
+    a = analysis(s, d)
+    audit = clean.replace_values(a.df.select("_row_id", "score"), "score", strategies.resolve(a.df, a.issues, "score", "negative_value", "zero"), "guided_negative_value_zero", "decided")[1]
+    return compare.fix_counts(audit)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
