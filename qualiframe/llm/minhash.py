@@ -190,20 +190,13 @@ def band_keys(values: np.ndarray, number: np.ndarray, bands: int, rows: int, thr
     return out
 
 
-def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Symmetric matrix: which two of these sorted sets reach the threshold exactly."""
-    t = Fraction(str(threshold))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        hit = common * t.denominator >= t.numerator * (int(sizes.sum()) - common) and common > 0
-        return np.array([[False, hit], [hit, False]])
+def _add_common(common: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Add the number of values that each two sets share."""
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     kept = counts[inverse] > 1
     column, owner = column[inverse[kept]], owner[kept]
-    common = np.zeros((len(sets), len(sets)), np.float64)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     columns = int(column[-1]) + 1 if len(column) else 0
@@ -213,6 +206,23 @@ def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         block = np.zeros((len(sets), width), np.float32)
         block[owner[lo:hi], column[lo:hi] - at] = 1
         common += block @ block.T
+
+
+def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Symmetric matrix: which two of these sorted sets reach the threshold exactly."""
+    t = Fraction(str(threshold))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        hit = common * t.denominator >= t.numerator * (int(sizes.sum()) - common) and common > 0
+        return np.array([[False, hit], [hit, False]])
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    # Values are compared range by range, so memory beyond the sets themselves is bounded.
+    ranges = -(-int(sizes.sum()) // 500_000)
+    edges = np.array([(1 << 64) * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets])
+    for k in range(ranges):
+        _add_common(common, [s[lo:hi] for s, lo, hi in zip(sets, cuts[:, k], cuts[:, k + 1])])
     common = common.astype(np.int64)
     hit = (common * t.denominator >= t.numerator * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
     np.fill_diagonal(hit, False)
