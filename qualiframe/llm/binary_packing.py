@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import minhash
+from .scratch import bounded_batches
 from .tokens import ByteTokens
 
 SCHEMA = "n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>"
@@ -115,4 +116,5 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, *, end_id: int, length:
                         pieces, held = [], 0
         yield from _pack(pieces, length, end_id, kind)
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, SCHEMA)

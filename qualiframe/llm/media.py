@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import matroska
+from .scratch import bounded_batches
 
 PACKETS = "doc_id long, packet long, track int, timestamp_ns long, is_key boolean, start long, end long"
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -62,6 +63,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: sizes and digests of payload and file, and its features."""
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(_describe, MEDIA)
 
 

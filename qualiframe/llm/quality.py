@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .scratch import Scratch
+from .scratch import Scratch, bounded_batches
 
 PASSAGE, PAIRS, SHAPES, FIGURES = 64, 256, 128, 12
 WIDTH = FIGURES + PAIRS + SHAPES
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], *, key: str = "doc_id",
                 got = predict(model, *passages(*minhash.text_bytes(texts)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -227,4 +228,5 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, text: str = "tex
                 good = predict(model, *passages(*minhash.text_bytes(texts))) >= least
                 yield batch.slice(at, len(texts)).filter(pa.array(good))
 
+    bounded_batches(docs.sparkSession)
     return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)

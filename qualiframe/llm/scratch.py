@@ -7,7 +7,9 @@ recomputation.  A folder of our own is set only if the session names none, as in
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -25,14 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="qualiframe-")
+        own = tempfile.mkdtemp(prefix="qualiframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN["dir"] = f"file://{own}"
     return _OWN["dir"]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB to Python, unless the session has chosen a size: they are held several times over in JVM and worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "8388608")
+
+
 class Scratch:
     """The scratch tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
