@@ -50,6 +50,20 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), count
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan steps. LAPACK's own threads can deadlock in a driver process that has forked."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0.0
+        work -= others[:, None] * work[k]
+    return work[:, n:]
+
+
 def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """(pattern {length: pieces}, times) that cover the demand {length: pieces}; lengths and capacity in units.
 
@@ -91,7 +105,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, rou
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             level = np.maximum(inverse @ need, 0.0)
     left, plan = need.astype(np.int64), []
     for j in np.argsort(-level, kind="stable"):

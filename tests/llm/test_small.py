@@ -436,3 +436,8 @@ def test_jaccard_links_in_ranges():
     sets = [np.unique(base[rng.random(len(base)) < keep]) for keep in (0.95, 0.95, 0.5)]
     links = minhash.jaccard_links(sets, 0.8)
     assert links.tolist() == [[False, True, False], [True, False, False], [False, False, False]]
+
+
+def test_inverse():
+    matrix = np.random.default_rng(11).integers(0, 5, (40, 40)).astype(float) + np.eye(40) * 7
+    assert np.allclose(cutting_stock.inverted(matrix) @ matrix, np.eye(40))
