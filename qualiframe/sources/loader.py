@@ -1,18 +1,20 @@
 """Loading CSV, Excel and Parquet tables with a stable row id, and writing results.
 
 CSV text is read by Spark with an explicit all-text schema made from the header line, then typed by
-one aggregate pass over the columns.  Encoding and delimiter are sniffed from the first bytes.
+one aggregate pass over the columns.  The delimiter is sniffed from the first bytes; the encoding is
+one that decodes all of them.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,28 +41,81 @@ class Loaded:
 # ---- what a sample of bytes tells ------------------------------------------------------------
 
 
-def detect_encoding(sample: bytes) -> str:
-    """Byte order mark, then strict UTF-8, then the first fallback that decodes."""
+def marked_encoding(sample: bytes) -> str | None:
+    """Encoding that a byte order mark names."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if sample.startswith(mark):
             return name
+    return None
+
+
+def code_page(encoding: str) -> list[str | None] | None:
+    """Characters of bytes 128 to 255, None where there is none; None for an encoding that is not ASCII and single bytes."""
+    out: list[str | None] = []
     try:
-        sample.decode("utf-8")
-        return "utf-8"
-    except UnicodeDecodeError as e:
-        if e.reason == "unexpected end of data" and e.start > len(sample) - 4:
-            return "utf-8"
-    return decode(sample)[1]
+        if bytes(range(128)).decode(encoding) != bytes(range(128)).decode("ascii"):
+            return None
+        for b in range(128, 256):
+            try:
+                c = codecs.getincrementaldecoder(encoding)().decode(bytes([b]))
+            except UnicodeDecodeError:
+                c = None
+            if c == "":
+                return None
+            out.append(c)
+    except (UnicodeDecodeError, LookupError, TypeError):
+        return None
+    return out if any(out) else None
+
+
+def _is_utf8(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig")
+
+
+def _fails(encoding: str, raw: Column, text: Column) -> Column | None:
+    """Whether a line does not decode strictly; None if lines alone cannot tell. ``text`` is the line read as iso-8859-1."""
+    if _is_utf8(encoding):
+        return ~F.is_valid_utf8(raw)
+    page = code_page(encoding)
+    if page is None:
+        return None
+    holes = "".join(f"\\x{b:02x}" for b, c in enumerate(page, 128) if c is None)
+    return text.rlike(f"[{holes}]") if holes else F.lit(False)
+
+
+def choose_encoding(spark: SparkSession, path: str, preferred: str | None) -> str:
+    """First of ``preferred`` and the fallbacks that decodes every byte, by one distributed pass over the lines.
+
+    windows-1252 goes before windows-1255 if more letters above ASCII touch an ASCII letter, as in
+    Western words, than Hebrew letters touch each other, as in Hebrew words.
+    """
+    raw = F.col("value")
+    text = F.decode(raw.cast("binary"), "iso-8859-1")
+    wanted = list(dict.fromkeys(([preferred] if preferred else []) + list(C.ENCODING_FALLBACKS)))
+    tests = {e: t for e in wanted if (t := _fails(e, raw, text)) is not None}
+    asked = [F.count_if(t).alias(f"f{i}") for i, t in enumerate(tests.values())]
+    asked += [F.sum(F.regexp_count(text, F.lit(r"(?<=[A-Za-z])[\xc0-\xff]|[\xc0-\xff](?=[A-Za-z])"))).alias("western")]
+    asked += [F.sum(F.regexp_count(text, F.lit(r"(?<=[\xe0-\xfa])[\xe0-\xfa]|[\xe0-\xfa](?=[\xe0-\xfa])"))).alias("hebrew")]
+    got = spark.read.option("lineSep", "\n").text(path).agg(*asked).first()
+    failed = {e: got[f"f{i}"] for i, e in enumerate(tests)}
+    if (got["western"] or 0) > (got["hebrew"] or 0):
+        wanted.sort(key=lambda e: 0 if e == preferred else {"windows-1255": 1, "cp1255": 1, "latin-1": 2}.get(e, 0))
+    for e in wanted:
+        if e in failed and not failed[e] or e not in failed and _decodes(spark, path, e):
+            return e
+    raise LoadError("No known encoding fits the file.")
 
 
-def decode(data: bytes, preferred: str | None = None) -> tuple[str, str]:
-    """(text, encoding) by the first encoding that fits."""
-    for name in dict.fromkeys(([preferred] if preferred else []) + list(C.ENCODING_FALLBACKS)):
+def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a file in an encoding of several bytes decodes; such a file is read whole by one task."""
+    def test(f: tuple[str, bytes]) -> bool:
         try:
-            return data.decode(name), name
+            f[1].decode(encoding)
+            return True
         except (UnicodeDecodeError, LookupError):
-            continue
-    raise LoadError("No known encoding fits the file.")
+            return False
+
+    return all(spark.sparkContext.binaryFiles(path).map(test).collect())
 
 
 def detect_delimiter(text: str) -> str:
@@ -174,7 +229,7 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
     check_size(size, limit_mb)
     if not sample.strip():
         raise LoadError("The file is empty.")
-    encoding = encoding or detect_encoding(sample)
+    encoding = choose_encoding(spark, path, encoding or marked_encoding(sample))
     text = sample.decode(encoding, "replace").lstrip("﻿")
     delimiter = delimiter or detect_delimiter(text)
     first = next(csv.reader(io.StringIO(text), delimiter=delimiter))
