@@ -11,8 +11,11 @@ import codecs
 import csv
 import io
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,6 +227,40 @@ def _head(spark: SparkSession, path: str) -> tuple[bytes, int]:
         stream.close()
 
 
+def needs_whole_reading(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether a quoted cell may hold a line break, by one distributed count; only then is the file read in one piece.
+
+    Lines are told apart if each is a full list of cells, quoted ones closed. A carriage return
+    inside a line and a line of white space only count too, as Spark's two readers differ there.
+    """
+    if len(delimiter) != 1 or delimiter in '"\r\n':
+        return True
+    d = delimiter if delimiter.isalnum() else f"\\x{ord(delimiter):02x}" if ord(delimiter) < 256 else delimiter
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{d}]*+)'
+    line = F.decode(F.regexp_replace("value", r"\r$", "").cast("binary"), "iso-8859-1")
+    odd = line.contains("\r") | line.rlike(r"^[\x00-\x20]+$") | (line.contains('"') & ~line.rlike(f"^{cell}(?:{d}{cell})*+$"))
+    return bool(spark.read.option("lineSep", "\n").text(path).agg(F.count_if(odd)).first()[0])
+
+
+def as_page(df: DataFrame, page: list[str | None]) -> DataFrame:
+    """Cells read as iso-8859-1 with the characters of another code page."""
+    pairs = [(chr(b), c) for b, c in enumerate(page, 128) if c and c != chr(b)]
+    if not pairs:
+        return df
+    a, z = ("".join(x) for x in zip(*pairs))
+    return df.select(*[F.translate(F.col(f"`{n}`"), a, z).alias(n) for n in df.columns])
+
+
+def _parsed(encoding: str, delimiter: str, width: int, header: bool):
+    def rows(f: tuple[str, bytes]) -> Iterator[tuple[str | None, ...]]:
+        lines = csv.reader(io.StringIO(f[1].decode(encoding), newline=""), delimiter=delimiter)
+        for i, r in enumerate(r for r in lines if r):
+            if i or not header:
+                yield tuple(x or None for x in (r + [None] * width)[:width])
+
+    return rows
+
+
 def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, delimiter: str | None = None, header: bool = True, limit_mb: int | None = None) -> Loaded:
     sample, size = _head(spark, path)
     check_size(size, limit_mb)
@@ -239,13 +276,17 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
         warnings.append("The first row looks like data, not like a header.")
     if len(names) == 1 and delimiter != ",":
         warnings.append("Only one column was found; the delimiter may be wrong.")
-    reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("sep", delimiter).option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"')
-    codec = {"utf-8-sig": "utf-8", "windows-1255": "windows-1255", "latin-1": "iso-8859-1"}.get(encoding, encoding)
+    reader_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    reader = spark.read.schema(reader_schema).option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"')
+    page = None if _is_utf8(encoding) else code_page(encoding)
+    wide = encoding.lower().replace("_", "-") in ("utf-16", "utf-16le", "utf-16be", "utf-16-le", "utf-16-be", "utf-32")
+    codec = "utf-8" if _is_utf8(encoding) else "iso-8859-1" if page else re.sub("(?<=16)-", "", encoding.lower().replace("_", "-"))
     try:
-        if codec in ("utf-8", "iso-8859-1", "utf-16"):
-            df = reader.option("encoding", codec).csv(path)
-        else:  # encodings that Spark's reader does not take: decode whole files on the executors
-            df = reader.csv(spark.sparkContext.binaryFiles(path).flatMap(lambda f, e=encoding: f[1].decode(e).splitlines()))
+        if page or wide or _is_utf8(encoding):
+            df = reader.option("multiLine", wide or needs_whole_reading(spark, path, delimiter)).option("encoding", codec).csv(path)
+            df = as_page(df, page) if page else df
+        else:  # other encodings of several bytes, read only if they are named: a file is parsed by one task
+            df = spark.createDataFrame(spark.sparkContext.binaryFiles(path).flatMap(_parsed(encoding, delimiter, len(names), header)), reader_schema)
         loaded = with_row_id(df)
     except AnalysisException as e:
         raise LoadError(f"{path} cannot be read as CSV.") from e
@@ -255,50 +296,92 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
     return Loaded(loaded, path.rsplit("/", 1)[-1], "csv", encoding, delimiter, None, labels, warnings)
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    rows = spark.read.format("binaryFile").load(path).select("content").take(1)
-    if not rows:
+def _workbook(spark: SparkSession, path: str, limit_mb: int | None) -> DataFrame:
+    """The file as a binaryFile row; its content stays on the executors."""
+    book = spark.read.format("binaryFile").load(path)
+    try:
+        sizes = book.select("length").take(1)
+    except AnalysisException as e:
+        raise LoadError(f"{path} cannot be read.") from e
+    if not sizes:
         raise LoadError(f"{path} cannot be read.")
-    return bytes(rows[0][0])
+    check_size(sizes[0][0], limit_mb)
+    return book.select("content")
+
+
+def _sheets(batches: Iterator) -> Iterator:
+    for batch in batches:
+        for data in batch["content"]:
+            try:
+                yield pd.DataFrame({"name": xlsx.sheet_names(data)}).assign(at=lambda t: t.index, failed=False)
+            except Exception:
+                yield pd.DataFrame({"name": [None], "at": [0], "failed": [True]})
+
+
+def _names(book: DataFrame, path: str) -> list[str]:
+    rows = sorted(book.mapInPandas(_sheets, "name string, at long, failed boolean").collect(), key=lambda r: r["at"])
+    if any(r["failed"] for r in rows):
+        raise LoadError(f"{path} is no workbook that can be read.")
+    return [r["name"] for r in rows]
 
 
 def excel_sheets(spark: SparkSession, path: str) -> list[str]:
-    return xlsx.sheet_names(_bytes(spark, path))
+    return _names(_workbook(spark, path, None), path)
+
+
+def _rows(sheet: str | None, many: int = 5000):
+    """Rows of a sheet as texts with the kind of each cell; a row at -1 tells that the file cannot be read."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for data in batch["content"]:
+                held: list[tuple[int, list[str | None], list[str | None]]] = []
+                try:
+                    for i, r in enumerate(xlsx.read_sheet(data, sheet)):
+                        held.append((i, [None if v is None else str(v) for v in r], [None if v is None else "whole" if isinstance(v, float) and v.is_integer() else type(v).__name__ for v in r]))
+                        if len(held) == many:
+                            yield pd.DataFrame(held, columns=["at", "cells", "kinds"])
+                            held = []
+                except Exception:
+                    held.append((-1, [], []))
+                yield pd.DataFrame(held, columns=["at", "cells", "kinds"])
+
+    return run
 
 
 def load_excel(spark: SparkSession, path: str, *, sheet: str | None = None, header: bool = True, limit_mb: int | None = C.MAX_FILE_MB) -> Loaded:
-    """One sheet of a workbook. A workbook is read whole by one process; its size is limited."""
-    data = _bytes(spark, path)
-    check_size(len(data), limit_mb)
-    try:
-        rows = list(xlsx.read_sheet(data, sheet))
-    except KeyError as e:
-        raise LoadError(f"There is no sheet {sheet!r}; there are {', '.join(xlsx.sheet_names(data))}.") from e
-    except Exception as e:
-        raise LoadError(f"{path} is no workbook that can be read.") from e
-    if not rows:
+    """One sheet of a workbook, parsed by one executor task, as a workbook cannot be split; its size is limited."""
+    book = _workbook(spark, path, limit_mb)
+    sheets = _names(book, path)
+    if sheet is not None and sheet not in sheets:
+        raise LoadError(f"There is no sheet {sheet!r}; there are {', '.join(sheets)}.")
+    rows = book.mapInPandas(_rows(sheet), "at long, cells array<string>, kinds array<string>").persist(StorageLevel.DISK_ONLY)
+    facts = rows.agg(F.min("at").alias("first"), F.max(F.size("cells")).alias("width")).first()
+    if facts["first"] is None:
         raise LoadError("The sheet is empty.")
-    width = max(map(len, rows))
-    rows = [r + [None] * (width - len(r)) for r in rows]
-    labels = ["" if v is None else str(v) for v in rows[0]] if header else [f"column_{i}" for i in range(width)]
+    if facts["first"] < 0:
+        raise LoadError(f"{path} is no workbook that can be read.")
+    width, top = facts["width"], rows.filter("at = 0").first()
+    shown = list(top["cells"])
+    labels = ["" if v is None else v for v in shown + [None] * (width - len(shown))] if header else [f"column_{i}" for i in range(width)]
     names, warnings = dedupe_columns(labels)
-    body = rows[1:] if header else rows
-    kinds: list[T.DataType] = []
-    for i in range(width):
-        seen = {type(r[i]) for r in body if r[i] is not None}
-        if seen == {float} and all(r[i].is_integer() for r in body if r[i] is not None) and all(r[i] is not None for r in body):
-            kinds.append(T.LongType())
-        else:
-            kinds.append({frozenset({float}): T.DoubleType(), frozenset({bool}): T.BooleanType()}.get(frozenset(seen), T.TimestampNTZType() if len(seen) == 1 and next(iter(seen)).__name__ == "datetime" else T.StringType()))
-
-    def fit(v: object, kind: T.DataType) -> object:
-        if v is None:
-            return None
-        return int(v) if isinstance(kind, T.LongType) else str(v) if isinstance(kind, T.StringType) else v
-
-    table = [(i, *[fit(v, k) for v, k in zip(r, kinds)]) for i, r in enumerate(body)]
-    df = spark.createDataFrame(table, T.StructType([T.StructField(C.ROW_ID, T.LongType()), *[T.StructField(n, k) for n, k in zip(names, kinds)]]))
-    return Loaded(null_tokens(df), path.rsplit("/", 1)[-1], "excel", None, None, sheet or xlsx.sheet_names(data)[0], labels, warnings)
+    body = rows.filter(F.col("at") >= int(header))
+    total = body.count()
+    seen: dict[int, dict[str, int]] = {i: {} for i in range(width)}
+    for r in body.select(F.posexplode("kinds").alias("i", "kind")).filter("kind is not null").groupBy("i", "kind").count().collect():
+        seen[r["i"]][r["kind"]] = r["count"]
+    fitted = []
+    for i, n in enumerate(names):
+        c, kinds = F.get("cells", F.lit(i)), set(seen[i])
+        if kinds == {"whole"} and seen[i]["whole"] == total:
+            c = c.cast("double").cast("bigint")
+        elif kinds and kinds <= {"whole", "float"}:
+            c = c.cast("double")
+        elif kinds in ({"bool"}, {"datetime"}):
+            c = c.cast("boolean" if kinds == {"bool"} else "timestamp_ntz")
+        fitted.append(c.alias(n))
+    df = body.select((F.col("at") - int(header)).alias(C.ROW_ID), *fitted)
+    return Loaded(null_tokens(df), path.rsplit("/", 1)[-1], "excel", None, None, sheet or sheets[0], labels, warnings)
 
 
 def load(spark: SparkSession, path: str, **options) -> Loaded:

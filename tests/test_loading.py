@@ -32,3 +32,44 @@ def test_given_encoding_that_does_not_fit_falls_back(spark, tmp_path):
     assert loader.load(spark, path, encoding="utf-8").encoding == "windows-1255"
     assert cells(loader.load(spark, path, encoding="windows-1252"), "a") == ["çéôä"]
     assert cells(loader.load(spark, write(tmp_path / "wide.csv", "a,b\nחיפה,1\n".encode("utf-16"))), "a") == ["חיפה"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "windows-1255", "windows-1252", "shift_jis"])
+def test_quoted_line_breaks_and_lines_equal_to_the_header(spark, tmp_path, encoding):
+    word = {"windows-1252": "Genève", "shift_jis": "東京"}.get(encoding, "חיפה")
+    text = f'id,city\n1,"{word}\nx, ""y"""\nid,city\n2,{word}\n'
+    got = loader.load(spark, write(tmp_path / "breaks.csv", text.encode(encoding)), encoding=encoding)
+    assert cells(got, "city") == [f'{word}\nx, "y"', "city", word] and cells(got, "id") == ["1", "id", "2"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "windows-1255"])
+def test_files_without_quoted_line_breaks_are_split(spark, tmp_path, encoding):
+    path = write(tmp_path / "long.csv", ("id,city\r\n" + "".join(f'{i},"חיפה, ""{i}"""\r\n' for i in range(20000))).encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = loader.load(spark, path)
+        assert got.df.rdd.getNumPartitions() > 1
+        assert got.df.filter(got.df["id"] != got.df["_row_id"]).count() == 0 and cells(got, "city")[-1] == 'חיפה, "19999"'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text, whole", [('a,b\n"x ""y""",2\n', False), ('a,b\n"x\ny",2\n', True), ('a,b\n5" z,"x\ny"\n', True), ("a,b\n1,2\r3,4\n", True), ("a,b\r\n1,2\r\n", False), ("a,b\n  \n1,2\n", True)])
+def test_which_files_are_read_in_one_piece(spark, tmp_path, text, whole):
+    assert loader.needs_whole_reading(spark, write(tmp_path / "x.csv", text.encode()), ",") is whole
+
+
+def test_workbooks_are_parsed_on_executors(spark, tmp_path, monkeypatch):
+    from qualiframe.sources import xlsx
+
+    path = write(tmp_path / "book.xlsx", xlsx.write_sheet(["n", "x", "mixed"], [[1, 1.5, "a"], [2, None, 3.0], [3, 2.0, True]]))
+
+    def here(*_):
+        raise AssertionError("parsed on the driver")
+
+    monkeypatch.setattr(xlsx, "read_sheet", here)
+    got = loader.load(spark, path)
+    assert dict(got.df.dtypes) == {"_row_id": "bigint", "n": "bigint", "x": "double", "mixed": "string"}
+    assert [tuple(r) for r in got.df.orderBy("_row_id").collect()] == [(0, 1, 1.5, "a"), (1, 2, None, "3.0"), (2, 3, 2.0, "True")]
+    with pytest.raises(loader.LoadError):
+        loader.load(spark, write(tmp_path / "no.xlsx", b"not a workbook"))
