@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as E
+from . import ranks as R
 from .profile import ColumnProfile, data_columns, normalize_name, value_table
 
 FINDING = "issue_type string, severity string, confidence double, column_name string, row_index long, current_value string, suggested_value string"
@@ -255,11 +256,14 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
     asked = [F.count(F.lit(1)).alias("total"), (F.count_if(empty_row) if names else F.lit(0)).alias("empty")]
     asked += [F.count_if(t).alias(f"m{i}") for i, t in enumerate(tests.values())]
     numeric = [n for n in names if kinds[n] in C.NUMERIC_TYPES]
+    finites = {}
     for i, n in enumerate(numeric):
         v = E.number_of(df, n)
         finite = F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
-        asked += [F.percentile(finite, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.count(finite).alias(f"f{i}"), F.min(finite).alias(f"l{i}"), F.max(finite).alias(f"h{i}")]
+        finites[n] = finite
+        asked += [F.count(finite).alias(f"f{i}"), F.min(finite).alias(f"l{i}"), F.max(finite).alias(f"h{i}")]
     got = df.agg(*asked).first()
+    quartiles = R.percentiles_of(df, finites, (0.25, 0.75))
     total = got["total"]
 
     whole = name_findings(header or names)
@@ -290,7 +294,7 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
                 row_rules += text_findings(n)
         if kind in C.NUMERIC_TYPES:
             i = numeric.index(n)
-            row_rules += numeric_findings(df, n, got[f"q{i}"], got[f"f{i}"])
+            row_rules += numeric_findings(df, n, quartiles.get(n), got[f"f{i}"])
             if got[f"f{i}"] >= 2 and got[f"l{i}"] == got[f"h{i}"]:
                 whole.append(("suspiciously_constant_column", "Low", 0.6, n, None, None, None))
         if kind in C.DATE_TYPES:

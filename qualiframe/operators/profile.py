@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import expr as E
+from . import ranks as R
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -88,8 +89,7 @@ def plain_aggregates(df: DataFrame) -> list[Column]:
             v = F.when(here, c.cast("double"))
             finite = F.when(F.abs(v) != float("inf"), v)
             out += [f(v).alias(f"{i}_{k}") for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))]
-            out += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{i}_quartiles")]
-            out += [F.percentile(finite, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{i}_finite_quartiles"), F.count(finite).alias(f"{i}_finite"), F.count_if(v < 0).alias(f"{i}_negative")]
+            out += [F.count(finite).alias(f"{i}_finite"), F.count_if(v < 0).alias(f"{i}_negative")]
             out += [F.bool_and((F.abs(v) != float("inf")) & (v == F.floor(v))).alias(f"{i}_whole"), F.avg(F.when(here, (F.abs(F.round(v, 2) - v) < 1e-9).cast("double"))).alias(f"{i}_cents"), F.min(finite).alias(f"{i}_finite_min"), F.max(finite).alias(f"{i}_finite_max")]
         elif isinstance(kind, TIMES):
             stamp = c.cast("timestamp_ntz")
@@ -198,9 +198,11 @@ def _rounded(x: float | None, digits: int) -> float | None:
 
 
 def collect_statistics(df: DataFrame) -> tuple[int, dict[str, dict[str, Any]]]:
-    """(rows, statistics by column): two small results, one row and one row per column."""
+    """(rows, statistics by column): small results, one row, one row per column and the quartiles."""
     plain = df.agg(*plain_aggregates(df)).first().asDict()
     names = data_columns(df)
+    numbers = [n for n in names if isinstance(df.schema[n].dataType, NUMERIC)]
+    quartiles = R.percentiles_of(df, {n: F.when(~E.missing(df, n), F.col(f"`{n}`").cast("double")) for n in numbers})
     values = {r["column"]: r.asDict() for r in distinct_aggregates(value_table(df)).collect()} if names else {}
     out = {}
     for i, n in enumerate(names):
@@ -208,6 +210,8 @@ def collect_statistics(df: DataFrame) -> tuple[int, dict[str, dict[str, Any]]]:
         s |= {"unique": 0, "unique_written": 0, "digit_share": 0.0, "minus_digits": 0, "examples": [], "shape_share": 0.0} | {k: v for k, v in values.get(n, {}).items() if v is not None}
         for k in ("boolean", "email", "url", "phone", "phone_marks", "currency", "date_like", "dated", "numeric", "written_length"):
             s.setdefault(k, 0.0)
+        if n in numbers:
+            s["quartiles"] = quartiles.get(n)
         s["digits"] = -(s["minus_digits"] or 0)
         out[n] = s
     return plain["rows"], out
@@ -245,21 +249,25 @@ def _numbers(p: ColumnProfile, s: dict[str, Any]) -> None:
 
 def _late_figures(df: DataFrame, profiles: list[ColumnProfile], stats: dict[str, dict[str, Any]]) -> None:
     """Figures of numbers and dates kept as text, then outlier counts of all numeric columns."""
-    exprs = []
+    exprs, texts = [], {}
     for i, p in enumerate(profiles):
         if p.logical_type in C.DATE_TYPES:
             d = E.parse_date(F.col(f"`{p.original_name}`"))
             exprs += [F.min(d).cast("string").alias(f"{i}_min_date"), F.max(d).cast("string").alias(f"{i}_max_date")]
         elif E.is_text(df, p.original_name):
             v = E.number_of(df, p.original_name)
-            exprs += [F.count(v).alias(f"{i}_present"), F.min(v).alias(f"{i}_min"), F.max(v).alias(f"{i}_max"), F.avg(v).alias(f"{i}_mean"), F.stddev_samp(v).alias(f"{i}_std"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{i}_quartiles")]
+            exprs += [F.count(v).alias(f"{i}_present"), F.min(v).alias(f"{i}_min"), F.max(v).alias(f"{i}_max"), F.avg(v).alias(f"{i}_mean"), F.stddev_samp(v).alias(f"{i}_std")]
+            texts[p.original_name] = v
     got = df.agg(*exprs).first().asDict() if exprs else {}
+    quartiles = R.percentiles_of(df, texts)
     fences = []
     for i, p in enumerate(profiles):
         own = {k.split("_", 1)[1]: v for k, v in got.items() if k.startswith(f"{i}_")}
         if p.logical_type in C.DATE_TYPES:
             p.min_date, p.max_date = own["min_date"], own["max_date"]
             continue
+        if own:
+            own["quartiles"] = quartiles.get(p.original_name)
         s = own or stats[p.original_name]
         if own and own["present"]:
             _numbers(p, own)

@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as E
+from . import ranks as R
 
 
 def numeric_stats(df: DataFrame, column: str) -> DataFrame:
     """One row: mean, median, mode (the smallest on a tie), quartiles, IQR and fences, four digits; nulls if there is no number."""
     v = E.number_of(df, column)
     v = F.when(~F.isnan(v), v)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = df.agg(F.avg(v).alias("mean"), q.alias("q"), F.mode(v, True).alias("mode"))
-    reach = C.IQR_FACTOR * (F.col("q")[2] - F.col("q")[0])
-    figures = {"mean": F.col("mean"), "median": F.col("q")[1], "mode": F.col("mode"), "q1": F.col("q")[0], "q3": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0], "lower_fence": F.col("q")[0] - reach, "upper_fence": F.col("q")[2] + reach}
+    q = [F.lit(x).cast("double") for x in R.percentiles_of(df, {column: v}).get(column, [None] * 3)]
+    reach = C.IQR_FACTOR * (q[2] - q[0])
+    row = df.agg(F.avg(v).alias("mean")).join(F.broadcast(R.mode(df, v)))
+    figures = {"mean": F.col("mean"), "median": q[1], "mode": F.col("mode"), "q1": q[0], "q3": q[2], "iqr": q[2] - q[0], "lower_fence": q[0] - reach, "upper_fence": q[2] + reach}
     return row.select(*[F.round(c, 4).alias(n) for n, c in figures.items()])
 
 
 def categorical_mode(df: DataFrame, column: str) -> DataFrame:
     """The most frequent value that is not blank; the smallest on a tie."""
     c = F.col(f"`{column}`")
-    return df.agg(F.mode(F.when(E.strip(c) != "", c), True).alias("mode"))
+    return R.mode(df, F.when(E.strip(c) != "", c))
 
 
 def boolean_mode(df: DataFrame, column: str) -> DataFrame:
@@ -76,7 +77,7 @@ def variant_strategies() -> list[str]:
 def resolve(df: DataFrame, issues: DataFrame, column: str, issue_type: str, strategy: str, custom: Any = None) -> DataFrame:
     """(row_index, new_value) of the rows of a group; no rows for strategies that keep values.
 
-    Statistics come from the table as one broadcast row, so nothing is collected.
+    Statistics are one broadcast row; only the quartiles pass the driver.
     """
     group = issues.filter((F.col("column_name") == column) & (F.col("issue_type") == issue_type)).select("row_index", "suggested_value").distinct()
     if strategy in ("keep", "keep_null", "valid", "do_nothing", "per_row"):

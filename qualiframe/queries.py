@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import config as C
 from . import store
 from .functions import expr as E
-from .operators import clean, compare, detect, overrides, profile, score, strategies
+from .operators import clean, compare, detect, overrides, profile, ranks, score, strategies
 from .plans import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,7 +467,7 @@ def agg_numeric(s, d):
     out = None
     for t, c in (("part", "p_retailprice"), ("customer", "c_acctbal")):
         df = table(s, d, t).select(F.monotonically_increasing_id().alias("_row_id"), c)
-        one = df.agg(*profile.plain_aggregates(df)).select(F.lit(c).alias("column_name"), F.col("0_min").alias("min_value"), F.col("0_max").alias("max_value"), F.round("0_mean", 2).alias("mean"), F.round(F.col("0_quartiles")[1], 4).alias("median"))
+        one = df.agg(*profile.plain_aggregates(df)).select(F.lit(c).alias("column_name"), F.col("0_min").alias("min_value"), F.col("0_max").alias("max_value"), F.round("0_mean", 2).alias("mean"), F.round(F.lit(ranks.percentiles_of(df, {c: F.col(c)})[c][1]), 4).alias("median"))
         out = one if out is None else out.unionByName(one)
     return out
 
