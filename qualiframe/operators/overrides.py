@@ -38,12 +38,32 @@ def low_confidence(profiles: DataFrame, threshold: float = C.LOW_CONFIDENCE) ->
     return profiles.filter(F.col("confidence") < threshold)
 
 
-def issue_groups(issues: DataFrame, types: tuple[str, ...] = C.GUIDED_TYPES) -> DataFrame:
-    """(column_name, issue_type, severity, n_issues, row_indices) of the guided types, most severe and largest first."""
-    groups = issues.filter(F.col("issue_type").isin(*types) & F.col("column_name").isNotNull()).groupBy("column_name", "issue_type")
-    groups = groups.agg(F.max(E.severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("n_issues"), F.sort_array(F.collect_set("row_index")).alias("row_indices"))
+def _guided(issues: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    return issues.filter(F.col("issue_type").isin(*types) & F.col("column_name").isNotNull())
+
+
+def group_counts(issues: DataFrame, types: tuple[str, ...] = C.GUIDED_TYPES) -> DataFrame:
+    """(column_name, issue_type, severity, n_issues, n_rows, first_row, last_row) of the guided types, most severe and largest first."""
+    groups = _guided(issues, types).groupBy("column_name", "issue_type")
+    groups = groups.agg(F.max(E.severity_rank(F.col("severity"))).alias("rank"), F.count(F.lit(1)).alias("n_issues"), F.count_distinct("row_index").alias("n_rows"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"))
     name = F.element_at(F.array(*[F.lit(s) for s in C.SEVERITIES]), F.col("rank") + 1)
-    return groups.orderBy(F.desc("rank"), F.desc(F.size("row_indices")), "column_name", "issue_type").select("column_name", "issue_type", name.alias("severity"), "n_issues", "row_indices")
+    return groups.orderBy(F.desc("rank"), F.desc("n_rows"), "column_name", "issue_type").select("column_name", "issue_type", name.alias("severity"), "n_issues", "n_rows", "first_row", "last_row")
+
+
+def group_rows(issues: DataFrame, types: tuple[str, ...] = C.GUIDED_TYPES) -> DataFrame:
+    """(column_name, issue_type, row_index): each affected row of each group once, in a table of any length."""
+    return _guided(issues, types).filter("row_index is not null").select("column_name", "issue_type", "row_index").distinct()
+
+
+def issue_groups(issues: DataFrame, types: tuple[str, ...] = C.GUIDED_TYPES) -> DataFrame:
+    """(column_name, issue_type, severity, n_issues, row_indices), the rows of a group in one cell.
+
+    For tables small enough to show; ``group_counts`` and ``group_rows`` hold groups of any size.
+    """
+    rows = group_rows(issues, types).groupBy("column_name", "issue_type").agg(F.sort_array(F.collect_list("row_index")).alias("row_indices"))
+    groups = group_counts(issues, types).join(rows, ["column_name", "issue_type"], "left").withColumn("row_indices", F.coalesce("row_indices", F.array().cast("array<long>")))
+    order = F.desc(E.severity_rank(F.col("severity"))), F.desc("n_rows"), F.col("column_name"), F.col("issue_type")
+    return groups.orderBy(*order).select("column_name", "issue_type", "severity", "n_issues", "row_indices")
 
 
 def filter_issues(issues: DataFrame, **chosen: list[str]) -> DataFrame:

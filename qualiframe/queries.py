@@ -381,14 +381,12 @@ _FROM_RANK = "CASE max({}) WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN
 
 @query(f"{ISSUES_CTE} SELECT column_name, issue_type, {_FROM_RANK} AS severity, count(*) AS n_issues, count(DISTINCT row_index) AS n_rows, min(row_index) AS first_row, max(row_index) AS last_row FROM h WHERE issue_type IN ({_GUIDED}) AND column_name IS NOT NULL GROUP BY column_name, issue_type")
 def grp_build(s, d):
-    g = overrides.issue_groups(analysis(s, d).issues)
-    return g.select("column_name", "issue_type", "severity", "n_issues", F.size("row_indices").cast("long").alias("n_rows"), F.element_at("row_indices", 1).alias("first_row"), F.element_at("row_indices", -1).alias("last_row"))
+    return overrides.group_counts(analysis(s, d).issues)
 
 
 @query(f"{ISSUES_CTE} SELECT column_name, issue_type, current_value AS value FROM h WHERE issue_type = 'inconsistent_capitalization' GROUP BY ALL")
 def ui_variant_list(s, d):
-    g = analysis(s, d).issues.filter("issue_type = 'inconsistent_capitalization'").groupBy("column_name", "issue_type").agg(F.sort_array(F.collect_set("current_value")).alias("values"))
-    return g.select("column_name", "issue_type", F.explode("values").alias("value"))
+    return analysis(s, d).issues.filter("issue_type = 'inconsistent_capitalization'").select("column_name", "issue_type", F.col("current_value").alias("value")).distinct()
 
 
 # ---- scores ------------------------------------------------------------------------------------

@@ -29,3 +29,15 @@ def test_no_aggregate_holds_all_values(spark):
     ties = spark.createDataFrame([(0, 2.0), (1, 1.0), (2, 2.0), (3, 1.0), (4, None)], "_row_id long, x double")
     assert strategies.numeric_stats(ties, "x").first()["mode"] == 1.0
     assert strategies.numeric_stats(ties.limit(0), "x").collect() == [(None,) * 8]
+
+
+def test_groups_of_issues_are_counted_not_collected(spark):
+    from qualiframe.operators import overrides
+
+    rows = [("a", "missing_null", "Low", 3), ("a", "missing_null", "High", 1), ("a", "missing_null", "Low", 3), ("b", "missing_null", "Low", None), (None, "missing_null", "Low", 5), ("a", "other", "Low", 1)]
+    issues = spark.createDataFrame(rows, "column_name string, issue_type string, severity string, row_index long")
+    counts = overrides.group_counts(issues)
+    assert [tuple(r) for r in counts.collect()] == [("a", "missing_null", "High", 3, 2, 1, 3), ("b", "missing_null", "Low", 1, 0, None, None)]
+    assert "collect_" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, overrides.group_rows(issues).collect())) == [("a", "missing_null", 1), ("a", "missing_null", 3)]
+    assert [r["row_indices"] for r in overrides.issue_groups(issues).collect()] == [[1, 3], []]
