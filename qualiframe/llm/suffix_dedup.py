@@ -72,7 +72,8 @@ def _block(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray
     last[:-1] &= ~valid[1:] | (place[1:] != place[:-1])
     first, last = np.flatnonzero(new), np.flatnonzero(last)
     anchor = place[first]
-    return anchor, first, last, np.searchsorted(offsets, first, "right") - 1, hashed[anchor]
+    # Anchors have low hashes, as each is a least one; mixed once more, they are spread evenly over the tasks.
+    return anchor, first, last, np.searchsorted(offsets, first, "right") - 1, mixed(hashed[anchor])
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, span: int) -> list[np.ndarray]:
