@@ -182,7 +182,7 @@ def _bags(bag: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, bag: int = BAG) -> dict[str, np.ndarray]:
-    """A model from a bounded sample: the ``per_class`` labelled documents of each label that come first by a hash of their id."""
+    """A model from a bounded sample: the ``per_class`` labelled documents of each label that come first by a hash of their id, one row of each."""
     work = Scratch(docs.sparkSession, "quality")
     told = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
     told = told.filter(~held_out(F.col("doc_id")))
@@ -195,6 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         chosen = top if chosen is None else chosen.unionByName(top)
     chosen = work.save(chosen, "chosen")
     sample = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    # One row of each id, whatever their number, so at most 2 * per_class rows reach the driver.
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"))).alias("text"))
     rows = sample.mapInArrow(_bags(bag), "doc_id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
     held = [(np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH), r["label"]) for r in rows if r["bag"]]

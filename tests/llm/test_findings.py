@@ -10,3 +10,13 @@ def test_anchors_are_spread_over_tasks():
     hashes = suffix_dedup.scan(data, np.array([0, len(data)]), 50)[4]
     sizes = np.bincount(suffix_dedup._part(hashes, 32), minlength=32)
     assert sizes.max() < 1.3 * sizes.mean()
+
+
+def test_quality_sample_has_one_row_of_each_id(spark):
+    from qualiframe.llm import quality
+
+    rows = [(i, f"{'fine prose of a good kind' if i % 2 else 'buy now click here'} number {i}. " * 8, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    once, often = quality.fit(docs, labels), quality.fit(docs.unionByName(docs.filter("doc_id < 20").crossJoin(spark.range(30)).drop("id")), labels)
+    assert once.keys() == often.keys() and all(np.array_equal(once[k], often[k]) for k in once)
