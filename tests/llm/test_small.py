@@ -252,21 +252,19 @@ def removed(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("chunk, block", [(8_000_000, 900_000), (700, 300)])
-def test_suffix_dedup(spark, docs, none, monkeypatch, chunk, block):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 700}, {"chunk": 300, "share": 1500, "fan": 3}, {"chunk": 900, "hot": 2}, {"chunk": 500, "hot": 4, "fan": 6}])
+def test_suffix_dedup(spark, docs, none, sizes):
     rows = [(r[0], r[1]) for r in documents()] + [(20, "ab" * 200), (21, "x" + "ab" * 100 + "é" * 60), (22, "é" * 80)]
     table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     got = defaultdict(list)
-    for r in suffix_dedup.remove_repeats(table).collect():
+    for r in suffix_dedup.remove_repeats(table, **sizes).collect():
         got[r["doc_id"]].append((r["n_bytes"], sum(b - a for a, b in zip(r["starts"], r["ends"])), bytes(r["kept"])))
     wanted = removed(rows)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_loser_tree_merges_and_knows_prefixes():
+def test_loser_tree_merges_and_knows_prefixes(monkeypatch):
     import random
 
     rng = random.Random(1)
@@ -278,11 +276,32 @@ def test_loser_tree_merges_and_knows_prefixes():
             yield (next((i for i in range(8) if x[i] != before[i]), 8) if before is not None else 0), x
             before = x
 
+    read = []
+    compare = suffix_dedup.mismatch
+    monkeypatch.setattr(suffix_dedup, "mismatch", lambda x, y, at, width: read.append((compare(x, y, at, width), at)) or read[-1][0])
     out = list(suffix_dedup.merge([iter(coded(r)) for r in runs], 8))
     texts = [t for _, _, t in out]
     assert texts == sorted(x for r in runs for x in r)
     for (_, _, a), (_, shared, b) in zip(out, out[1:]):
         assert shared == next((i for i in range(8) if a[i] != b[i]), 8)
+    # Each comparison starts behind the known prefix; without that knowledge every one would start at 0.
+    assert all(at <= to for to, at in read) and sum(at for _, at in read) > 2 * len(read)
+
+
+def test_mismatch_reads_nothing_before_its_start():
+    a, b = b"x" * 40 + b"a" + b"z" * 55, b"y" * 40 + b"b" + b"z" * 55
+    assert suffix_dedup.mismatch(a, b, 40, 96) == 40 and suffix_dedup.mismatch(a, b, 41, 96) == 96 and suffix_dedup.mismatch(a, b, 0, 96) == 0
+    assert suffix_dedup.mismatch(b"q" * 33 + b"\x01\x02", b"q" * 33 + b"\x01\x03", 3, 35) == 34
+
+
+def test_scan_is_the_same_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    data = rng.integers(97, 100, 9000).astype(np.uint8)
+    offsets = np.array([0, 10, 3000, 3000, 3049, 8800, 9000])
+    spans = lambda: {(a, w, d, h) for a, p, q, d, h, _ in zip(*suffix_dedup.scan(data, offsets, 50)) for w in range(p, q + 1)}
+    whole = spans()
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 400)
+    assert spans() == whole and len(whole) == sum(max(0, n - 49) for n in np.diff(offsets))
 
 
 # ---- 4: mixing ---------------------------------------------------------------------------------
