@@ -89,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, pipeline)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, url_aliases, pipeline)}
 
 
 OP4_SQL = r"""
@@ -131,35 +131,65 @@ JOIN cum ON cum.source IS NOT DISTINCT FROM d.source AND cum.h = d.h
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
-OP5_SQL = rf"""
+
+
+def _key_sql(host: str, path: str, query: str) -> str:
+    """Alias key in SQL: dot segments go, an empty path is a slash."""
+    longer = rf"CASE WHEN regexp_matches({path}, '/\.\.?$') THEN {path} || '/' ELSE {path} END"
+    steps = f"list_reduce(list_transform(string_split({longer}, '/'), lambda x: [x]), lambda kept, x: CASE x[1] WHEN '..' THEN kept[1:greatest(len(kept) - 1, 1)] WHEN '.' THEN kept ELSE list_concat(kept, x) END)"
+    return f"{host} || CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN array_to_string({steps}, '/') ELSE {path} END || {query}"
+
+
+def _attribute_sql(attributes: str, name: str) -> str:
+    found = rf"list_filter({attributes}, lambda y: regexp_matches(y, '(?is)^{name}\s*='))[1]"
+    bare = rf"""regexp_replace(regexp_replace({found}, '(?s)^[^=]*=\s*', ''), '(?s)^(["''])(.*)["'']$', '\2')"""
+    return rf"trim(replace({bare}, '&amp;', '&'), e' \t\n\r\f\v')"
+
+
+def _absolute_sql(to: str, host: str, path: str) -> str:
+    slash = f"CASE WHEN {path} = '' THEN '/' ELSE {path} END"
+    return rf"""CASE WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN {to}
+      WHEN {to} = '' OR {to} LIKE '#%' OR regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL
+      WHEN {to} LIKE '//%' THEN 'http:' || {to} WHEN {to} LIKE '/%' THEN 'http://' || {host} || {to} WHEN {to} LIKE '?%' THEN 'http://' || {host} || {slash} || {to}
+      ELSE 'http://' || {host} || regexp_replace({slash}, '[^/]*$', '') || {to} END"""
+
+
+def _parts_sql(url: str, names: str = "host path query") -> str:
+    host, path, query = names.split()
+    at = lambda k: f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', {k}), '')"
+    return f"translate({at(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS {host}, {at(2)} AS {path}, {at(3)} AS {query}"
+
+
+def url_sql(pages: str, redirects: str = "SELECT CAST(NULL AS VARCHAR) AS from_url, CAST(NULL AS VARCHAR) AS to_url") -> str:
+    """The URL query over any pages and redirects, by a recursive walk over all links."""
+    return rf"""
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES {_RULE_ROWS}),
-u AS (
-  SELECT page_id, html, url,
-         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 2), '') AS path,
-         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 3), '') AS query
-  FROM pages
-), k AS (
-  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key FROM u
-), tags AS (
-  SELECT key, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM k WHERE key IS NOT NULL
-), targets AS (
-  SELECT key, host, path, replace(CASE
-    WHEN regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-  END, '&amp;', '&') AS t
-  FROM tags
-), absolute AS (
-  SELECT key AS a, CASE WHEN regexp_matches(t, '(?s)^[A-Za-z][A-Za-z0-9+.\-]*://') THEN t WHEN t LIKE '//%' THEN 'http:' || t
-    WHEN t LIKE '/%' THEN 'http://' || host || t
-    WHEN t <> '' THEN CASE WHEN path = '' THEN 'http://' || host || '/' ELSE regexp_replace('http://' || host || path, '(?s)^(.*?://.*/)[^/]*$', '\1') END || t END AS t
-  FROM targets
-), split AS (
-  SELECT a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-         regexp_extract(t, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 2) AS p, regexp_extract(t, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 3) AS q
-  FROM absolute WHERE t IS NOT NULL
-), e AS (
-  SELECT a, h || CASE WHEN p = '' THEN '/' ELSE p END || q AS b FROM split WHERE h <> ''
+u AS (SELECT page_id, html, url, {_parts_sql("url")} FROM ({pages})),
+k AS (SELECT *, CASE WHEN host <> '' THEN {_key_sql("host", "path", "query")} END AS key FROM u),
+tagged AS (
+  SELECT key, host, path, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta|base)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags
+  FROM k WHERE key IS NOT NULL AND html IS NOT NULL
+), spread AS (
+  SELECT key, host, path, unnest(tags) AS tag,
+    regexp_extract_all(list_filter(tags, lambda y: regexp_matches(y, '(?is)^<base\b.*[\s"''/]href\s*='))[1], '(?s)[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)') AS base_attributes
+  FROM tagged
+), read AS (
+  SELECT *, regexp_extract_all(tag, '(?s)[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)') AS attributes FROM spread
+), links AS (
+  SELECT key, host, path, {_attribute_sql("base_attributes", "href")} AS base,
+    CASE WHEN regexp_matches(tag, '(?i)^<link\b') AND regexp_matches({_attribute_sql("attributes", "rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {_attribute_sql("attributes", "href")}
+      WHEN regexp_matches(tag, '(?i)^<meta\b') AND lower({_attribute_sql("attributes", "http-equiv")}) = 'refresh'
+      THEN regexp_extract({_attribute_sql("attributes", "content")}, '(?is)^[0-9.\s]*[;,]?\s*url\s*=\s*["'']?\s*([^"''\s]+)', 1) END AS t
+  FROM read
+), seen AS (SELECT key, t, host, path, {_absolute_sql("base", "host", "path")} AS base FROM links WHERE t <> ''),
+based AS (SELECT key, t, host, path, base, {_parts_sql("base", "bhost bpath bquery")} FROM seen),
+near AS (SELECT key, t, CASE WHEN base IS NULL THEN host ELSE bhost END AS host, CASE WHEN base IS NULL THEN path ELSE bpath END AS path FROM based),
+absolute AS (SELECT key AS a, {_absolute_sql("t", "host", "path")} AS t FROM near),
+split AS (SELECT a, {_parts_sql("t", "h p q")} FROM absolute WHERE t IS NOT NULL),
+r AS (SELECT {_parts_sql("from_url", "fh fp fq")}, {_parts_sql("to_url", "th tp tq")} FROM ({redirects})),
+e AS (
+  SELECT a, {_key_sql("h", "p", "q")} AS b FROM split WHERE h <> ''
+  UNION ALL SELECT {_key_sql("fh", "fp", "fq")}, {_key_sql("th", "tp", "tq")} FROM r WHERE fh <> '' AND th <> ''
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 member AS (
@@ -178,6 +208,34 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN key IN (SELECT a FROM
 """
 
 
+#: Every page of the table with links planted by fixed rules, in SQL that both engines take: canonical links in many spellings, bases, jumps and chains of mirrors.
+PLANTED_PAGES = r"""
+SELECT page_id, url, CASE
+  WHEN page_id % 8 IN (0, 3, 6) THEN '<head><link' || chr(10) || ' data-href="http://x.example.net/q"' || chr(10) || ' rel="canonical"' || chr(10) || ' href="https://Mirror' || CAST(page_id % 307 AS VARCHAR(9)) || '.example/a/../p">'
+  WHEN page_id % 8 IN (1, 4) THEN '<META http-equiv=refresh content="0; URL=''//mirror' || CAST(page_id % 307 AS VARCHAR(9)) || '.example/p''">'
+  WHEN page_id % 8 IN (2, 5) THEN '<base href="http://mirror' || CAST(page_id % 307 AS VARCHAR(9)) || '.example/deep/x"><link title="a > b" rel=''next canonical'' href=../p#part>'
+  WHEN page_id % 5 = 0 THEN '<!-- <link rel="canonical" href="http://blocked.example.org/es/1"> --><p>'
+  WHEN page_id % 5 = 1 THEN '<link rel="alternate" href="http://blocked.example.org/es/1">'
+  WHEN page_id % 5 = 2 THEN '<link rel="canonical" href="/copy?of=1&amp;n=' || CAST(page_id % 11 AS VARCHAR(9)) || '">'
+  WHEN page_id % 5 = 3 THEN '<link rel=canonical href="mailto:a@example.org">' ELSE html END AS html
+FROM pages
+"""
+PLANTED_REDIRECTS = r"""
+SELECT 'http://mirror' || CAST(n AS VARCHAR(9)) || '.example/p' AS from_url,
+  CASE WHEN n % 8 = 0 THEN 'https://hop' || CAST(n AS VARCHAR(9)) || '.example/' WHEN n % 8 = 2 THEN 'http://fine.example/' || CAST(n AS VARCHAR(9))
+    WHEN n % 2 = 0 THEN 'http://x.example.net/de/8' || CAST(n AS VARCHAR(9)) ELSE 'https://a.example.org/es/' || CAST(n AS VARCHAR(9)) END AS to_url
+FROM (SELECT DISTINCT page_id % 307 AS n FROM pages) AS m
+UNION ALL SELECT 'http://hop' || CAST(n AS VARCHAR(9)) || '.example', CASE WHEN n % 16 = 0 THEN 'http://b.example.com/en/1' ELSE 'http://c.example.net/de/1' END FROM (SELECT DISTINCT page_id % 307 AS n FROM pages) AS m WHERE n % 8 = 0
+UNION ALL SELECT 'http://mirror9.example/p', 'http://example.com/en/7'
+"""
+
+
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter over all pages with planted links, so that aliases decide."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(spark.sql(PLANTED_PAGES.replace("FROM pages", "FROM {pages}"), pages=pages), URL_RULES, spark.sql(PLANTED_REDIRECTS.replace("FROM pages", "FROM {pages}"), pages=pages))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -222,4 +280,4 @@ FROM v JOIN part ON part.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": url_sql("SELECT * FROM pages"), "url_aliases": url_sql(PLANTED_PAGES, PLANTED_REDIRECTS)}

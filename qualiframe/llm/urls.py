@@ -3,9 +3,11 @@
 A page's own rule decides it.  A page without a rule takes the decision of its aliases: pages and
 targets joined by canonical links, meta refreshes and given redirects form components, and a
 component with a blocked member is blocked unless one of its members is explicitly allowed.
+Aliases are compared by host, path without dot segments, and query.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; null or broken html has no links; repeated urls are one node; an empty table gives an
+allowed; null html has no links, of broken html what can be read as a tag; very
+long html is read whole, in linear time; repeated urls are one node and get one verdict; an empty table gives an
 empty result; columns of the input beyond id, url and html are not read.
 """
 
@@ -35,10 +37,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _SPLIT, 2), F.lit(""))
 
 
+def tidy_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    whole = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    first = F.array(F.lit(""))
+    step = F.aggregate(
+        F.slice(F.split(whole, "/"), 2, 1 << 30), first,
+        lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    return F.when(path.contains("/."), F.array_join(step, "/")).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
-    """Host, path and query of a url; scheme and fragment do not tell pages apart. Null without a host."""
+    """Host, tidy path and query of a url; scheme and fragment do not tell pages apart. Null without a host."""
     path = path_of(url)
-    key = F.concat(host_of(url), F.when(path == "", "/").otherwise(path), F.coalesce(F.regexp_extract(url, _SPLIT, 3), F.lit("")))
+    key = F.concat(host_of(url), F.when(path == "", "/").otherwise(tidy_path(path)), F.coalesce(F.regexp_extract(url, _SPLIT, 3), F.lit("")))
     return F.when(host_of(url) != "", key)
 
 
@@ -55,26 +68,52 @@ def _of_rule(values: Sequence[str], place: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in enumerate(values, 1) for x in pair])[place]
 
 
-def link_edges(pages: DataFrame, work: Scratch, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): alias keys of a page and of each canonical link or meta refresh in it."""
-    tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
-    tags = pages.filter(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("url"), tag.alias("tag"))
-    canonical = F.col("tag").rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?\s*canonical\b""")
-    refresh = F.col("tag").rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    target = F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    # Few rows are left; writing them between the steps keeps each expression small.
-    found = tags.select("url", F.when(canonical, href).when(refresh, target).alias("to")).filter("to <> ''")
-    found = work.save(found.select(alias_key(F.col("url")).alias("a"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.replace("to", F.lit("&amp;"), F.lit("&")).alias("to")), "links")
-    base, to = F.concat(F.lit("http://"), F.col("host")), F.col("to")
-    folder = F.regexp_replace(F.concat(base, F.when(F.col("path") == "", "/").otherwise(F.col("path"))), r"(?s)^(.*?://.*/)[^/]*$", "$1")
-    whole = (
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = r"""(?s)[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of that name, without quotes; null if there is none."""
+    found = F.get(F.filter(attributes, lambda a: a.rlike(rf"(?is)^{name}\s*=")), F.lit(0))
+    value = F.regexp_replace(F.regexp_replace(found, r"(?s)^[^=]*=\s*", ""), r"""(?s)^(["'])(.*)["']$""", "$2")
+    return F.regexp_replace(F.replace(value, F.lit("&amp;"), F.lit("&")), r"^\s+|\s+$", "")
+
+
+def _absolute(to: Column, host: Column, path: Column) -> Column:
+    """A link as a url, seen from a page of this host and path; null for none and for schemes without ``//``."""
+    base, path = F.concat(F.lit("http://"), host), F.when(path == "", "/").otherwise(path)
+    return (
         F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
+        .when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:|^#|^$"), F.lit(None))
         .when(to.startswith("//"), F.concat(F.lit("http:"), to))
         .when(to.startswith("/"), F.concat(base, to))
-        .otherwise(F.concat(folder, to))
+        .when(to.startswith("?"), F.concat(base, path, to))
+        .otherwise(F.concat(base, F.regexp_replace(path, r"(?s)[^/]*$", ""), to))
     )
-    found = work.save(found.select("a", whole.alias("to")), "targets")
+
+
+def link_edges(pages: DataFrame, work: Scratch, url: str = "url", html: str = "html") -> DataFrame:
+    """(a, b): alias keys of a page and of each canonical link or meta refresh in it.
+
+    Tags may span lines and hold ``>`` in quotes; what comments, scripts and styles hold is no tag.
+    Links are relative to the page, or to its first ``base`` tag.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    # Few pages and tags are left at each step; writing them keeps each expression small.
+    some = work.save(pages.filter(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("url"), tags.alias("tags")), "tags")
+    of_tag = lambda tag: F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+    based = F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b.*[\s\"'/]href\s*=")), F.lit(0))
+    found = some.select(alias_key(F.col("url")).alias("a"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), _attribute(of_tag(based), "href").alias("base"), F.explode("tags").alias("tag"))
+    found = found.filter("a is not null").select("a", "host", "path", "base", F.col("tag").rlike(r"(?is)^<link\b").alias("is_link"), of_tag(F.col("tag")).alias("attributes"), "tag")
+    canonical = F.col("is_link") & _attribute(F.col("attributes"), "rel").rlike(r"(?is)(^|\s)canonical(\s|$)")
+    refresh = F.col("tag").rlike(r"(?is)^<meta\b") & _attribute(F.col("attributes"), "http-equiv").rlike(r"(?is)^refresh$")
+    jump = F.regexp_extract(_attribute(F.col("attributes"), "content"), r"""(?is)^[0-9.\s]*[;,]?\s*url\s*=\s*["']?\s*([^"'\s]+)""", 1)
+    found = found.select("a", "host", "path", "base", F.when(canonical, _attribute(F.col("attributes"), "href")).when(refresh, jump).alias("to")).filter("to <> ''")
+    found = work.save(found.withColumn("base", _absolute(F.col("base"), F.col("host"), F.col("path"))), "links")
+    seen_from = F.when(F.col("base").isNull(), F.col("host")).otherwise(host_of(F.col("base"))), F.when(F.col("base").isNull(), F.col("path")).otherwise(path_of(F.col("base")))
+    found = work.save(found.select("a", "to", seen_from[0].alias("host"), seen_from[1].alias("path")), "based")
+    found = work.save(found.select("a", _absolute(F.col("to"), F.col("host"), F.col("path")).alias("to")), "targets")
     return found.select("a", alias_key(F.col("to")).alias("b")).filter("a is not null and b is not null")
 
 

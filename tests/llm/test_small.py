@@ -340,10 +340,13 @@ def test_urls_rules_and_aliases(spark):
     rows = [
         (1, "http://A.Example.COM/en/7x?q#f", None), (2, "https://x.com/en/1", ""), (3, None, "x"), (4, "no scheme", "x"), (5, "http://mirror.net/a", link("https://bad.org/a")), (6, "http://other.net/b", jump("//mirror.net/a")),
         (7, "http://third.net/c", link("/d")), (8, "http://third.net/d", link("http://bad.org/z") + link("http://example.com/en/7")), (9, "http://clean.net/", "<p>"), (10, "http://mirror.net/a", "<p>"), (11, "https://notcom/en/", None),
+        (12, "http://many.net/a", '<link\n data-href="http://clean.net/"\n title="a > b"\n rel="x canonical"\n href="https://bad.org/a"\n>'), (13, "http://many.net/b", '<!-- <link rel="canonical" href="http://bad.org/"> --><script>var x = \'<link rel=canonical href=http://bad.org/>\'</script>'),
+        (14, "http://many.net/c/d", '<base href="http://bad.org/x/y"><LINK REL=canonical HREF=../z/./q>'), (15, "http://many.net/c/../e", None), (16, "http://many.net/f/", '<link rel=canonical href="../e/">' + link("../e")), (17, "http://e.net/", '<meta name="refresh" content="0;url=http://bad.org/">' + link("http://many.net/e")), (18, "http://bad.org/k/..", link("http://many.net/e")),
+        (19, "http://odd.net/", '<link rel="canonical" title="href=http://bad.org/" href="mailto:x@bad.org">' + link("javascript:x") + "<link rel='canonical' href='http://bad.org/'"),
     ]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
     verdicts = {k: r["verdict"] for k, r in got.items()}
-    assert verdicts == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "allow"}
+    assert verdicts == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "allow", 12: "block", 13: "allow", 14: "block", 15: "block", 16: "block", 17: "block", 18: "block", 19: "allow"}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("a.example.com", "/en/7x", "example.com/en/7")
     assert (got[3]["host"], got[3]["path"], got[3]["rule"]) == ("", "", None)
     redirects = spark.createDataFrame([("http://clean.net/", "http://bad.org/q")], "from_url string, to_url string")
