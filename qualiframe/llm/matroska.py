@@ -104,6 +104,8 @@ def number(data, at: int, end: int) -> int:
 
 
 def floating(data, at: int, end: int) -> float:
+    if end - at not in (0, 4, 8):
+        raise MatroskaError(f"a floating-point number of {end - at} bytes at {at}")
     return struct.unpack(">f" if end - at == 4 else ">d", data[at:end])[0] if end > at else 0.0
 
 

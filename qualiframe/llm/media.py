@@ -1,8 +1,10 @@
 """Texts as media columns: each text is stored as a Matroska file, parsed again and described.
 
 Defined cases: a null text is the empty text; the payload of an empty text is one frame of spaces;
-equal texts give equal files; texts of any length are streamed frame by frame, one row at a time;
-repeated rows stay repeated; an empty table gives an empty table.
+equal texts give equal files; a text is handled whole, one row at a time, so a very long one needs
+some ten times its size in its task; repeated rows stay repeated; an empty table gives an empty
+table; columns beyond id and text are not read, whatever their names.  A null file has no packets; a
+broken one has a single row with what is wrong with it in ``error``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import matroska
 from .scratch import bounded_batches
 
-PACKETS = "doc_id long, packet long, track int, timestamp_ns long, is_key boolean, start long, end long"
+PACKETS = "doc_id long, packet long, track int, timestamp_ns long, is_key boolean, start long, end long, error string"
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -79,17 +81,20 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet of (doc_id, media): track, timestamp, key flag and byte range in the file."""
+    """One row per packet of (doc_id, media): track, timestamp, key flag and byte range in the file; a broken file has one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        names = ["doc_id", "packet", "track", "timestamp_ns", "is_key", "start", "end"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+        names = ["doc_id", "packet", "track", "timestamp_ns", "is_key", "start", "end", "error"]
         for batch in batches:
             for doc, value in zip(batch.column(0), batch.column(1)):
                 if (data := value.as_py()) is None:
                     continue
-                rows = matroska.parse(data).packets
-                columns = [[doc.as_py()] * len(rows), list(range(len(rows))), *([r[i] for r in rows] for i in range(5))]
+                try:
+                    rows, error = matroska.parse(data).packets, None
+                except matroska.MatroskaError as e:
+                    rows, error = [(None,) * 5], str(e)
+                columns = [[doc.as_py()] * len(rows), [None] if error else list(range(len(rows))), *([r[i] for r in rows] for i in range(5)), [error] * len(rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return media.select("doc_id", "media").mapInArrow(run, PACKETS)

@@ -7,8 +7,10 @@ the chosen rows of a smaller budget are always a subset of those of a larger one
 
 Defined cases: a null source is a source of its own and the last one in order; a null or negative
 size counts as 0; a row of size 0 follows its hash as any other; equal rows share a hash and are
-taken or left together; an empty table gives an empty mix; other columns pass through, and the
-names this operator adds replace columns of the same name.
+taken or left together; texts are not read, so their length does not matter; an empty table gives an
+empty mix; other columns pass through under any name, and the three names that this operator adds
+(source_size, target, copies) replace columns of the same name.  Sources are expected in at most some
+millions: their targets are worked out by running sums over one row a source.
 """
 
 from __future__ import annotations
@@ -113,7 +115,10 @@ def mix(
         .select(F.col("source").alias("_mix_source"), "source_size", "target", "times", "threshold"),
         "final",
     )
-    out = docs.drop("source_size", "target", "copies", "_mix_source", "times", "threshold").withColumn("_mix_hash", row_hash(F.col(key)))
-    out = out.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
+    slots = [f"_c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, slots))
+    out = docs.toDF(*slots).withColumn("_mix_hash", row_hash(F.col(at[key])))
+    out = out.join(plan, F.col(at[source]).eqNullSafe(F.col("_mix_source")), "left")
     copies = (F.col("times") + (F.col("_mix_hash") < F.col("threshold")).cast("long")).alias("copies")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "copies")], "source_size", "target", copies)
+    kept = [F.col(s).alias(c) for c, s in zip(docs.columns, slots) if c not in ("source_size", "target", "copies")]
+    return out.select(*kept, "source_size", "target", copies)

@@ -4,14 +4,16 @@ A document is a bag of passages of 64 words.  Every passage is encoded from its
 byte pairs, hashed word shapes), a gated attention weighs the passages, and the weighted sum of their
 encodings is scored.  Only documents are labelled; the weights of passages are learned from that.
 
-The model is fitted on the driver from a bounded, balanced sample of labelled documents
-(``per_class`` of each label, at most ``bag`` evenly spread passages of each); scoring reads every
-passage of every document.
+The model is fitted on the driver from a bounded, balanced sample of labelled documents: of each
+label the first ``per_class`` by a hash of their id, as long as their words stay within
+``class_words``.  A sampled document teaches with all of its passages; scoring reads every passage of
+every document.
 
 Defined cases: a null, empty or blank text has no passage and scores 0; labels that are null are
 ignored, a document with several labels has their majority (ties: 1); with labels of one kind or
 none every text with words gets that share (0.5 for none); ties in the sample order go by doc_id;
-equal rows have equal scores; an empty table gives an empty table; other columns pass by.
+equal rows have equal scores; a very long text needs some ten times its size in its task; an empty
+table gives an empty table; other columns pass by under any name.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import minhash
 from .scratch import Scratch, bounded_batches
+from .words import word_count
 
 PASSAGE, PAIRS, SHAPES, FIGURES = 64, 256, 128, 12
 WIDTH = FIGURES + PAIRS + SHAPES
-PER_CLASS, BAG, HIDDEN, GATE = 1500, 24, 24, 12
+PER_CLASS, CLASS_WORDS, HIDDEN, GATE = 1500, 4_000_000, 24, 12
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _HIGH, _SIGN = range(6)
 _KIND = np.full(256, _SIGN, np.uint8)
@@ -129,6 +133,21 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray, number: np.ndarray) ->
     return out
 
 
+def gradient(model: dict[str, np.ndarray], x: np.ndarray, number: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted log loss of the bags' labels."""
+    p, (h, v, u, a, z, starts, owner) = _forward(model, x, number)
+    d = (p - y) * weight
+    dz = d[:, None] * model["out"]
+    dh = dz[owner] * a[:, None]
+    da = (h * dz[owner]).sum(axis=1)
+    dr = a * (da - np.add.reduceat(a * da, starts)[owner])
+    dvu = dr[:, None] * model["att_w"]
+    dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
+    dh += dv @ model["att_v"].T + du @ model["att_u"].T
+    dx = dh * (1 - h * h)
+    return {"enc": x.T @ dx, "enc_b": dx.sum(axis=0), "att_v": h.T @ dv, "att_u": h.T @ du, "att_w": (v * u).T @ dr, "out": z.T @ d, "out_b": d.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, number: np.ndarray, label: np.ndarray, share: float | None = None, *, steps: int = 160, rate: float = 0.01, decay: float = 1e-2, seed: int = 7) -> dict[str, np.ndarray]:
     """Fit by full-batch Adam; label 1 weighs ``share`` of all, by default its share of ``label``."""
     if len(label) == 0 or label.min() == label.max():
@@ -143,18 +162,7 @@ def train(x: np.ndarray, number: np.ndarray, label: np.ndarray, share: float | N
     share = float(y.mean()) if share is None else share
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()).astype(np.float32)
     for step in range(1, steps + 1):
-        p, (h, v, u, a, z, starts, owner) = _forward(model, x, number)
-        d = (p - y) * weight
-        dz = d[:, None] * model["out"]
-        dh = dz[owner] * a[:, None]
-        da = (h * dz[owner]).sum(axis=1)
-        dr = a * (da - np.add.reduceat(a * da, starts)[owner])
-        dvu = dr[:, None] * model["att_w"]
-        dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
-        dh += dv @ model["att_v"].T + du @ model["att_u"].T
-        dx = dh * (1 - h * h)
-        grad = {"enc": x.T @ dx, "enc_b": dx.sum(axis=0), "att_v": h.T @ dv, "att_u": h.T @ du, "att_w": (v * u).T @ dr, "out": z.T @ d, "out_b": d.sum(keepdims=True)}
-        for k, g in grad.items():
+        for k, g in gradient(model, x, number, y, weight).items():
             g = g + decay * model[k]
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.999 * m2[k] + 0.001 * g * g
@@ -167,22 +175,17 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _bags(bag: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in minhash.parts(batch.column(2), 500_000):
-                x, number = passages(*minhash.text_bytes(texts))
-                starts, rows = np.cumsum(number) - number, []
-                for s, n in zip(starts, number):
-                    chosen = s + (np.arange(n) if n <= bag else np.linspace(0, n - 1, bag).round().astype(np.int64))
-                    rows.append(x[chosen].astype(np.float16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, texts in minhash.parts(batch.column(2), 500_000):
+            x, number = passages(*minhash.text_bytes(texts))
+            starts = np.cumsum(number) - number
+            rows = [x[s : s + n].astype(np.float16).tobytes() for s, n in zip(starts, number)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, bag: int = BAG) -> dict[str, np.ndarray]:
-    """A model from a bounded sample: the ``per_class`` labelled documents of each label that come first by a hash of their id, one row of each."""
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, class_words: int = CLASS_WORDS) -> dict[str, np.ndarray]:
+    """A model from a bounded sample: the labelled documents of each label that come first by a hash of their id, one row of each, at most ``per_class`` with ``class_words`` words in all."""
     work = Scratch(docs.sparkSession, "quality")
     told = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
     told = told.filter(~held_out(F.col("doc_id")))
@@ -197,10 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     sample = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     # One row of each id, whatever their number, so at most 2 * per_class rows reach the driver.
     sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"))).alias("text"))
-    rows = sample.mapInArrow(_bags(bag), "doc_id long, label int, bag binary").collect()
+    sample = work.save(sample.withColumn("words", word_count(F.col("text"))), "sample")
+    upto = F.sum("words").over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    few = work.save(sample.select("doc_id", "label", "words").withColumn("upto", upto).filter(F.col("upto") <= class_words).select("doc_id"), "few")
+    sample = sample.select("doc_id", "label", "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
+    rows = sample.mapInArrow(_bags, "doc_id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
     held = [(np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH), r["label"]) for r in rows if r["bag"]]
-    work.drop("told", "chosen")
+    work.drop("told", "chosen", "sample", "few")
     x = np.concatenate([h[0] for h in held]).astype(np.float32) if held else np.zeros((0, WIDTH), np.float32)
     return train(x, np.array([len(h[0]) for h in held], np.int64), np.array([h[1] for h in held]), ones)
 

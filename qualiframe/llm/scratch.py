@@ -2,13 +2,14 @@
 
 A table is written with Spark's own writer below ``spark.checkpoint.dir`` (the folder that a
 cluster shares between its machines) and read back, so a lost executor costs a re-read, not a
-recomputation.  A folder of our own is set only if the session names none, as in tests.
+recomputation.  A folder of our own is made only on a local master that names none, as in tests.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if "dir" not in _OWN:
         own = tempfile.mkdtemp(prefix="qualiframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

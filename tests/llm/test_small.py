@@ -1,6 +1,7 @@
 """Operators on small tables against brute force: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -327,6 +328,10 @@ def test_mixing_meets_targets(spark, none):
     assert len({round(target[s] / weights[s], 6) for s in free}) == 1
     assert all(abs(taken[s] - target[s]) <= 200 for s in size)
     assert mixing.mix(none, size="n_chars").count() == 0
+    own = ("times", "threshold", "_mix_source", "_mix_hash", "hash", "budget", "_c0")
+    clash = table.selectExpr("doc_id", "source", "size", *[f"doc_id + {k} as {c}" for k, c in enumerate(own)])
+    rows = mixing.mix(clash).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == again and all(r[c] == r["doc_id"] + k for r in rows for k, c in enumerate(own))
 
 
 # ---- 5: urls -----------------------------------------------------------------------------------
@@ -400,7 +405,65 @@ def test_quality_learns_and_holds_out(spark, none):
     assert "share" in quality.fit(docs, told.limit(0))
 
 
-def test_attention_gradient_is_right():
+def slow_score(model, bag):
+    """The same model, one passage and one number at a time."""
+    encoded, raw = [], []
+    for row in bag:
+        h = [math.tanh(sum(row[i] * model["enc"][i][k] for i in range(len(row))) + model["enc_b"][k]) for k in range(len(model["enc_b"]))]
+        gates = [math.tanh(sum(h[k] * model["att_v"][k][g] for k in range(len(h)))) / (1 + math.exp(-sum(h[k] * model["att_u"][k][g] for k in range(len(h))))) for g in range(len(model["att_w"]))]
+        encoded.append(h)
+        raw.append(math.exp(sum(x * w for x, w in zip(gates, model["att_w"]))))
+    z = [sum(a / sum(raw) * h[k] for a, h in zip(raw, encoded)) for k in range(len(encoded[0]))]
+    return 1 / (1 + math.exp(-sum(x * w for x, w in zip(z, model["out"])) - model["out_b"][0]))
+
+
+def small_model(rng, width, hidden=4, gate=3):
+    shapes = {"enc": (width, hidden), "enc_b": (hidden,), "att_v": (hidden, gate), "att_u": (hidden, gate), "att_w": (gate,), "out": (hidden,), "out_b": (1,)}
+    return {k: rng.standard_normal(s) for k, s in shapes.items()}
+
+
+def test_attention_scores_equal_a_plain_loop():
+    rng = np.random.default_rng(21)
+    model, x, number = small_model(rng, 5), rng.standard_normal((9, 5)), np.array([1, 3, 5])
+    got = quality._forward(model, x, number)[0]
+    assert np.allclose(got, [slow_score(model, bag) for bag in np.split(x, [1, 4])], rtol=1e-12)
+
+
+def test_attention_gradient_equals_finite_differences():
+    rng = np.random.default_rng(22)
+    model, x, number, y, weight = small_model(rng, 5), rng.standard_normal((9, 5)), np.array([1, 3, 5]), np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.2, 0.3])
+
+    def loss():
+        p = quality._forward(model, x, number)[0]
+        return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+    for name, g in quality.gradient(model, x, number, y, weight).items():
+        for at in np.ndindex(model[name].shape):
+            kept = model[name][at]
+            model[name][at] = kept + 1e-6
+            up = loss()
+            model[name][at] = kept - 1e-6
+            assert abs((up - loss()) / 2e-6 - g[at]) < 1e-7, (name, at)
+            model[name][at] = kept
+
+
+def test_quality_fit_reads_all_passages_within_its_bound(spark):
+    rows = [(i, " ".join(f"{'Fine' if i % 2 else 'x#!'}{i * k % 7}" for k in range(64 * (1 + i % 40)))) for i in range(80)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    seen = []
+    try:
+        found = quality.train
+        quality.train = lambda x, number, label, ones: seen.append((number.sum(), len(label))) or found(x, number, label, ones, steps=2)
+        quality.fit(docs, told)
+        quality.fit(docs, told, class_words=6400)
+    finally:
+        quality.train = found
+    teach = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen[0] == (sum(1 + i % 40 for i in teach), len(teach))
+    assert 100 <= seen[1][0] <= 200 and seen[1][1] < len(teach)
+
+
+def test_attention_learns_bags():
     rng = np.random.default_rng(8)
     x, number, y = rng.standard_normal((12, 5)).astype(np.float64), np.array([3, 4, 5]), np.array([0.0, 1.0, 1.0])
     model = quality.train(x, number, y, steps=300)
@@ -449,9 +512,41 @@ def test_media_columns(docs, none):
     assert all(len(v) == 1 for v in by_payload.values())
     packets = media.packet_table(media.encode_texts(docs))
     assert packets.count() == sum(n[2] // 192 * k for n, k in wanted.items())
+    # The signal's figures, worked out from the text alone.
+    for r in got:
+        raw = next(((t or "").encode() for d, t, *_ in documents() if d == r["doc_id"] and len((t or "").encode()) == r["n_bytes"]))
+        padded = raw + b" " * (192 - len(raw) if not raw else -len(raw) % 192)
+        if hashlib.sha256(padded).hexdigest() != r["payload_sha256"]:
+            continue
+        told, n = dict(x.split("=") for x in r["feature"].split(";")), len(padded)
+        mean = sum(padded) / n
+        share = [padded.count(b) / n for b in set(padded)]
+        assert told["packets"] == str(n // 192) and told["clusters"] == told["cues"] == str(-(-(n // 192) // 256)) and told["end_ns"] == str(n // 192 * 4_000_000)
+        assert abs(float(told["mean"]) - mean) < 1e-4 and abs(float(told["std"]) - math.sqrt(sum((b - mean) ** 2 for b in padded) / n)) < 1e-4
+        assert abs(float(told["entropy"]) + sum(p * math.log2(p) for p in share)) < 1e-4
+    times = packets.filter("doc_id = 11").orderBy("packet").collect()
+    assert [(r["packet"], r["timestamp_ns"], r["track"], r["end"] - r["start"], r["error"]) for r in times] == [(i, i * 4_000_000, 1, 192, None) for i in range(len(times))] and len(times) > 10
     assert media.describe_texts(none).count() == 0
 
 
+def test_broken_media_are_told(spark):
+    whole = matroska.write(b"x" * 1000)
+    files = [(1, b"junk"), (2, None), (3, b""), (4, whole[: len(whole) // 2]), (5, whole), (6, b"\x1a\x45\xdf\xa3"), (None, b"\xff" * 9)]
+    rng = np.random.default_rng(23)
+    for k in range(200):  # whole files with a few bytes changed never raise anything else
+        data = bytearray(whole)
+        for at in rng.integers(0, len(data), 4):
+            data[at] = rng.integers(0, 256)
+        files.append((100 + k, bytes(data)))
+    rows = media.packet_table(spark.createDataFrame(files, "doc_id long, media binary")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    for broken in (1, 3, 4, 6, None):
+        assert len(by[broken]) == 1 and by[broken][0]["error"] and by[broken][0]["packet"] is None
+    assert 2 not in by and len(by[5]) == 6 and all(r["error"] is None for r in by[5])
+
+
 def test_jaccard_links_in_ranges():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, 300_000).astype(np.uint64) * np.uint64(2)
