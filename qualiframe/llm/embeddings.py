@@ -152,6 +152,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     members = work.save(members, "members")
     keyed = leaves(members, work, threshold, trees, leaf)
 
+    size = members.agg(F.max(F.length("vector"))).first()[0] or 0
+
     def prepare(payloads: pa.Array) -> list[np.ndarray]:
         return [np.frombuffer(p, np.float64) for p in payloads.to_pylist()]
 
@@ -161,7 +163,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         np.fill_diagonal(links, False)
         return links
 
-    totals, labels = link(keyed, members, lambda ids: members.select("id", F.col("vector").alias("payload")), prepare, verify, work)
+    totals, labels = link(keyed.withColumn("size", F.lit(size)), members, lambda ids: members.select("id", F.col("vector").alias("payload")), prepare, verify, work)
     totals, labels = work.save(totals, "totals"), work.save(labels.withColumnRenamed("node", "id").withColumnRenamed("label", "root"), "labels")
     named = work.save(members.select("id", "w", "least").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
     roots = work.save(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")

@@ -6,7 +6,8 @@ number), all others are removed from their documents.
 
 Defined cases: a line of ASCII white space only is no line to compare and always stays; a line
 shorter than a shingle has one shingle, itself; a null or empty text has no lines and stays as it
-is; rows with equal doc_id and text are one document and keep the same lines; a null doc_id takes
+is; rows with equal doc_id and text are one document and keep the same lines, and so do rows with
+equal doc_id but other texts where they have the same line at the same number; a null doc_id takes
 its place by a hash of its text; a text that loses every line becomes null; an empty table gives an
 empty table; other columns pass through.
 """
@@ -66,10 +67,11 @@ def _lines(k: int, bands: int, rows: int):
                 if not lines:
                     continue
                 ids = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
-                signature = minhash._binned(*_shingles(lines, k), bands * rows)
+                values, number = _shingles(lines, k)
+                signature = minhash._binned(values, number, bands * rows)
                 keys = minhash._keys(signature, bands, rows, 2)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), flat], names=["row_key", "line", "id", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(ids), flat, pa.array(8 * number, pa.int64())], names=["row_key", "line", "id", "keys", "size"])
 
     return run
 
@@ -116,7 +118,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
     bands, rows = minhash.bands_for(threshold, RECALL, VALUES)
     row_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     base = docs.select(row_key.alias("row_key"), F.col(text).alias("text"))
-    lines = work.save(base.mapInArrow(_lines(shingle, bands, rows), "row_key long, line int, id long, keys array<long>"), "lines")
+    lines = work.save(base.mapInArrow(_lines(shingle, bands, rows), "row_key long, line int, id long, keys array<long>, size long"), "lines")
     classes = lines.groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("row_key", "line")).alias("first"))
     classes = work.save(classes, "classes")
 
@@ -127,7 +129,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
         work.release()
         return texts
 
-    _, labels = link(lines.select("id", F.explode("keys").alias("key")), classes, payload, _ready(shingle), lambda sets: minhash.jaccard_links(sets, threshold), work)
+    _, labels = link(lines.select("id", F.explode("keys").alias("key"), "size"), classes, payload, _ready(shingle), lambda sets: minhash.jaccard_links(sets, threshold), work, count=False)
     labels = work.save(labels.withColumnRenamed("node", "id"), "labels")
     named = classes.select("id", "w", "first").join(labels, "id", "left").filter("w > 1 or label is not null").withColumn("label", F.coalesce("label", "id"))
     named = work.save(named, "named")
@@ -135,7 +137,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
     told = work.save(named.join(kept, "label").select("id", "kept"), "told")
     removed = lines.select("row_key", "line", "id").join(told, "id").filter("row_key <> kept.row_key or line <> kept.line")
     removed = work.save(removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "id")).alias("_removed")), "removed")
-    work.drop("lines", "classes", "shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "links", "labels", "named", "kept", "told")
+    work.drop("lines", "classes", "shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "first_links", "first_labels", "large", "main", "rest", "wanted", "second_links", "labels", "named", "kept", "told")
 
     names = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     slots = [f"_c{i}" for i in range(len(names))]

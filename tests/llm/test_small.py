@@ -206,10 +206,58 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark):
     finally:
         ngram_join.link = found
     wanted = {i: sum(i != j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for j in range(150)) for i in range(150)}
+    try:
+        ngram_join.link = lambda *a, **k: found(*a, **(k | {"block": 16}))
+        kept = {r["doc_id"] for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
+    finally:
+        ngram_join.link = found
+    label = components(150, [(i, j) for j in range(150) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
+    assert kept == set(label)
     near = sum(wanted.values())
     assert sum(got.values()) <= near and sum(got.values()) >= 0.98 * near and all(got[k] <= wanted[k] for k in got)
 
 
+@pytest.mark.parametrize("block, block_bytes", [(512, 4 << 20), (4, 4 << 20), (512, 600)])
+def test_components_need_no_count_of_links(spark, block, block_bytes):
+    """Groups that share one bucket but are far apart, linked or not, in few and in many blocks."""
+    import pyarrow as pa
+
+    from qualiframe.llm import linkage
+    from qualiframe.llm.scratch import Scratch
+
+    rng = np.random.default_rng(31)
+    places = np.concatenate([rng.normal(c, 0.4, n) for c, n in ((0, 60), (10, 25), (20, 10), (30, 1), (40, 1))] + [np.arange(50, 62, 0.9)])
+    rows = [(i, 1 + i % 2 * int(x < 5), 100, float(x)) for i, x in enumerate(places)]
+    flat = spark.createDataFrame([(i, k, s) for i, k, s, _ in rows] + [(i, 1, s) for i, k, s, _ in rows], "id long, key long, size long").repartition(3)
+    weights = spark.createDataFrame([(i, 1) for i, *_ in rows], "id long, w long")
+    payload = spark.createDataFrame([(r[0], repr(r[3])) for r in rows], "id long, payload string")
+    prepare = lambda column: [np.array([float(x)]) for x in column.to_pylist()]
+
+    def verify(members):
+        x = np.concatenate(members)
+        near = np.abs(x[:, None] - x[None, :]) <= 1
+        np.fill_diagonal(near, False)
+        return near
+
+    edges = [(i, j) for j in range(len(rows)) for i in range(j) if abs(places[i] - places[j]) <= 1]
+    label, degree = components(len(rows), edges), Counter(x for e in edges for x in e)
+    for count in (True, False):
+        totals, labels = linkage.link(flat, weights, lambda ids: payload.join(ids, "id", "left_semi"), prepare, verify, Scratch(spark, "t"), count=count, block=block, block_bytes=block_bytes)
+        got = {r["node"]: r["label"] for r in labels.collect()}
+        assert all(got.get(i, i) == label[i] for i in range(len(rows)))
+        assert totals is None if not count else {r["id"]: r["links"] for r in totals.collect()} == dict(degree)
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    rng = np.random.default_rng(32)
+    say = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10_000, 40))
+    a, b, c = say(), say(), say()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (1, b, "x"), (2, a, "z"), (2, c, "z"), (3, None, "n"), (3, None, "n"), (3, c, "m"), (None, a, "q"), (4, b + " ", "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _id string").repartition(3)
+    got = Counter((r["doc_id"], r["text"], r["_id"]) for r in ngram_join.keep_one(table).collect())
+    assert got == Counter([(1, a, "x"), (1, b, "x"), (2, c, "z"), (3, None, "n"), (3, None, "n"), (None, a, "q")])
+
+
 def test_line_dedup(spark, docs, none):
     rows = [r for r in documents() if r[0] is not None]
     rows = sorted({(r[0], r[1]) for r in rows}, key=lambda r: r[0])
