@@ -46,6 +46,18 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: Every vector of the table in one label, so that the trees split, and a copy of two in three at distances around the threshold.
+PLANTED_VECTORS = """
+SELECT vec_id, embedding, 0 AS label FROM {embeddings}
+UNION ALL SELECT vec_id + 1000000000, transform(embedding, (x, i) -> CAST(CAST(x AS DOUBLE) + CAST(((i * 7 + vec_id) % 11 - 5) * (vec_id % 8 + 1) AS DOUBLE) / 1024 AS FLOAT)), 0 FROM {embeddings} WHERE vec_id % 3 <> 0
+"""
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding dedup over planted vectors, with its production parameters."""
+    return embeddings.near_duplicates(spark.sql(PLANTED_VECTORS, embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -89,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, url_aliases, pipeline)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, url_aliases, near_vectors, pipeline)}
 
 
 OP4_SQL = r"""
@@ -260,9 +272,9 @@ SELECT d.doc_id, class.class_id, coalesce(n_links, 0) AS n_links, coalesce(copie
 FROM documents d JOIN class ON class.a = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
 """
 
-OP6_SQL = """
+_NEAR_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM ({vectors})
 ), half AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98
 ), e AS (
@@ -277,7 +289,12 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN part ON part.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
 """
+OP6_SQL = _NEAR_SQL.format(vectors="SELECT * FROM embeddings")
+NEAR_VECTORS_SQL = _NEAR_SQL.format(vectors="""
+SELECT vec_id, embedding, 0 AS label FROM embeddings
+UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, j: CAST(CAST(x AS DOUBLE) + CAST((((j - 1) * 7 + vec_id) % 11 - 5) * (vec_id % 8 + 1) AS DOUBLE) / 1024 AS FLOAT)), 0 FROM embeddings WHERE vec_id % 3 <> 0
+""")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": url_sql("SELECT * FROM pages"), "url_aliases": url_sql(PLANTED_PAGES, PLANTED_REDIRECTS)}
+    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "near_vectors": NEAR_VECTORS_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": url_sql("SELECT * FROM pages"), "url_aliases": url_sql(PLANTED_PAGES, PLANTED_REDIRECTS)}
