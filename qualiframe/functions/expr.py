@@ -105,6 +105,23 @@ def is_placeholder(c: Column, tokens=PLACEHOLDERS) -> Column:
     return F.lower(strip(c)).isin(*tokens)
 
 
+def parse_float(c: Column) -> Column:
+    """A value typed by a user as a double, by the rules of a plain number: no currency, no grouping, underscores only between digits; null for anything else."""
+    digits = r"[0-9](?:_?[0-9])*"
+    v = strip(c)
+    plain = v.rlike(rf"(?i)^[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:e[+-]?{digits})?$")
+    named = F.regexp_replace(F.lower(v), "^[+]", "")
+    special = F.when(named.isin("inf", "infinity"), float("inf")).when(named.isin("-inf", "-infinity"), -float("inf")).when(named.isin("nan", "-nan"), float("nan"))
+    return F.when(plain, F.replace(v, F.lit("_"), F.lit("")).try_cast("double")).otherwise(special)
+
+
+def custom_date(c: Column, kind: str) -> Column:
+    """A date typed by a user: a checked date (as text) for columns stored as dates, else the text as it is; null if blank or no date."""
+    return F.when(c != "", parse_date(c).cast("string") if kind in DATE_STORED else c)
+
+
+#: Effective types of columns that are stored as dates.
+DATE_STORED = ("Date", "Datetime")
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 

@@ -34,6 +34,28 @@ def override_record(run_id: str, column: str, inferred: str, label: str, when: s
     return {"run_id": run_id, "column_name": column, "inferred_type": inferred, "selected_label": label, "effective_type": kind, "changed": kind != inferred, "recorded_at": when}
 
 
+# Headings of the tables of decisions, by column of the log.
+DECISION_HEADINGS = {
+    "run_id": "Run ID", "decided_at": "Timestamp", "dataset_name": "Dataset", "column_name": "Column", "issue_type": "Issue type", "effective_type": "Effective type", "confidence": "Confidence",
+    "strategy": "Strategy", "scope": "Scope", "rows_affected": "Affected count", "user_approved": "Approved", "result": "Decision result", "custom_value": "Custom value", "note": "Reason",
+}
+HISTORY_HEADINGS = {"recorded_at": "Timestamp", "inferred_type": "Original type", "confidence": "Original confidence", "effective_type": "New type", "user_approved": "User approved"}
+
+
+def _headed(log: DataFrame, headings: dict[str, str]) -> DataFrame:
+    return log.select(*[(F.col(c) if c in log.columns else F.lit(None).cast("string")).alias(h) for c, h in headings.items()])
+
+
+def decision_table(log: DataFrame) -> DataFrame:
+    """The log of cleaning decisions for show and export; columns that it lacks are null."""
+    return _headed(log, DECISION_HEADINGS)
+
+
+def type_history(log: DataFrame, column: str) -> DataFrame:
+    """Type decisions on one column, in the order they were taken."""
+    return _headed(log.filter(F.col("column_name") == column).orderBy("recorded_at"), HISTORY_HEADINGS)
+
+
 def low_confidence(profiles: DataFrame, threshold: float = C.LOW_CONFIDENCE) -> DataFrame:
     return profiles.filter(F.col("confidence") < threshold)
 

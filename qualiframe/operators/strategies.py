@@ -77,9 +77,14 @@ def variant_strategies() -> list[str]:
 def resolve(df: DataFrame, issues: DataFrame, column: str, issue_type: str, strategy: str, custom: Any = None) -> DataFrame:
     """(row_index, new_value) of the rows of a group; no rows for strategies that keep values.
 
+    For ``per_row``, ``custom`` is a table (row_index, new_value): values that are not blank go to
+    the first rows of the group, as ``per_row_values`` gives them.
     Statistics are one broadcast row; only the quartiles pass the driver.
     """
     group = issues.filter((F.col("column_name") == column) & (F.col("issue_type") == issue_type)).select("row_index", "suggested_value").distinct()
+    if strategy == "per_row" and custom is not None:
+        given = custom.select("row_index", F.col("new_value").cast("string").alias("new_value")).filter(F.trim("new_value") != "")
+        return given.join(per_row_values(df, issues, column, issue_type), "row_index", "left_semi")
     if strategy in ("keep", "keep_null", "valid", "do_nothing", "per_row"):
         return group.limit(0).select("row_index", F.lit(None).cast("string").alias("new_value"))
     if strategy == "most_frequent":
@@ -98,6 +103,13 @@ def resolve(df: DataFrame, issues: DataFrame, column: str, issue_type: str, stra
     return group.join(F.broadcast(stats)).select("row_index", F.col("new_value").cast("string").alias("new_value"))
 
 
+def per_row_values(df: DataFrame, issues: DataFrame, column: str, issue_type: str, limit: int = C.MAX_SAMPLE_ROWS) -> DataFrame:
+    """(row_index, current_value) of the first ``limit`` rows of a group, to be given a value each; apply and ask again for the rest."""
+    group = issues.filter((F.col("column_name") == column) & (F.col("issue_type") == issue_type) & F.col("row_index").isNotNull()).select("row_index").distinct()
+    few = group.orderBy("row_index").limit(limit)
+    return few.join(df.select(F.col(C.ROW_ID).alias("row_index"), F.col(f"`{column}`").cast("string").alias("current_value")), "row_index", "left")
+
+
 def decision(run_id: str, column: str, issue_type: str, strategy: str, rows: int, when: str, note: str = "") -> dict[str, object]:
     """Log entry of a decision, also of one to keep values as they are."""
     return {"run_id": run_id, "column_name": column, "issue_type": issue_type, "strategy": strategy, "action": f"guided_{issue_type}_{strategy}", "rows_affected": rows, "changed": rows > 0, "decided_at": when, "note": note}

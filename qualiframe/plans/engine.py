@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -36,6 +36,11 @@ def analyze(df: DataFrame, *, dataset: str = "dataset", run_id: str = "run", now
     return Analysis(df, profiles, issues, score.score(df, issues))
 
 
+def dataset_run_id(name: Column, rows: Column, columns: Column, sheet: Column) -> Column:
+    """Run id of a table that was not cleaned: the same as long as name, shape and sheet are, so that saving twice is noticed."""
+    return F.sha2(F.concat_ws(":", name, F.concat_ws("x", rows.cast("string"), columns.cast("string")), F.coalesce(sheet, F.lit(""))), 256)
+
+
 @dataclass
 class Session:
     """An analysis and what was done about it."""

@@ -6,6 +6,7 @@ rules, in SQL that both engines take as it is.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from . import store
 from .functions import expr as E
 from .operators import clean, compare, detect, overrides, profile, ranks, score, strategies
 from .plans import engine
+from .sources.files import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -778,43 +780,91 @@ def dash_before_after(s, d):
     return compare.before_after(df, df.filter("_row_id % 2 = 0"))
 
 
-# ---- run store: five runs made from the orders table -------------------------------------------
+# ---- run store: a run for each order -----------------------------------------------------------
 
-_RUN = "'run_' || CAST(o_orderkey % 25 AS VARCHAR(5))"
+_RUN, _NAMED = "'run_' || CAST(o_orderkey AS VARCHAR(20))", "'run_' || CAST(o_custkey AS VARCHAR(20))"
+_SCORE_ROW = f"SELECT {_RUN} AS run_id, '%s' AS dataset_version, CAST((o_custkey * %d) %% 1000 AS DOUBLE) / 10 AS overall_score FROM {{orders}}"
 _STORE = {
-    "profiling_runs": f"SELECT {_RUN} AS run_id, 'set_' || CAST(o_orderkey % 4 AS VARCHAR(5)) AS dataset_name, 'csv' AS file_type, '2025-01-' || lpad(CAST(o_orderkey % 25 + 1 AS VARCHAR(5)), 2, '0') AS run_timestamp, o_orderkey % 3 <> 0 AS cleaning_applied, o_custkey AS original_row_count, CAST(9 AS BIGINT) AS original_column_count, o_custkey - 1 AS cleaned_row_count, CAST(8 AS BIGINT) AS cleaned_column_count FROM {{orders}} WHERE o_orderkey <= 25",
-    "dataset_profiles": f"SELECT {_RUN} AS run_id, CASE WHEN o_orderkey <= 25 THEN 'original' ELSE 'cleaned' END AS dataset_version, CAST(o_custkey % 1000 AS DOUBLE) / 10 AS overall_score FROM {{orders}} WHERE o_orderkey <= 45",
-    "data_quality_issues": f"SELECT {_RUN} AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'cleaned' ELSE 'original' END AS dataset_version, o_orderpriority AS issue_category, CASE o_orderstatus WHEN 'O' THEN 'Critical' WHEN 'F' THEN 'Low' ELSE 'High' END AS severity, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'column_' || CAST(o_custkey % 17 AS VARCHAR(5)) END AS column_name FROM {{orders}}",
-    "applied_fixes": f"SELECT {_RUN} AS run_id, 'fix_' || CAST(o_custkey % 5 AS VARCHAR(5)) AS fix_id, o_custkey % 50 AS affected_count FROM {{orders}} WHERE o_orderkey % 7 = 0 AND o_orderkey % 25 <> 3",
-    "quality_scores": f"SELECT {_RUN} AS run_id, 'original' AS dataset_version, 'part_' || CAST(o_orderkey % 5 AS VARCHAR(5)) AS component_name, CAST(o_custkey % 100 AS DOUBLE) AS component_score, o_custkey AS issue_count, o_orderkey AS denominator, CAST(o_custkey % 10 AS DOUBLE) AS penalty, CAST(o_orderkey % 31 AS DOUBLE) AS component_weight, CAST(o_custkey % 20 AS DOUBLE) AS weighted_contribution FROM {{orders}} WHERE o_orderkey <= 200",
+    "profiling_runs": f"SELECT {_RUN} AS run_id, 'set_' || CAST(o_orderkey % 4 AS VARCHAR(5)) AS dataset_name, 'csv' AS file_type, '2025-01-' || lpad(CAST(o_orderkey % 25 + 1 AS VARCHAR(5)), 2, '0') AS run_timestamp, o_orderkey % 3 <> 0 AS cleaning_applied, o_custkey AS original_row_count, CAST(9 AS BIGINT) AS original_column_count, o_custkey - 1 AS cleaned_row_count, CAST(8 AS BIGINT) AS cleaned_column_count FROM {{orders}}",
+    "dataset_profiles": f"{_SCORE_ROW % ('original', 1)} UNION ALL {_SCORE_ROW % ('cleaned', 7)} WHERE o_orderkey % 5 <> 0",
+    "data_quality_issues": f"SELECT {_NAMED} AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'cleaned' ELSE 'original' END AS dataset_version, o_orderpriority AS issue_category, CASE o_orderstatus WHEN 'O' THEN 'Critical' WHEN 'F' THEN 'Low' ELSE 'High' END AS severity, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'column_' || CAST(o_custkey % 17 AS VARCHAR(5)) END AS column_name FROM {{orders}}",
+    "applied_fixes": f"SELECT {_NAMED} AS run_id, 'fix_' || CAST(o_custkey % 5 AS VARCHAR(5)) AS fix_id, o_custkey % 50 AS affected_count FROM {{orders}} WHERE o_orderkey % 7 <> 0",
+    "quality_scores": f"SELECT {_NAMED} AS run_id, 'original' AS dataset_version, 'part_' || CAST(o_orderkey AS VARCHAR(20)) AS component_name, CAST(o_custkey % 100 AS DOUBLE) AS component_score, o_custkey AS issue_count, o_orderkey AS denominator, CAST(o_custkey % 10 AS DOUBLE) AS penalty, CAST(o_orderkey % 31 AS DOUBLE) AS component_weight, CAST(o_custkey % 20 AS DOUBLE) AS weighted_contribution FROM {{orders}}",
 }
 _STORE = {k: v.replace("{{orders}}", "{orders}") for k, v in _STORE.items()}
-_STORE_CTE = "WITH " + ", ".join(f"{k} AS ({v.replace('{orders}', 'orders')})" for k, v in _STORE.items())
+_STORE_CTE = "WITH " + ", ".join(f"{k} AS ({v.replace('{orders}', 'orders')})" for k, v in _STORE.items()) + """, pair AS (
+  SELECT run_id, max(overall_score) FILTER (WHERE dataset_version = 'original') AS original_score, max(overall_score) FILTER (WHERE dataset_version = 'cleaned') AS cleaned_score FROM dataset_profiles GROUP BY run_id
+), scored AS (
+  SELECT p.*, pair.original_score, pair.cleaned_score, round(pair.cleaned_score - pair.original_score, 2) AS score_improvement FROM profiling_runs p LEFT JOIN pair USING (run_id)
+), own AS (SELECT * FROM data_quality_issues WHERE run_id = 'run_7' AND dataset_version = 'original'),
+tally AS (
+  SELECT run_id, count(*) FILTER (WHERE dataset_version = 'original') AS original_issue_count, count(*) FILTER (WHERE dataset_version = 'cleaned') AS cleaned_issue_count FROM data_quality_issues GROUP BY run_id
+), fixes AS (SELECT run_id, count(*) AS n, CAST(sum(affected_count) AS BIGINT) AS changes FROM applied_fixes GROUP BY run_id)"""
 _ARGS = {"run_id": "run_7", "dataset_name": "set_1", "dataset_version": "original"}
+_HISTORY_SQL = {
+    "q1_latest_runs": "SELECT run_id, dataset_name, run_timestamp, cleaning_applied, original_row_count, original_column_count FROM profiling_runs ORDER BY run_timestamp DESC, run_id LIMIT 20",
+    "q2_score_by_run": "SELECT run_id, dataset_name, run_timestamp, original_score, cleaned_score FROM scored",
+    "q3_improvement": "SELECT run_id, dataset_name, original_score, cleaned_score, score_improvement FROM scored WHERE score_improvement IS NOT NULL",
+    "q4_by_category": "SELECT issue_category, count(*) AS issue_count FROM own GROUP BY ALL",
+    "q5_by_severity": "SELECT severity, count(*) AS issue_count FROM own GROUP BY ALL",
+    "q6_top_columns": "SELECT column_name, count(*) AS issue_count FROM data_quality_issues SEMI JOIN (SELECT run_id FROM profiling_runs WHERE dataset_name = 'set_1') USING (run_id) WHERE column_name IS NOT NULL GROUP BY ALL ORDER BY issue_count DESC, column_name LIMIT 10",
+    "q7_fixes_by_run": "SELECT run_id, dataset_name, coalesce(n, 0) AS fixes_applied, changes AS total_changes FROM profiling_runs LEFT JOIN fixes USING (run_id)",
+    "q8_avg_score": "SELECT dataset_name, round(avg(original_score), 2) AS avg_original_score, count(*) AS run_count FROM scored WHERE original_score IS NOT NULL GROUP BY ALL",
+    "q9_best_runs": "SELECT run_id, dataset_name, run_timestamp, original_score, cleaned_score, score_improvement FROM scored WHERE cleaning_applied AND score_improvement IS NOT NULL ORDER BY score_improvement DESC, run_id LIMIT 10",
+    "q10_components": "SELECT * EXCLUDE (run_id, dataset_version) FROM quality_scores WHERE run_id = 'run_7'",
+    "db_history": "SELECT s.*, coalesce(original_issue_count, 0) AS original_issue_count, coalesce(cleaned_issue_count, 0) AS cleaned_issue_count, coalesce(n, 0) AS fixes_applied_count FROM scored s LEFT JOIN tally USING (run_id) LEFT JOIN fixes USING (run_id)",
+}
 
 
 def store_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {k: s.sql(v, orders=table(s, d, "orders")) for k, v in _STORE.items()}
 
 
-for _name, _sql in store.HISTORY_SQL.items():
+for _name, _sql in _HISTORY_SQL.items():
     QUERIES[_name] = lambda s, d, n=_name: store.history(s, n, store_tables(s, d), **_ARGS)
-    for _t in store.SCHEMAS:
-        _sql = _sql.replace(f"{{{_t}}}", _t)
-    for _a, _v in _ARGS.items():
-        _sql = _sql.replace(f":{_a}", f"'{_v}'")
     SQL[_name] = f"{_STORE_CTE} {_sql}"
 
 
-@query(f"{_STORE_CTE} SELECT count(*) > 0 AS known FROM profiling_runs WHERE run_id = 'run_7'")
+def saved_runs(s: SparkSession, d: str) -> store.RunStore:
+    """A store with two runs, written and read again."""
+    made, tables = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}"), store_tables(s, d)
+    made.init(NOW)
+    for run in ("run_7", "run_8"):
+        made.save(run, {n: t.filter(F.col("run_id") == run) for n, t in tables.items()})
+    return made
+
+
+@query("SELECT run_id, known FROM (VALUES ('run_7', true), ('run_8', true), ('run_9', false)) AS v(run_id, known)")
 def db_run_exists(s, d):
-    return store_tables(s, d)["profiling_runs"].filter("run_id = 'run_7'").agg((F.count(F.lit(1)) > 0).alias("known"))
+    made = saved_runs(s, d)
+    return s.createDataFrame([(r, made.exists(r)) for r in ("run_7", "run_8", "run_9")], "run_id string, known boolean")
+
 
+_PARTS = ("profiling_runs", "data_quality_issues", "applied_fixes", "quality_scores")
 
-@query(f"{_STORE_CTE} SELECT 'issues' AS part, count(*) AS n FROM data_quality_issues WHERE run_id = 'run_7' UNION ALL SELECT 'fixes', count(*) FROM applied_fixes WHERE run_id = 'run_7'")
+
+@query(f"{_STORE_CTE} {' UNION ALL '.join(f"SELECT '{n}' AS part, count(*) AS n FROM {n} WHERE run_id = 'run_7'" for n in _PARTS)}")
 def db_detail(s, d):
-    t = store_tables(s, d)
-    return t["data_quality_issues"].filter("run_id = 'run_7'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("issues").alias("part"), "n").unionByName(t["applied_fixes"].filter("run_id = 'run_7'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("fixes").alias("part"), "n"))
+    found = saved_runs(s, d).detail("run_7")
+    every = [found[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in _PARTS]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+@query(f"{_STORE_CTE} SELECT run_id, issue_category, severity, column_name, count(*) AS n FROM data_quality_issues WHERE run_id IN ('run_7', 'run_8') GROUP BY ALL")
+def db_save(s, d):
+    return saved_runs(s, d).table("data_quality_issues").groupBy("run_id", "issue_category", "severity", "column_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT '1.1.0' AS schema_version, count(*) AS n FROM (VALUES (1)) AS v(x)")
+def db_init(s, d):
+    made = saved_runs(s, d)
+    made.init(NOW)
+    return made.table("schema_info").groupBy("schema_version").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_STORE_CTE} SELECT run_id, overall_score, dataset_version FROM dataset_profiles WHERE run_id IN ('run_7', 'run_8')")
+def sink_run_store(s, d):
+    return saved_runs(s, d).table("dataset_profiles").select("run_id", "overall_score", "dataset_version")
 
 
 @query(f"{_STORE_CTE} SELECT run_id, dataset_name, run_timestamp FROM profiling_runs WHERE dataset_name IN ('set_1', 'set_2') AND run_timestamp >= '2025-01-10'")
@@ -822,7 +872,10 @@ def db_hist_filter(s, d):
     return store.filter_history(store_tables(s, d)["profiling_runs"], ["set_1", "set_2"], "2025-01-10").select("run_id", "dataset_name", "run_timestamp")
 
 
-@query(f"{_STORE_CTE}, x AS ({SQL['db_history'][len(_STORE_CTE):]}), y AS (SELECT run_id, unnest([{{'metric': 'original_score', 'value': original_score}}, {{'metric': 'cleaned_score', 'value': cleaned_score}}, {{'metric': 'original_issue_count', 'value': CAST(original_issue_count AS DOUBLE)}}, {{'metric': 'cleaned_issue_count', 'value': CAST(cleaned_issue_count AS DOUBLE)}}, {{'metric': 'fixes_applied_count', 'value': CAST(fixes_applied_count AS DOUBLE)}}]) AS z FROM x) SELECT z.metric AS metric, max(z.value) FILTER (WHERE run_id = 'run_7') AS first, max(z.value) FILTER (WHERE run_id = 'run_8') AS second FROM y WHERE run_id IN ('run_7', 'run_8') GROUP BY 1")
+_METRICS = ("original_score", "cleaned_score", "original_issue_count", "cleaned_issue_count", "fixes_applied_count")
+
+
+@query(f"{_STORE_CTE}, x AS ({_HISTORY_SQL['db_history']}) {' UNION ALL '.join(f"SELECT '{m}' AS metric, CAST(max({m}) FILTER (WHERE run_id = 'run_7') AS DOUBLE) AS first, CAST(max({m}) FILTER (WHERE run_id = 'run_8') AS DOUBLE) AS second FROM x" for m in _METRICS)}")
 def db_compare(s, d):
     return store.compare_runs(store.history(s, "db_history", store_tables(s, d)), "run_7", "run_8")
 
@@ -965,8 +1018,12 @@ def res_apply(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import choice_queries, io_queries
+
+    return QUERIES | io_queries.QUERIES | choice_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import choice_queries, io_queries
+
+    return SQL | io_queries.SQL | choice_queries.SQL

@@ -11,6 +11,7 @@ import codecs
 import csv
 import io
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from . import xlsx
+from .files import folder, put_bytes
 
 
 class LoadError(Exception):
@@ -276,7 +278,11 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
         warnings.append("The first row looks like data, not like a header.")
     if len(names) == 1 and delimiter != ",":
         warnings.append("Only one column was found; the delimiter may be wrong.")
-    reader_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    more = "_more_cells"
+    while more in names:
+        more += "_"
+    # One column more than the header has, to see rows with more cells.
+    reader_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, more]])
     reader = spark.read.schema(reader_schema).option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"')
     page = None if _is_utf8(encoding) else code_page(encoding)
     wide = encoding.lower().replace("_", "-") in ("utf-16", "utf-16le", "utf-16be", "utf-16-le", "utf-16-be", "utf-32")
@@ -286,8 +292,10 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
             df = reader.option("multiLine", wide or needs_whole_reading(spark, path, delimiter)).option("encoding", codec).csv(path)
             df = as_page(df, page) if page else df
         else:  # other encodings of several bytes, read only if they are named: a file is parsed by one task
-            df = spark.createDataFrame(spark.sparkContext.binaryFiles(path).flatMap(_parsed(encoding, delimiter, len(names), header)), reader_schema)
-        loaded = with_row_id(df)
+            df = spark.createDataFrame(spark.sparkContext.binaryFiles(path).flatMap(_parsed(encoding, delimiter, len(names) + 1, header)), reader_schema)
+        if not df.filter(F.col(f"`{more}`").isNotNull()).isEmpty():
+            raise LoadError(f"{path} has rows with more cells than its {len(names)} columns.")
+        loaded = with_row_id(df.drop(more))
     except AnalysisException as e:
         raise LoadError(f"{path} cannot be read as CSV.") from e
     loaded = infer_storage(null_tokens(loaded))
@@ -384,6 +392,11 @@ def load_excel(spark: SparkSession, path: str, *, sheet: str | None = None, head
     return Loaded(null_tokens(df), path.rsplit("/", 1)[-1], "excel", None, None, sheet or sheets[0], labels, warnings)
 
 
+def load_bytes(spark: SparkSession, name: str, data: bytes, **options) -> Loaded:
+    """An upload: its bytes are put into the shared folder under their name and loaded from there."""
+    return load(spark, put_bytes(spark, f"{folder(spark)}/uploads-{uuid.uuid4().hex}/{name}", data), **options)
+
+
 def load(spark: SparkSession, path: str, **options) -> Loaded:
     """By extension; a Parquet table is read as it is."""
     low = path.lower().rstrip("/")
@@ -401,7 +414,7 @@ def load(spark: SparkSession, path: str, **options) -> Loaded:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.drop(C.ROW_ID).write.mode("overwrite").option("header", True).csv(path)
+    df.drop(C.ROW_ID).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def to_excel(df: DataFrame, sheet: str = "Cleaned") -> bytes:
@@ -414,4 +427,4 @@ def write_logs(folder: str, **tables: DataFrame) -> None:
     """Audit, decisions, unresolved issues and the like, each as a CSV folder of its name."""
     for name, table in tables.items():
         simple = table.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`") for f in table.schema])
-        simple.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        simple.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")

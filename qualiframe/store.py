@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import config as C
 
+# Tables and columns of a stored run.
 SCHEMAS = {
     "schema_info": "schema_version string, applied_at string",
     "profiling_runs": "run_id string, dataset_name string, file_type string, selected_sheet string, run_timestamp string, original_row_count long, original_column_count long, cleaned_row_count long, cleaned_column_count long, cleaning_applied boolean, schema_version string",
@@ -96,37 +97,97 @@ class RunStore:
 
 # ---- history queries: each takes the tables by name ------------------------------------------
 
-_SCORES = """
-  LEFT JOIN {dataset_profiles} o ON o.run_id = r.run_id AND o.dataset_version = 'original'
-  LEFT JOIN {dataset_profiles} c ON c.run_id = r.run_id AND c.dataset_version = 'cleaned'
-"""
-_BOTH = _SCORES.replace("LEFT JOIN", "JOIN")
-HISTORY_SQL = {
-    "q1_latest_runs": "SELECT run_id, dataset_name, run_timestamp, cleaning_applied, original_row_count, original_column_count FROM {profiling_runs} ORDER BY run_timestamp DESC, run_id LIMIT 20",
-    "q2_score_by_run": f"SELECT r.run_id, r.dataset_name, r.run_timestamp, o.overall_score AS original_score, c.overall_score AS cleaned_score FROM {{profiling_runs}} r {_SCORES} ORDER BY r.run_timestamp DESC",
-    "q3_improvement": f"SELECT r.run_id, r.dataset_name, o.overall_score AS original_score, c.overall_score AS cleaned_score, round(c.overall_score - o.overall_score, 2) AS score_improvement FROM {{profiling_runs}} r {_BOTH} ORDER BY score_improvement DESC",
-    "q4_by_category": "SELECT issue_category, count(*) AS issue_count FROM {data_quality_issues} WHERE run_id = :run_id AND dataset_version = 'original' GROUP BY issue_category ORDER BY issue_count DESC",
-    "q5_by_severity": "SELECT severity, count(*) AS issue_count FROM {data_quality_issues} WHERE run_id = :run_id AND dataset_version = 'original' GROUP BY severity ORDER BY CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END",
-    "q6_top_columns": "SELECT i.column_name, count(*) AS issue_count FROM {data_quality_issues} i JOIN {profiling_runs} r ON r.run_id = i.run_id WHERE r.dataset_name = :dataset_name AND i.column_name IS NOT NULL GROUP BY i.column_name ORDER BY issue_count DESC, i.column_name LIMIT 10",
-    "q7_fixes_by_run": "SELECT r.run_id, r.dataset_name, count(f.fix_id) AS fixes_applied, CAST(sum(f.affected_count) AS BIGINT) AS total_changes FROM {profiling_runs} r LEFT JOIN {applied_fixes} f ON f.run_id = r.run_id GROUP BY r.run_id, r.dataset_name, r.run_timestamp ORDER BY r.run_timestamp DESC",
-    "q8_avg_score": "SELECT r.dataset_name, round(avg(d.overall_score), 2) AS avg_original_score, count(*) AS run_count FROM {profiling_runs} r JOIN {dataset_profiles} d ON d.run_id = r.run_id AND d.dataset_version = 'original' GROUP BY r.dataset_name ORDER BY avg_original_score DESC",
-    "q9_best_runs": f"SELECT r.run_id, r.dataset_name, r.run_timestamp, o.overall_score AS original_score, c.overall_score AS cleaned_score, round(c.overall_score - o.overall_score, 2) AS score_improvement FROM {{profiling_runs}} r {_BOTH} WHERE r.cleaning_applied ORDER BY score_improvement DESC, r.run_id LIMIT 10",
-    "q10_components": "SELECT component_name, component_score, issue_count, denominator, penalty, component_weight, weighted_contribution FROM {quality_scores} WHERE run_id = :run_id AND dataset_version = :dataset_version ORDER BY component_weight DESC",
-    "db_history": f"""
-SELECT r.run_id, r.dataset_name, r.file_type, r.run_timestamp, r.cleaning_applied, r.original_row_count, r.original_column_count, r.cleaned_row_count, r.cleaned_column_count,
-  o.overall_score AS original_score, c.overall_score AS cleaned_score, round(c.overall_score - o.overall_score, 2) AS score_improvement,
-  (SELECT count(*) FROM {{data_quality_issues}} i WHERE i.run_id = r.run_id AND i.dataset_version = 'original') AS original_issue_count,
-  (SELECT count(*) FROM {{data_quality_issues}} i WHERE i.run_id = r.run_id AND i.dataset_version = 'cleaned') AS cleaned_issue_count,
-  (SELECT count(*) FROM {{applied_fixes}} f WHERE f.run_id = r.run_id) AS fixes_applied_count
-FROM {{profiling_runs}} r {_SCORES} ORDER BY r.run_timestamp DESC""",
+
+def scores_by_run(tables: dict[str, DataFrame]) -> DataFrame:
+    """(run_id, original_score, cleaned_score): both versions of a run in one row, by one grouping."""
+    of = lambda version: F.max(F.when(F.col("dataset_version") == version, F.col("overall_score")))
+    return tables["dataset_profiles"].groupBy("run_id").agg(of("original").alias("original_score"), of("cleaned").alias("cleaned_score"))
+
+
+def _scored(tables: dict[str, DataFrame]) -> DataFrame:
+    gain = F.round(F.col("cleaned_score") - F.col("original_score"), 2)
+    return tables["profiling_runs"].join(scores_by_run(tables), "run_id", "left").withColumn("score_improvement", gain)
+
+
+def _improved(tables: dict[str, DataFrame]) -> DataFrame:
+    return _scored(tables).filter("original_score is not null and cleaned_score is not null")
+
+
+def _counted(issues: DataFrame, by: str) -> DataFrame:
+    return issues.groupBy(by).agg(F.count(F.lit(1)).alias("issue_count"))
+
+
+def _of_run(tables: dict[str, DataFrame], name: str, run_id: str, version: str) -> DataFrame:
+    return tables[name].filter((F.col("run_id") == run_id) & (F.col("dataset_version") == version))
+
+
+def latest_runs(t: dict[str, DataFrame], limit: int = 20, **_: str) -> DataFrame:
+    return t["profiling_runs"].orderBy(F.desc("run_timestamp"), "run_id").limit(limit).select("run_id", "dataset_name", "run_timestamp", "cleaning_applied", "original_row_count", "original_column_count")
+
+
+def score_by_run(t: dict[str, DataFrame], **_: str) -> DataFrame:
+    return _scored(t).orderBy(F.desc("run_timestamp")).select("run_id", "dataset_name", "run_timestamp", "original_score", "cleaned_score")
+
+
+def improvement(t: dict[str, DataFrame], **_: str) -> DataFrame:
+    return _improved(t).orderBy(F.desc("score_improvement")).select("run_id", "dataset_name", "original_score", "cleaned_score", "score_improvement")
+
+
+def issues_by_category(t: dict[str, DataFrame], *, run_id: str, **_: str) -> DataFrame:
+    return _counted(_of_run(t, "data_quality_issues", run_id, "original"), "issue_category").orderBy(F.desc("issue_count"))
+
+
+def issues_by_severity(t: dict[str, DataFrame], *, run_id: str, **_: str) -> DataFrame:
+    return _counted(_of_run(t, "data_quality_issues", run_id, "original"), "severity").orderBy(F.desc(F.array_position(F.array(*[F.lit(x) for x in C.SEVERITIES]), F.col("severity"))))
+
+
+def top_columns(t: dict[str, DataFrame], *, dataset_name: str, limit: int = 10, **_: str) -> DataFrame:
+    runs = t["profiling_runs"].filter(F.col("dataset_name") == dataset_name).select("run_id")
+    issues = t["data_quality_issues"].filter("column_name is not null").join(runs, "run_id", "left_semi")
+    return _counted(issues, "column_name").orderBy(F.desc("issue_count"), "column_name").limit(limit)
+
+
+def fixes_by_run(t: dict[str, DataFrame], **_: str) -> DataFrame:
+    # Fixes are summed before the join, so only one row a run is shuffled for it.
+    fixes = t["applied_fixes"].groupBy("run_id").agg(F.count("fix_id").alias("fixes"), F.sum("affected_count").cast("long").alias("total_changes"))
+    return t["profiling_runs"].join(fixes, "run_id", "left").orderBy(F.desc("run_timestamp")).select("run_id", "dataset_name", F.coalesce("fixes", F.lit(0).cast("long")).alias("fixes_applied"), "total_changes")
+
+
+def average_score(t: dict[str, DataFrame], **_: str) -> DataFrame:
+    rows = t["profiling_runs"].join(t["dataset_profiles"].filter("dataset_version = 'original'").select("run_id", "overall_score"), "run_id")
+    return rows.groupBy("dataset_name").agg(F.round(F.avg("overall_score"), 2).alias("avg_original_score"), F.count(F.lit(1)).alias("run_count")).orderBy(F.desc("avg_original_score"))
+
+
+def best_runs(t: dict[str, DataFrame], limit: int = 10, **_: str) -> DataFrame:
+    rows = _improved(t).filter("cleaning_applied").orderBy(F.desc("score_improvement"), "run_id").limit(limit)
+    return rows.select("run_id", "dataset_name", "run_timestamp", "original_score", "cleaned_score", "score_improvement")
+
+
+def run_components(t: dict[str, DataFrame], *, run_id: str, dataset_version: str, **_: str) -> DataFrame:
+    rows = _of_run(t, "quality_scores", run_id, dataset_version).orderBy(F.desc("component_weight"))
+    return rows.select("component_name", "component_score", "issue_count", "denominator", "penalty", "component_weight", "weighted_contribution")
+
+
+def run_history(t: dict[str, DataFrame], **_: str) -> DataFrame:
+    """One row a run with scores of both versions and numbers of issues and fixes."""
+    of = lambda version: F.count_if(F.col("dataset_version") == version)
+    issues = t["data_quality_issues"].groupBy("run_id").agg(of("original").alias("original_issue_count"), of("cleaned").alias("cleaned_issue_count"))
+    fixes = t["applied_fixes"].groupBy("run_id").agg(F.count(F.lit(1)).alias("fixes_applied_count"))
+    rows = _scored(t).join(issues, "run_id", "left").join(fixes, "run_id", "left")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("original_issue_count", "cleaned_issue_count", "fixes_applied_count")]
+    names = ("run_id", "dataset_name", "file_type", "run_timestamp", "cleaning_applied", "original_row_count", "original_column_count", "cleaned_row_count", "cleaned_column_count", "original_score", "cleaned_score", "score_improvement")
+    return rows.orderBy(F.desc("run_timestamp")).select(*names, *counts)
+
+
+HISTORY = {
+    "q1_latest_runs": latest_runs, "q2_score_by_run": score_by_run, "q3_improvement": improvement, "q4_by_category": issues_by_category, "q5_by_severity": issues_by_severity, "q6_top_columns": top_columns,
+    "q7_fixes_by_run": fixes_by_run, "q8_avg_score": average_score, "q9_best_runs": best_runs, "q10_components": run_components, "db_history": run_history,
 }
 
 
 def history(spark: SparkSession, query: str, tables: dict[str, DataFrame], **args: str) -> DataFrame:
-    """One of ``HISTORY_SQL`` over tables by name, with named parameters."""
-    text = HISTORY_SQL[query]
-    used = {n: t for n, t in tables.items() if f"{{{n}}}" in text}
-    return spark.sql(text, args={k: v for k, v in args.items() if f":{k}" in text} or None, **used)
+    """One of ``HISTORY`` over tables by name, with named parameters."""
+    return HISTORY[query](tables, **args)
 
 
 def filter_history(rows: DataFrame, datasets: list[str] | None = None, since: str | None = None) -> DataFrame:
