@@ -57,11 +57,14 @@ def printable(c: Column) -> Column:
 
 
 def clean_number(c: Column) -> Column:
-    """Without symbols, thousands separators and percent signs; ``(x)`` becomes ``-x``."""
-    inner = F.regexp_extract(strip(c), r"(?s)^\((.*)\)$", 1)
-    wrapped = strip(c).rlike(r"(?s)^\(.*\)$")
-    bare = F.regexp_replace(F.when(wrapped, inner).otherwise(strip(c)), NUMBER_MARKS, "")
-    return F.when(wrapped & (bare != "") & ~bare.startswith("-"), F.concat(F.lit("-"), bare)).otherwise(bare)
+    """Without symbols, thousands separators and percent signs; ``(x)`` becomes ``-x``.
+
+    One chain, in which each step reads the one before once: a sign of no meaning (U+E000) stands for
+    the brackets until the rest is known.  Spark's generated code stays small this way.
+    """
+    marked = F.regexp_replace(F.translate(strip(c), "\ue000", "?"), r"(?s)^\((.*)\)$", "\ue000$1")
+    bare = F.regexp_replace(marked, NUMBER_MARKS, "")
+    return F.regexp_replace(F.regexp_replace(bare, "^\ue000(?=[^-])", "-"), "^\ue000", "")
 
 
 def is_number(c: Column) -> Column:
@@ -133,9 +136,12 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.when(year.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
 
 
-def parse_date(c: Column) -> Column:
-    """Date of the written forms that ``DATE_LIKE`` admits, month first unless that is impossible; null where it is none."""
-    v = F.lower(strip(c))
+def parse_date(c: Column, trimmed: bool = False) -> Column:
+    """Date of the written forms that ``DATE_LIKE`` admits, month first unless that is impossible; null where it is none.
+
+    ``trimmed`` says that the text is in lower case and without outer white space, worked out once for the many patterns.
+    """
+    v = c if trimmed else F.lower(strip(c))
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(v, pattern, group)

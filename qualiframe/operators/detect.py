@@ -1,6 +1,6 @@
 """Issue detection: 33 rules gated by the effective type of a column.
 
-Three plans make up the issues: one scan for everything a row tells by itself, one join of cells to
+Three plans make up the issues: one scan for everything a cell tells by itself, one join of cells to
 the flagged distinct values (spellings, shapes, repeats), one grouping for repeated rows.  Findings
 about whole columns are a handful of driver rows.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import expr as E
 from . import ranks as R
-from .profile import ColumnProfile, data_columns, normalize_name, value_table
+from .profile import NUMERIC, TIMES, ColumnProfile, data_columns, normalize_name, value_table
 
 FINDING = "issue_type string, severity string, confidence double, column_name string, row_index long, current_value string, suggested_value string"
 ACTIONS = {
@@ -34,21 +34,19 @@ ACTIONS = {
 
 @dataclass
 class Finding:
-    """A rule on one row: where it holds, and what it tells."""
+    """A rule on one cell: where it holds, and what it tells."""
 
     issue_type: str
     holds: Column
-    severity: str
-    column: str | None = None
-    current: Column | None = None
+    severity: str | Column
     suggested: Column | None = None
+    shows_value: bool = True
 
     def struct(self) -> Column:
         text = F.lit(None).cast("string")
         value = F.struct(
-            F.lit(self.issue_type).alias("issue_type"), F.lit(self.severity).alias("severity"), F.lit(float(C.ISSUES[self.issue_type][1])).alias("confidence"),
-            F.lit(self.column).cast("string").alias("column_name"), F.col(C.ROW_ID).alias("row_index"),
-            (text if self.current is None else self.current.cast("string")).alias("current_value"), (text if self.suggested is None else self.suggested.cast("string")).alias("suggested_value"),
+            F.lit(self.issue_type).alias("issue_type"), (F.lit(self.severity) if isinstance(self.severity, str) else self.severity).alias("severity"), F.lit(float(C.ISSUES[self.issue_type][1])).alias("confidence"),
+            (F.col("value") if self.shows_value else text).alias("current_value"), (text if self.suggested is None else self.suggested).alias("suggested_value"),
         )
         return F.when(self.holds, value)
 
@@ -91,67 +89,101 @@ def name_findings(names: list[str]) -> list[tuple]:
     return out
 
 
-# ---- what a row tells by itself ----------------------------------------------------------------
+# ---- what a cell tells by itself ---------------------------------------------------------------
 
 
-def missing_tests(df: DataFrame, name: str) -> dict[str, Column]:
-    """Conditions of the missing-value rules that apply to a column."""
-    out = {"missing_null": E.missing(df, name)}
-    if E.is_text(df, name):
-        c = F.col(f"`{name}`")
-        out["blank_string"] = c == ""
-        out["whitespace_only_string"] = (E.strip(c) == "") & (c != "")
-        out["missing_placeholder"] = E.is_placeholder(c) & (E.strip(c) != "")
-    return out
-
+def cell_table(df: DataFrame, kinds: dict[str, str], whole: bool = False) -> DataFrame:
+    """(_row_id, column, value, trimmed, cleaned, number, day, gone) of each cell: rules are written once, not once a column.
 
-def text_findings(name: str) -> list[Finding]:
-    c = F.col(f"`{name}`")
-    trimmed = E.strip(c)
+    ``number`` is there for columns of numeric types and ``day`` for those of dates, stored as such or as text;
+    with ``whole``, ``row`` holds all columns of the row.
+    """
+    cells = []
+    for n in kinds:
+        c, kind = F.col(f"`{n}`"), df.schema[n].dataType
+        number = c.cast("double") if isinstance(kind, NUMERIC) else F.lit(None).cast("double")
+        stamp = c.cast("timestamp_ntz") if isinstance(kind, TIMES) else F.lit(None).cast("timestamp_ntz")
+        cells.append(F.struct(F.lit(n).alias("column"), c.cast("string").alias("value"), number.alias("stored"), stamp.alias("stamp"), E.missing(df, n).alias("gone")))
+    text = [n for n in kinds if E.is_text(df, n)]
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []
+    rest = ["row"] if whole else []
+    flat = df.select(F.col(C.ROW_ID), *row, F.explode(F.array(*cells)).alias("cell")).select(C.ROW_ID, *rest, "cell.*")
+    # Trimmed text and cleaned numbers are columns of their own, so the rules behind them do not repeat their patterns.
+    numbers, days = [n for n in text if kinds[n] in C.NUMERIC_TYPES], [n for n in text if kinds[n] in C.DATE_TYPES]
+    cleaned = F.when(_within([n for n in text if kinds[n] in (*C.NUMERIC_TYPES, C.MIXED)]), E.clean_number(F.col("value")))
+    flat = flat.select(C.ROW_ID, *rest, "column", "value", "stored", "stamp", "gone", E.strip(F.col("value")).alias("trimmed"), cleaned.alias("cleaned"))
+    flat = flat.withColumn("dated", F.when(_within(days), F.lower("trimmed")))
+    number = F.when(_within(numbers), F.when(F.col("cleaned").rlike(E.NUMBER), F.col("cleaned").try_cast("double"))).otherwise(F.col("stored"))
+    day = F.when(_within(days), E.parse_date(F.col("dated"), trimmed=True).cast("timestamp_ntz")).otherwise(F.col("stamp"))
+    return flat.select(C.ROW_ID, *rest, "column", "value", "trimmed", "cleaned", "gone", number.alias("number"), day.alias("day"))
+
+
+def _within(names: list[str]) -> Column:
+    return F.col("column").isin(*names) if names else F.lit(False)
+
+
+def _by_column(values: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("column")]
+
+
+def missing_tests(text: list[str]) -> dict[str, Column]:
+    """Conditions of the missing-value rules on a cell."""
+    v = F.col("value")
+    return {
+        "missing_null": F.col("gone"), "blank_string": _within(text) & (v == ""), "whitespace_only_string": _within(text) & (F.col("trimmed") == "") & (v != ""),
+        "missing_placeholder": _within(text) & F.lower("trimmed").isin(*E.PLACEHOLDERS) & (F.col("trimmed") != ""),
+    }
+
+
+def finite_number() -> Column:
+    v = F.col("number")
+    return F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
+
+
+def text_findings(names: list[str]) -> list[Finding]:
+    c = F.col("value")
+    trimmed, here = F.col("trimmed"), _within(names)
     return [
-        Finding("leading_trailing_whitespace", c != trimmed, "Low", name, c, trimmed),
-        Finding("repeated_internal_spaces", trimmed.rlike(E.WS + "{2,}"), "Low", name, c, E.collapse(c)),
-        Finding("non_printable_characters", c != E.printable(c), "Medium", name, c, E.printable(c)),
+        Finding("leading_trailing_whitespace", here & (c != trimmed), "Low", trimmed),
+        Finding("repeated_internal_spaces", here & trimmed.rlike(E.WS + "{2,}"), "Low", E.collapse(c)),
+        Finding("non_printable_characters", here & (c != E.printable(c)), "Medium", E.printable(c)),
     ]
 
 
-def numeric_findings(df: DataFrame, name: str, quartiles: list[float] | None, finite: int) -> list[Finding]:
-    v, c = E.number_of(df, name), F.col(f"`{name}`")
-    is_finite = (F.abs(v) != float("inf")) & ~F.isnan(v)
-    out = [Finding("infinite_value", F.abs(v) == float("inf"), "Critical", name, c), Finding("negative_value", is_finite & (v < 0), "Low", name, c)]
-    if quartiles and finite >= 4 and quartiles[1] > quartiles[0]:
-        reach = C.IQR_FACTOR * (quartiles[1] - quartiles[0])
-        out.append(Finding("possible_outlier", is_finite & ((v < quartiles[0] - reach) | (v > quartiles[1] + reach)), "Low", name, c))
+def numeric_findings(names: list[str], fences: dict[str, tuple[float, float]]) -> list[Finding]:
+    v, here = finite_number(), _within(names)
+    out = [Finding("infinite_value", here & (F.abs("number") == float("inf")), "Critical"), Finding("negative_value", here & (v < 0), "Low")]
+    if fences:
+        outside = (v < _by_column({n: f[0] for n, f in fences.items()})) | (v > _by_column({n: f[1] for n, f in fences.items()}))
+        out.append(Finding("possible_outlier", _within(list(fences)) & outside, "Low"))
     return out
 
 
-def date_findings(df: DataFrame, name: str, now: str) -> list[Finding]:
+def date_findings(names: list[str], written: list[str], now: str) -> list[Finding]:
     """``now`` as text makes the rules repeatable."""
-    c = F.col(f"`{name}`")
-    day = E.parse_date(c).cast("timestamp_ntz") if E.is_text(df, name) else c.cast("timestamp_ntz")
-    at = F.lit(now).cast("timestamp_ntz")
+    at, day = F.lit(now).cast("timestamp_ntz"), F.col("day")
     old, far = at - F.expr(f"INTERVAL '{C.OLD_YEARS}' YEAR"), at + F.expr(f"INTERVAL '{C.FUTURE_YEARS}' YEAR")
-    out = [Finding("unusually_old_date", day < old, "Low", name, c), Finding("unusually_future_date", day > far, "Low", name, c)]
-    if E.is_text(df, name):
-        out.append(Finding("invalid_date", c.isNotNull() & day.isNull(), "High", name, c))
-    return out
+    return [
+        Finding("unusually_old_date", _within(names) & (day < old), "Low"), Finding("unusually_future_date", _within(names) & (day > far), "Low"),
+        Finding("invalid_date", _within(written) & F.col("value").isNotNull() & day.isNull(), "High"),
+    ]
 
 
-def type_findings(p: ColumnProfile) -> list[Finding]:
-    c = F.col(f"`{p.original_name}`")
-    if p.effective_logical_type == C.NUMERIC_TEXT:
-        return [Finding("value_fails_type_conversion", ~E.is_number(c), "Medium", p.original_name, c)]
-    if p.effective_logical_type == C.MIXED and p.evidence.get("dominant") == "numeric":
-        return [Finding("unexpected_text_in_numeric_column", ~E.is_number(c) & (E.strip(c) != ""), "High", p.original_name, c)]
-    return []
+def type_findings(profiles: list[ColumnProfile], text: list[str]) -> list[Finding]:
+    c, some = F.col("cleaned"), [p for p in profiles if p.original_name in text]
+    is_number = c.rlike(E.NUMBER) | c.rlike(E.SPECIAL_NUMBER)
+    numbers = [p.original_name for p in some if p.effective_logical_type == C.NUMERIC_TEXT]
+    mixed = [p.original_name for p in some if p.effective_logical_type == C.MIXED and p.evidence.get("dominant") == "numeric"]
+    out = [Finding("value_fails_type_conversion", _within(numbers) & ~is_number, "Medium")] if numbers else []
+    return out + ([Finding("unexpected_text_in_numeric_column", _within(mixed) & ~is_number & (F.col("trimmed") != ""), "High")] if mixed else [])
 
 
-def explode_findings(df: DataFrame, findings: list[Finding]) -> DataFrame:
-    """All findings of all rows in one scan."""
+def explode_findings(cells: DataFrame, findings: list[Finding]) -> DataFrame:
+    """All findings of all cells in one scan."""
     if not findings:
-        return df.sparkSession.createDataFrame([], FINDING)
-    found = F.explode(F.array_compact(F.array(*[f.struct() for f in findings])))
-    return df.select(found.alias("f")).select("f.*")
+        return cells.sparkSession.createDataFrame([], FINDING)
+    found = cells.select(F.col(C.ROW_ID), "column", F.explode(F.array_compact(F.array(*[f.struct() for f in findings]))).alias("f"))
+    return found.select("f.issue_type", "f.severity", "f.confidence", F.col("column").alias("column_name"), F.col(C.ROW_ID).alias("row_index"), "f.current_value", "f.suggested_value")
 
 
 # ---- what needs other rows ---------------------------------------------------------------------
@@ -244,30 +276,32 @@ def duplicate_findings(df: DataFrame, total: int) -> DataFrame | None:
 # ---- all together ------------------------------------------------------------------------------
 
 
+def _finite_of(df: DataFrame, name: str) -> Column:
+    v = E.number_of(df, name)
+    return F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
+
+
 def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "dataset", run_id: str = "run", now: str = "2026-01-01 00:00:00", header: list[str] | None = None) -> DataFrame:
     """All issues of a table with ``_row_id``; ``header`` holds the names as read, repeats included."""
     spark: SparkSession = df.sparkSession
     names = data_columns(df)
     kinds = {p.original_name: p.effective_logical_type for p in profiles}
-    tests = {(n, k): t for n in names for k, t in missing_tests(df, n).items()}
+    text = [n for n in names if E.is_text(df, n)]
+    numeric = [n for n in names if kinds[n] in C.NUMERIC_TYPES]
     empty_row = None
     for n in names:
-        empty_row = tests[n, "missing_null"] if empty_row is None else empty_row & tests[n, "missing_null"]
-    asked = [F.count(F.lit(1)).alias("total"), (F.count_if(empty_row) if names else F.lit(0)).alias("empty")]
-    asked += [F.count_if(t).alias(f"m{i}") for i, t in enumerate(tests.values())]
-    numeric = [n for n in names if kinds[n] in C.NUMERIC_TYPES]
-    finites = {}
-    for i, n in enumerate(numeric):
-        v = E.number_of(df, n)
-        finite = F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
-        finites[n] = finite
-        asked += [F.count(finite).alias(f"f{i}"), F.min(finite).alias(f"l{i}"), F.max(finite).alias(f"h{i}")]
-    got = df.agg(*asked).first()
-    quartiles = R.percentiles_of(df, finites, (0.25, 0.75))
+        empty_row = E.missing(df, n) if empty_row is None else empty_row & E.missing(df, n)
+    got = df.agg(F.count(F.lit(1)).alias("total"), (F.count_if(empty_row) if names else F.lit(0)).alias("empty")).first()
     total = got["total"]
+    # One row a column: how often the rules of missing values hold, and what its numbers are like.
+    cells, tests = (cell_table(df, kinds) if names else None), missing_tests(text)
+    finite = finite_number()
+    asked = [F.count_if(t).alias(k) for k, t in tests.items()] + [F.count(finite).alias("finite"), F.min(finite).alias("low"), F.max(finite).alias("high")]
+    of = {r["column"]: r for r in cells.groupBy("column").agg(*asked).collect()} if names else {}
+    counts = {(n, k): of[n][k] if n in of else 0 for n in names for k in tests}
+    quartiles = R.percentiles_of(df, {n: _finite_of(df, n) for n in numeric}, (0.25, 0.75))
 
     whole = name_findings(header or names)
-    counts = {k: got[f"m{i}"] for i, k in enumerate(tests)}
     for n in names:
         if counts[n, "missing_null"] == total:
             whole.append(("empty_column", "High", 1.0, n, None, None, None))
@@ -279,31 +313,33 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
         if kind:
             whole.append((*kind, round(float(p.confidence), 3), p.original_name, None, None, None))
 
-    row_rules: list[Finding] = []
-    if names and got["empty"]:
-        row_rules.append(Finding("empty_row", empty_row, severity_of(got["empty"], total, C.EMPTY_ROW_CUTOFFS)))
-    for (n, k), test in tests.items():
-        if counts[n, k]:  # rules without a hit are left out of the scan
-            current = None if k == "missing_null" else F.col(f"`{n}`")
-            row_rules.append(Finding(k, test, severity_of(counts[n, k], total, C.MISSING_CUTOFFS), n, current))
-    for p in profiles:
-        n, kind = p.original_name, p.effective_logical_type
-        if E.is_text(df, n):
-            row_rules += type_findings(p)
-            if kind in C.TEXT_TYPES:
-                row_rules += text_findings(n)
-        if kind in C.NUMERIC_TYPES:
-            i = numeric.index(n)
-            row_rules += numeric_findings(df, n, quartiles.get(n), got[f"f{i}"])
-            if got[f"f{i}"] >= 2 and got[f"l{i}"] == got[f"h{i}"]:
+    rules: list[Finding] = []
+    for k, test in tests.items():
+        if hit := {n: severity_of(counts[n, k], total, C.MISSING_CUTOFFS) for n in names if counts[n, k]}:  # rules without a hit are left out of the scan
+            rules.append(Finding(k, test, _by_column(hit), shows_value=k != "missing_null"))
+    rules += type_findings(profiles, text)
+    if spoken := [n for n in text if kinds[n] in C.TEXT_TYPES]:
+        rules += text_findings(spoken)
+    if numeric:
+        fences = {}
+        for n in numeric:
+            q = quartiles.get(n)
+            if q and n in of and of[n]["finite"] >= 4 and q[1] > q[0]:
+                reach = C.IQR_FACTOR * (q[1] - q[0])
+                fences[n] = (q[0] - reach, q[1] + reach)
+            if n in of and of[n]["finite"] >= 2 and of[n]["low"] == of[n]["high"]:
                 whole.append(("suspiciously_constant_column", "Low", 0.6, n, None, None, None))
-        if kind in C.DATE_TYPES:
-            row_rules += date_findings(df, n, now)
+        rules += numeric_findings(numeric, fences)
+    if days := [n for n in names if kinds[n] in C.DATE_TYPES]:
+        rules += date_findings(days, [n for n in days if n in text], now)
 
-    found = [explode_findings(df, row_rules), spark.createDataFrame(whole, FINDING)]
+    found = [explode_findings(cells, rules)] if names else []
+    found.append(spark.createDataFrame(whole, FINDING))
+    none = F.lit(None).cast("string")
+    if names and got["empty"]:
+        found.append(df.filter(empty_row).select(F.lit("empty_row").alias("issue_type"), F.lit(severity_of(got["empty"], total, C.EMPTY_ROW_CUTOFFS)).alias("severity"), F.lit(float(C.ISSUES["empty_row"][1])).alias("confidence"), none.alias("column_name"), F.col(C.ROW_ID).alias("row_index"), none.alias("current_value"), none.alias("suggested_value")))
     if names and (repeats := duplicate_findings(df, total)) is not None:
         found.append(repeats)
-    text = [n for n in names if E.is_text(df, n)]
     spelled = [n for n in text if kinds[n] in (C.CATEGORICAL, C.IDENTIFIER, C.FREE_TEXT)]
     ids = [n for n in names if kinds[n] == C.IDENTIFIER]
     dated = [n for n in text if kinds[n] == C.DATE_TEXT]

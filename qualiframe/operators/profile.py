@@ -104,23 +104,26 @@ def plain_aggregates(df: DataFrame) -> list[Column]:
 def distinct_aggregates(values: DataFrame) -> DataFrame:
     """One row per column from ``value_table``: distinct values, pattern rates over written values, shape shares, examples."""
     v = F.col("value")
-    written = E.strip(v) != ""
-
-    def rate(test: Column) -> Column:
-        return F.try_divide(F.sum(F.when(written & test, F.col("n")).otherwise(0)), F.sum(F.when(written, F.col("n")).otherwise(0)))
-
-    shaped = values.withColumn("shape", F.when(written, E.signature(E.strip(v)))).withColumn("digits", F.length(F.regexp_replace(v, r"(?:\.0*)?$|^-", "")))
+    # What each value is, as columns of their own; the aggregates behind only count.
+    values = values.withColumn("trimmed", E.strip(v)).withColumn("cleaned", E.clean_number(v)).withColumn("small", F.lower("trimmed"))
+    t = F.col("trimmed")
+    written = t != ""
+    dated = F.when(t.rlike(E.DATE_LIKE), E.parse_date(F.col("small"), trimmed=True)).isNotNull()
+    tests = {
+        "boolean": F.col("small").isin(*E.BOOLEANS), "email": t.rlike(E.EMAIL), "url": t.rlike(E.URL), "phone": E.is_phone(v), "phone_marks": t.rlike(E.PHONE_PUNCTUATION), "currency": t.rlike(E.CURRENCY),
+        "date_like": t.rlike(E.DATE_LIKE), "dated": dated, "numeric": F.col("cleaned").rlike(E.NUMBER) | F.col("cleaned").rlike(E.SPECIAL_NUMBER),
+    }
+    tested = values.select("column", "n", written.alias("written"), F.length("trimmed").alias("length"), *[(written & x).alias(f"is_{k}") for k, x in tests.items()])
+
+    def rate(name: str) -> Column:
+        return F.try_divide(F.sum(F.when(F.col(f"is_{name}"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("written"), F.col("n")).otherwise(0))).alias(name)
+
+    shaped = values.withColumn("shape", F.when(written, E.signature(t))).withColumn("digits", F.length(F.regexp_replace(v, r"(?:\.0*)?$|^-", "")))
     shares = shaped.groupBy("column", "shape").agg(F.sum("n").alias("k")).filter("shape is not null").groupBy("column").agg((F.max("k") / F.sum("k")).alias("shape_share"))
     lengths = shaped.groupBy("column", "digits").agg(F.sum("n").alias("k")).groupBy("column").agg((F.max("k") / F.sum("k")).alias("digit_share"), F.max(F.struct("k", (-F.col("digits")).alias("d")))["d"].alias("minus_digits"))
-    date = F.when(v.rlike(E.DATE_LIKE), E.parse_date(v))
-    rates = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique"),
-        F.count_if(written).alias("unique_written"),
-        rate(E.is_boolean(v)).alias("boolean"), rate(E.strip(v).rlike(E.EMAIL)).alias("email"), rate(E.strip(v).rlike(E.URL)).alias("url"),
-        rate(E.is_phone(v)).alias("phone"), rate(E.has_phone_marks(v)).alias("phone_marks"), rate(E.strip(v).rlike(E.CURRENCY)).alias("currency"),
-        rate(E.strip(v).rlike(E.DATE_LIKE)).alias("date_like"), rate(date.isNotNull()).alias("dated"), rate(E.is_number(v)).alias("numeric"),
-        (F.sum(F.when(written, F.length(E.strip(v)) * F.col("n"))) / F.sum(F.when(written, F.col("n")))).alias("written_length"),
-        F.count_if(written & E.is_boolean(v)).alias("boolean_values"),
+    rates = tested.groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique"), F.count_if("written").alias("unique_written"), *[rate(k) for k in tests],
+        (F.sum(F.when(F.col("written"), F.col("length") * F.col("n"))) / F.sum(F.when(F.col("written"), F.col("n")))).alias("written_length"), F.count_if("is_boolean").alias("boolean_values"),
     )
     top = values.withColumn("_n", F.row_number().over(W.partitionBy("column").orderBy("first_row", "value"))).filter(F.col("_n") <= C.MAX_EXAMPLES)
     examples = top.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_row", "value"))), lambda s: s["value"]).alias("examples"))

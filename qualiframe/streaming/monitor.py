@@ -15,20 +15,15 @@ def row_findings(stream: DataFrame, profiles: list[profile.ColumnProfile], now:
 
     The profiles come from a bounded table of the same shape.
     """
-    rules: list[detect.Finding] = []
-    for p in profiles:
-        n = p.original_name
-        rules += [detect.Finding(k, t, "Low", n) for k, t in detect.missing_tests(stream, n).items()]
-        rules += detect.type_findings(p)
-        if p.effective_logical_type in detect.C.TEXT_TYPES and detect.E.is_text(stream, n):
-            rules += detect.text_findings(n)
-        if p.effective_logical_type in detect.C.NUMERIC_TYPES:
-            rules += detect.numeric_findings(stream, n, None, 0)
-        if p.effective_logical_type in detect.C.DATE_TYPES:
-            rules += detect.date_findings(stream, n, now)
-    found = F.explode(F.array_compact(F.array(*[r.struct() for r in rules])))
-    keep = [F.col(f"`{c}`") for c in stream.columns]
-    return stream.select(*keep, found.alias("finding"))
+    kinds = {p.original_name: p.effective_logical_type for p in profiles}
+    text = [n for n in kinds if detect.E.is_text(stream, n)]
+    days = [n for n in kinds if kinds[n] in detect.C.DATE_TYPES]
+    rules = [detect.Finding(k, t, "Low", shows_value=k != "missing_null") for k, t in detect.missing_tests(text).items()]
+    rules += detect.type_findings(profiles, text) + detect.text_findings([n for n in text if kinds[n] in detect.C.TEXT_TYPES])
+    rules += detect.numeric_findings([n for n in kinds if kinds[n] in detect.C.NUMERIC_TYPES], {}) + detect.date_findings(days, [n for n in days if n in text], now)
+    found = detect.cell_table(stream, kinds, whole=True).select("row", F.col(detect.C.ROW_ID), "column", F.explode(F.array_compact(F.array(*[r.struct() for r in rules]))).alias("f"))
+    finding = F.struct("f.issue_type", "f.severity", "f.confidence", F.col("column").alias("column_name"), F.col(detect.C.ROW_ID).alias("row_index"), "f.current_value", "f.suggested_value")
+    return found.select(finding.alias("finding"), "row").select("row.*", "finding")
 
 
 def windowed_counts(findings: DataFrame, time: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
