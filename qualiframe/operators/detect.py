@@ -8,6 +8,7 @@ about whole columns are a handful of driver rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -281,8 +282,11 @@ def _finite_of(df: DataFrame, name: str) -> Column:
     return F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
 
 
-def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "dataset", run_id: str = "run", now: str = "2026-01-01 00:00:00", header: list[str] | None = None) -> DataFrame:
-    """All issues of a table with ``_row_id``; ``header`` holds the names as read, repeats included."""
+def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "dataset", run_id: str = "run", now: str = "2026-01-01 00:00:00", header: list[str] | None = None, only: Collection[str] | None = None) -> DataFrame:
+    """All issues of a table with ``_row_id``, or those of the types in ``only``, whose plan then has nothing of other rules; ``header`` holds the names as read, repeats included."""
+    def asked_for(*types: str) -> bool:
+        return only is None or any(t in only for t in types)
+
     spark: SparkSession = df.sparkSession
     names = data_columns(df)
     kinds = {p.original_name: p.effective_logical_type for p in profiles}
@@ -297,13 +301,14 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
     cells, tests = (cell_table(df, kinds) if names else None), missing_tests(text)
     finite = finite_number()
     asked = [F.count_if(t).alias(k) for k, t in tests.items()] + [F.count(finite).alias("finite"), F.min(finite).alias("low"), F.max(finite).alias("high")]
-    of = {r["column"]: r for r in cells.groupBy("column").agg(*asked).collect()} if names else {}
+    counted = bool(names) and asked_for(*tests, "empty_column", "identifier_missing_values", "suspiciously_constant_column", "possible_outlier")
+    of = {r["column"]: r for r in cells.groupBy("column").agg(*asked).collect()} if counted else {}
     counts = {(n, k): of[n][k] if n in of else 0 for n in names for k in tests}
-    quartiles = R.percentiles_of(df, {n: _finite_of(df, n) for n in numeric}, (0.25, 0.75))
+    quartiles = R.percentiles_of(df, {n: _finite_of(df, n) for n in numeric}, (0.25, 0.75)) if asked_for("possible_outlier") else {}
 
     whole = name_findings(header or names)
     for n in names:
-        if counts[n, "missing_null"] == total:
+        if counted and counts[n, "missing_null"] == total:
             whole.append(("empty_column", "High", 1.0, n, None, None, None))
         if kinds[n] == C.IDENTIFIER and counts[n, "missing_null"]:
             severity = larger_severity("Medium", severity_of(counts[n, "missing_null"], total, C.MISSING_CUTOFFS))
@@ -333,17 +338,17 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
     if days := [n for n in names if kinds[n] in C.DATE_TYPES]:
         rules += date_findings(days, [n for n in days if n in text], now)
 
-    found = [explode_findings(cells, rules)] if names else []
-    found.append(spark.createDataFrame(whole, FINDING))
+    found = [explode_findings(cells, [r for r in rules if asked_for(r.issue_type)])] if names else []
+    found.append(spark.createDataFrame([w for w in whole if asked_for(w[0])], FINDING))
     none = F.lit(None).cast("string")
-    if names and got["empty"]:
+    if names and got["empty"] and asked_for("empty_row"):
         found.append(df.filter(empty_row).select(F.lit("empty_row").alias("issue_type"), F.lit(severity_of(got["empty"], total, C.EMPTY_ROW_CUTOFFS)).alias("severity"), F.lit(float(C.ISSUES["empty_row"][1])).alias("confidence"), none.alias("column_name"), F.col(C.ROW_ID).alias("row_index"), none.alias("current_value"), none.alias("suggested_value")))
-    if names and (repeats := duplicate_findings(df, total)) is not None:
+    if names and asked_for("exact_duplicate_row") and (repeats := duplicate_findings(df, total)) is not None:
         found.append(repeats)
-    spelled = [n for n in text if kinds[n] in (C.CATEGORICAL, C.IDENTIFIER, C.FREE_TEXT)]
-    ids = [n for n in names if kinds[n] == C.IDENTIFIER]
-    dated = [n for n in text if kinds[n] == C.DATE_TEXT]
-    decimal = [n for n in text if kinds[n] in (C.NUMERIC_TEXT, C.CURRENCY)]
+    spelled = [n for n in text if kinds[n] in (C.CATEGORICAL, C.IDENTIFIER, C.FREE_TEXT) and asked_for("similar_category_values", "inconsistent_capitalization")]
+    ids = [n for n in names if kinds[n] == C.IDENTIFIER and asked_for("identifier_duplicate_value", "identifier_inconsistent_format")]
+    dated = [n for n in text if kinds[n] == C.DATE_TEXT and asked_for("mixed_date_formats")]
+    decimal = [n for n in text if kinds[n] in (C.NUMERIC_TEXT, C.CURRENCY) and asked_for("numeric_format_inconsistency")]
     if some := sorted({*spelled, *ids, *dated, *decimal}):
         values = value_table(df, some)
         own = lambda group: values.filter(F.col("column").isin(*group))
@@ -363,6 +368,7 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
     issues = found[0]
     for f in found[1:]:
         issues = issues.unionByName(f)
+    issues = issues if only is None else issues.filter(F.col("issue_type").isin(*only))
     return decorate(issues, dataset, run_id, now)
 
 

@@ -317,7 +317,7 @@ def _rule(rule: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         df = messy(s, d)
         profiles = [profile.ColumnProfile(n, n, "", TYPES[n], 1.0, 0, 0, 0.0, 0, 0.0, 0, effective_logical_type=TYPES[n], evidence={"dominant": "numeric"}) for n in _rule_columns(rule)]
-        return detect.detect(df.select("_row_id", *[p.original_name for p in profiles]), profiles, now=NOW).filter(F.col("issue_type") == rule).select(*ISSUE_COLUMNS)
+        return detect.detect(df.select("_row_id", *[p.original_name for p in profiles]), profiles, now=NOW, only={rule}).select(*ISSUE_COLUMNS)
 
     return run
 
