@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
     told = work.save(named.join(kept, "label").select("id", "kept"), "told")
     removed = lines.select("row_key", "line", "id").join(told, "id").filter("row_key <> kept.row_key or line <> kept.line")
     removed = work.save(removed.groupBy("row_key").agg(F.collect_set(F.struct("line", "id")).alias("_removed")), "removed")
-    work.drop("lines", "classes", "shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "first_links", "first_labels", "large", "main", "rest", "wanted", "second_links", "labels", "named", "kept", "told")
+    work.drop("lines", "classes", "shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "first_links", "first_labels", "places", "large", "main", "rest", "wanted", "second_links", "labels", "named", "kept", "told")
 
     names = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     slots = [f"_c{i}" for i in range(len(names))]

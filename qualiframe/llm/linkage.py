@@ -102,10 +102,10 @@ def _groups(prepare: Prepare, verify: Verify):
     return run
 
 
-def _dealt(shared: DataFrame) -> DataFrame:
-    """(id, w, payload, keys, key, blocks, b): a row for each bucket of a member, with its block there."""
-    rows = shared.select("id", "w", "payload", F.col("of.key").alias("keys"), F.explode("of").alias("one"))
-    rows = rows.select("id", "w", "payload", "keys", F.col("one.key").alias("key"), F.col("one.blocks").alias("blocks"))
+def _dealt(members: DataFrame, *carried: str) -> DataFrame:
+    """(id, carried columns, key, blocks, b): a row for each bucket of a member, with its block there."""
+    rows = members.withColumn("keys", F.col("of.key")).select("id", *carried, F.explode("of").alias("one"))
+    rows = rows.select("id", *carried, F.col("one.key").alias("key"), F.col("one.blocks").alias("blocks"))
     return rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
 
 
@@ -121,12 +121,15 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.filter("id <> other").selectExpr("id as a", "other as b")
 
 
-def _components(rows: DataFrame, prepare: Prepare, verify: Verify, work: Scratch) -> DataFrame:
-    """(node, label): each block meets the first one, then what is not joined to the bucket's largest component meets the rest."""
+def _components(rows: DataFrame, places: DataFrame, prepare: Prepare, verify: Verify, work: Scratch) -> DataFrame:
+    """(node, label); ``places`` are ``rows`` without payloads: each block meets the first one, then what is not joined to the bucket's largest component meets the rest."""
     some = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("b")))
     first = _found(rows.withColumn("o", F.explode(some)), prepare, verify, work, "first_links")
     labels = work.save(connected(_edges(first), work, "first"), "first_labels")
-    large = rows.filter("blocks > 2").select("id", "key", "b", "blocks")
+    # Where no bucket has three blocks, all of them have met; places tell without a join to payloads.
+    large = work.save(places.filter("blocks > 2"), "places")
+    if large.isEmpty():
+        return labels
     large = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     large = work.save(large, "large")
     main = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
@@ -163,8 +166,8 @@ def link(
     kept = work.save(buckets.groupBy("n", "mark", "least", "bytes").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks")), "buckets")
     of = pairs.join(work.broadcast_if_small(kept, "buckets"), "key").groupBy("id").agg(F.collect_list(F.struct("key", "blocks")).alias("of"))
     shared = work.save(weights.select("id", "w").join(of, "id"), "shared")
-    rows = _dealt(shared.join(payload(shared.select("id")), "id"))
+    rows = _dealt(shared.join(payload(shared.select("id")), "id"), "w", "payload", "keys")
     if not count:
-        return None, _components(rows, prepare, verify, work)
+        return None, _components(rows, _dealt(shared.select("id", "of")), prepare, verify, work)
     found = _found(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), prepare, verify, work, "links")
     return found.groupBy("id").agg(F.sum("links").alias("links")), connected(_edges(found), work)

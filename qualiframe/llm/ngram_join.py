@@ -105,7 +105,7 @@ def _classes(docs: DataFrame, work: Scratch, key: str, text: str, n: int, thresh
     return signed.select("doc_id", "id"), named, totals
 
 
-_STEPS = ("shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "links", "classes", "named", "totals", "labels", "first_links", "first_labels", "large", "main", "rest", "wanted", "second_links")
+_STEPS = ("shared_keys", "pairs", "buckets", "shared", "chosen", "texts", "links", "classes", "named", "totals", "labels", "first_links", "first_labels", "places", "large", "main", "rest", "wanted", "second_links")
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
