@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, cutting_stock, embeddings, line_dedup, media, mixing, ngram_join, quality, suffix_dedup, urls
+from . import binary_packing, centroids, cutting_stock, embeddings, line_dedup, media, mixing, ngram_join, order_minhash, quality, suffix_dedup, urls, vector_codes
 from .scratch import Scratch
 from .words import word_count
 
@@ -94,6 +94,18 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_texts(_docs(spark, sf_dir))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, dims=64, scale=64, times=3, seed=1)
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(_docs(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, scale=1024, times=4)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, url_aliases, near_vectors, pipeline)}
+    return {f.__name__: f for f in (op1_binary_packing, op2_ngram_join, op3_suffix_dedup, op4_mixing, op5_url_filter, op6_embedding_dedup, op7_line_dedup, op8_cutting_stock, op9_quality, op10_matroska, op11_delta_lloyd, op12_order_minhash, op13_vector_codes, url_aliases, near_vectors, pipeline)}
 
 
 OP4_SQL = r"""
@@ -296,5 +308,41 @@ UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, j: CAS
 """)
 
 
+def _lloyd_sql(vectors: str, starts: str, width: int, rounds: int) -> str:
+    """CTEs v (vec_id, label, part, x), c0 to c``rounds`` (part, c, x) and a0 to a``rounds`` (vec_id, label, part, m): all parts compared with all entries, every round anew."""
+    steps = [f"v AS MATERIALIZED ({vectors})", f"c0 AS MATERIALIZED ({starts})"]
+    for turn in range(rounds + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (
+  SELECT v.vec_id, any_value(v.label) AS label, v.part, any_value(v.x) AS x,
+    min({{'d': list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, e.x) + list_dot_product(e.x, e.x), 'c': e.c}}) AS m
+  FROM v JOIN c{turn} e ON e.part = v.part GROUP BY v.vec_id, v.part
+)""")
+        if turn < rounds:
+            steps.append(f"""c{turn + 1} AS MATERIALIZED (
+  SELECT part, c, list(s ORDER BY i) AS x FROM (SELECT part, m.c AS c, i, floor(sum(x[i]) / count(*)) AS s FROM a{turn}, range(1, {width + 1}) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2
+  UNION ALL SELECT part, c, x FROM c{turn} WHERE (part, c) NOT IN (SELECT (part, m.c) FROM a{turn})
+)""")
+    return ",\n".join(steps)
+
+
+_KEPT_SQL = "SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}"
+_WHOLE_SQL = "list_transform({x}, lambda x: CAST(x AS BIGINT))"
+OP11_SQL = f"""
+WITH k AS MATERIALIZED ({_KEPT_SQL.format(scale=64, dims=64)}),
+{_lloyd_sql("SELECT vec_id, label, 0 AS part, x FROM k", "SELECT 0 AS part, row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT x, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM k ORDER BY h, x LIMIT 16)", 64, 3)},
+i AS (SELECT m.c AS c, CAST(sum(m.d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY 1)
+SELECT a3.vec_id, CAST(a3.m.c AS INTEGER) AS cluster, CAST(a3.m.d AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(m.d) AS BIGINT) FROM a3) AS inertia,
+  sha256(array_to_string({_WHOLE_SQL.format(x="c3.x")}, ',')) AS centroid_sha256
+FROM a3 JOIN i ON i.c = a3.m.c JOIN c3 ON c3.c = a3.m.c
+"""
+OP13_SQL = f"""
+WITH k AS MATERIALIZED ({_KEPT_SQL.format(scale=1024, dims=64)}),
+{_lloyd_sql("SELECT vec_id, label, p AS part, x[16 * p + 1:16 * p + 16] AS x FROM k, range(4) t(p)", "SELECT p AS part, c, x[16 * p + 1:16 * p + 16] AS x FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, x FROM k ORDER BY vec_id LIMIT 256), range(4) t(p)", 16, 4)},
+s AS (SELECT sha256(string_agg(array_to_string({_WHOLE_SQL.format(x="x")}, ','), ',' ORDER BY part, c)) AS codebooks_sha256 FROM c4),
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.c), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "near_vectors": NEAR_VECTORS_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": url_sql("SELECT * FROM pages"), "url_aliases": url_sql(PLANTED_PAGES, PLANTED_REDIRECTS)}
+    return {"op11_delta_lloyd": OP11_SQL, "op13_vector_codes": OP13_SQL, "op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "near_vectors": NEAR_VECTORS_SQL, "op4_mixing": OP4_SQL, "op5_url_filter": url_sql("SELECT * FROM pages"), "url_aliases": url_sql(PLANTED_PAGES, PLANTED_REDIRECTS)}

@@ -65,13 +65,14 @@ class Scratch:
         """``df``, the table saved as ``name``, marked for broadcast if its files are within the limit; else Spark shuffles for the join."""
         return F.broadcast(df) if self.stored_bytes(name) <= limit else df
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads, and the shuffle files that only they needed."""
+    def drop(self, *names: str, release: bool = True) -> None:
+        """Delete tables that no later step reads, and (``release``) the shuffle files that only they needed."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        self.release()
+        if release:
+            self.release()
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished steps."""
