@@ -5,8 +5,8 @@ byte pairs, hashed word shapes), a gated attention weighs the passages, and the
 encodings is scored.  Only documents are labelled; the weights of passages are learned from that.
 
 The model is fitted on the driver from a bounded, balanced sample of labelled documents: of each
-label the first ``per_class`` by a hash of their id, as long as their words stay within
-``class_words``.  A sampled document teaches with all of its passages; scoring reads every passage of
+label the first ``per_class`` by a hash of their id, of these the shorter ones whose words add up to at
+most ``class_words`` (the shortest of a label always stays, so no label is lost).  A sampled document teaches with all of its passages; scoring reads every passage of
 every document.
 
 Defined cases: a null, empty or blank text has no passage and scores 0; labels that are null are
@@ -201,8 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     # One row of each id, whatever their number, so at most 2 * per_class rows reach the driver.
     sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"))).alias("text"))
     sample = work.save(sample.withColumn("words", word_count(F.col("text"))), "sample")
-    upto = F.sum("words").over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    few = work.save(sample.select("doc_id", "label", "words").withColumn("upto", upto).filter(F.col("upto") <= class_words).select("doc_id"), "few")
+    # Shorter documents first: the sum stops only before the long ones, and the shortest of a label always stays.
+    by_length = W.partitionBy("label").orderBy("words", F.xxhash64("doc_id"), "doc_id")
+    upto, nth = F.sum("words").over(by_length.rowsBetween(W.unboundedPreceding, 0)), F.row_number().over(by_length)
+    few = sample.select("doc_id", "label", "words").withColumns({"upto": upto, "nth": nth}).filter((F.col("upto") <= class_words) | (F.col("nth") == 1))
+    few = work.save(few.select("doc_id"), "few")
     sample = sample.select("doc_id", "label", "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
     rows = sample.mapInArrow(_bags, "doc_id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["bag"]))

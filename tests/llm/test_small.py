@@ -495,6 +495,22 @@ def test_attention_gradient_equals_finite_differences():
             model[name][at] = kept
 
 
+@pytest.mark.parametrize("giant", [(0,), (1,), (0, 1)])
+def test_one_giant_document_does_not_cost_its_label(spark, giant):
+    rng = np.random.default_rng(4)
+    kinds = {0: ["buy", "now", "$$$", "click"], 1: ["measured", "careful", "reading", "chapter"]}
+    told = [(i, i % 2) for i in range(200)] + [(1000 + k, k) for k in giant] + [(2000 + k, k) for k in giant]
+    rows = [(i, " ".join(rng.choice(kinds[k], 30_000 if i >= 1000 else 60))) for i, k in told]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(told, "doc_id long, quality int")
+    model = quality.fit(docs, labels, class_words=20_000)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    out = [(got[i] >= 0.5) == bool(k) for i, k in told if zlib.crc32(str(i).encode()) % 4 == 2]
+    print(f"held-out accuracy {sum(out) / len(out):.3f} of {len(out)}")
+    assert "share" not in model and sum(out) >= 0.95 * len(out)
+    lone = labels.filter("doc_id >= 1000")  # nothing but giants: the shortest of each label still teaches
+    assert ("share" in quality.fit(docs, lone, class_words=20_000)) == (len({k for i, k in told if i >= 1000 and zlib.crc32(str(i).encode()) % 4 != 2}) < 2)
+
+
 def test_quality_fit_reads_all_passages_within_its_bound(spark):
     rows = [(i, " ".join(f"{'Fine' if i % 2 else 'x#!'}{i * k % 7}" for k in range(64 * (1 + i % 40)))) for i in range(80)]
     docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
