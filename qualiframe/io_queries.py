@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import profile
 from .sources import loader, xlsx
-from .sources.files import folder, put_bytes, write_one_csv
+from .sources.files import AS_IT_IS, folder, put_bytes, write_one_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,9 +55,57 @@ def scan_csv(s, d):
     return loader.load(s, _written(s, d)).df.drop("_row_id")
 
 
-@_query(f"{_CELLS_SQL} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS _row_id, id FROM t")
+@contextmanager
+def _split_size(s: SparkSession, size: int):
+    """Files are read in byte ranges of this size, so that small ones are read by several tasks too."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [s.conf.get(n) for n in names]
+    for n, v in zip(names, (str(size), "1")):
+        s.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            s.conf.set(n, v)
+
+
+def _in_files(df: DataFrame, by: str, path: str, files: int) -> str:
+    """A CSV table of several files whose names follow the order of ``by``."""
+    df.repartitionByRange(files, by).sortWithinPartitions(by).write.options(**AS_IT_IS, quote='"').csv(path)
+    return path
+
+
+@_query(f"{_CELLS_SQL} SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS first, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS again, id FROM t")
 def phys_row_id(s, d):
-    return loader.load(s, _written(s, d)).df.select("_row_id", "id")
+    """Customers in four files, loaded under two split sizes that cut rows, quoted line breaks included, at other places."""
+    path, got = _in_files(_cells(s, d), "id", f"{_place(s)}.csv", 4), []
+    for size in (5_000, 1 << 27):
+        with _split_size(s, size):
+            got.append(loader.load(s, path).df.select("_row_id", "id"))
+    return got[0].withColumnRenamed("_row_id", "first").join(got[1].withColumnRenamed("_row_id", "again"), "id")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _row_id, o_orderkey FROM orders")
+def phys_row_id_parquet(s, d):
+    """Orders written to four Parquet files by ranges of their key, and their places in them."""
+    path = f"{_place(s)}.parquet"
+    _table(s, d, "orders").select("o_orderkey").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return loader.load(s, path).df
+
+
+#: Documents with line breaks, quotes and delimiters inside of quoted cells, in SQL that both engines take.
+_PROSE = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '"' || text || chr(10) || chr(10) || '",' || lang ELSE text || chr(10) END AS prose, source FROM {documents}"""
+
+
+@_query(f"WITH t AS ({_PROSE.replace('{documents}', 'documents')}) SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS _row_id, doc_id, md5(prose) AS prose, source, true AS split FROM t")
+def scan_csv_split(s, d):
+    """All documents in two CSV files whose cells hold line breaks, cut into records by at least eight tasks."""
+    path = _in_files(s.sql(_PROSE, documents=_table(s, d, "documents")), "doc_id", f"{_place(s)}.csv", 2)
+    size = s.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    with _split_size(s, size // 16 + 1):
+        tasks = s.read.text(path).rdd.getNumPartitions()
+        got = loader.load(s, path, limit_mb=None).df
+    return got.select("_row_id", "doc_id", F.md5("prose").alias("prose"), "source", F.lit(tasks >= 8).alias("split"))
 
 
 @_query("SELECT name, type FROM (VALUES ('id', 'bigint'), ('name', 'string'), ('balance', 'double'), ('even', 'boolean'), ('segment', 'string')) AS v(name, type)")

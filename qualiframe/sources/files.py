@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
+#: CSV options that write cells with the white space at their ends, and quotes doubled.
+AS_IT_IS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; on a local master that names none, a temporary folder."""
@@ -46,5 +49,5 @@ def only_part(spark: SparkSession, path: str) -> str:
 
 def write_one_csv(df: DataFrame, path: str, **options) -> str:
     """A table as one CSV file with a header, by one task; for files meant to be handed on."""
-    df.coalesce(1).write.mode("overwrite").options(header=True, **options).csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**AS_IT_IS | options).csv(path)
     return only_part(df.sparkSession, path)

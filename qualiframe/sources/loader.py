@@ -1,7 +1,7 @@
 """Loading CSV, Excel and Parquet tables with a stable row id, and writing results.
 
 CSV text is read by Spark with an explicit all-text schema made from the header line, then typed by
-one aggregate pass over the columns.  The delimiter is sniffed from the first bytes; the encoding is
+one aggregate pass over the columns.  Row ids are places in the files, whatever the number of tasks.  The delimiter is sniffed from the first bytes; the encoding is
 one that decodes all of them.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from . import xlsx
-from .files import folder, put_bytes
+from . import splits, xlsx
+from .files import AS_IT_IS, folder, put_bytes
 
 
 class LoadError(Exception):
@@ -170,20 +170,6 @@ def human_size(size: float) -> str:
 # ---- types and row ids -----------------------------------------------------------------------
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """``_row_id``: places from 0 by partition counts and offsets; one small row per partition goes through the driver."""
-    if C.ROW_ID in df.columns:
-        return df
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
-    offsets, total = [], 0
-    for r in counts:
-        offsets.append((r["_part"], total))
-        total += r["n"]
-    table = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
-    return tagged.join(F.broadcast(table), "_part").withColumn(C.ROW_ID, F.col("_nth") + F.col("_offset")).drop("_part", "_nth", "_offset")
-
-
 def null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.when(~F.col(f"`{n}`").isin(*C.NA_TOKENS), F.col(f"`{n}`")) for n in df.columns if isinstance(df.schema[n].dataType, T.StringType)})
 
@@ -215,33 +201,42 @@ def infer_storage(df: DataFrame) -> DataFrame:
 
 
 def _head(spark: SparkSession, path: str) -> tuple[bytes, int]:
-    """First bytes and size of a file, by Spark's own file access, so any store it reads will do."""
+    """First bytes of a file, or of the first one of a folder, and the size of all, by Spark's own file access, so any store it reads will do."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        size = fs.getFileStatus(hadoop).getLen()
+        top = fs.getFileStatus(hadoop)
+        found = [top] if top.isFile() else sorted((f for f in fs.listStatus(hadoop) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "_."), key=lambda f: f.getPath().toString())
     except Exception as e:
         raise LoadError(f"{path} cannot be read.") from e
-    stream = fs.open(hadoop)
+    if not found:
+        return b"", 0
+    stream = fs.open(found[0].getPath())
     try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, C.SNIFF_BYTES)))), size
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(found[0].getLen(), C.SNIFF_BYTES)))), sum(f.getLen() for f in found)
     finally:
         stream.close()
 
 
-def needs_whole_reading(spark: SparkSession, path: str, delimiter: str) -> bool:
-    """Whether a quoted cell may hold a line break, by one distributed count; only then is the file read in one piece.
-
-    Lines are told apart if each is a full list of cells, quoted ones closed. A carriage return
-    inside a line and a line of white space only count too, as Spark's two readers differ there.
-    """
-    if len(delimiter) != 1 or delimiter in '"\r\n':
-        return True
-    d = delimiter if delimiter.isalnum() else f"\\x{ord(delimiter):02x}" if ord(delimiter) < 256 else delimiter
+def how_to_read(spark: SparkSession, path: str, delimiter: str) -> str:
+    """``lines`` if each line is a record; ``records`` if a quoted cell may hold a line break; ``whole`` if a carriage return stands inside a line, as only a reader of the whole file tells what it ends. One distributed count."""
+    if len(delimiter) != 1 or delimiter in '"\r\n' or ord(delimiter) > 127:
+        return "whole"
+    d = delimiter if delimiter.isalnum() else f"\\x{ord(delimiter):02x}"
     cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{d}]*+)'
     line = F.decode(F.regexp_replace("value", r"\r$", "").cast("binary"), "iso-8859-1")
-    odd = line.contains("\r") | line.rlike(r"^[\x00-\x20]+$") | (line.contains('"') & ~line.rlike(f"^{cell}(?:{d}{cell})*+$"))
-    return bool(spark.read.option("lineSep", "\n").text(path).agg(F.count_if(odd)).first()[0])
+    odd = line.contains('"') & ~line.rlike(f"^{cell}(?:{d}{cell})*+$")
+    got = spark.read.option("lineSep", "\n").text(path).agg(F.count_if(line.contains("\r")).alias("returns"), F.count_if(odd).alias("odd")).first()
+    return "whole" if got["returns"] else "records" if got["odd"] else "lines"
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType, *, delimiter: str, header: bool, codec: str) -> DataFrame:
+    """Rows with ``_row_id`` of a CSV whose quoted cells hold line breaks, cut by all tasks (see ``splits``) and parsed by Spark."""
+    records = splits.quoted_records(spark, path, delimiter, f"{folder(spark)}/records-{uuid.uuid4().hex}", header=header)
+    text = F.regexp_replace(F.decode("text", codec), r"\r\z", "")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+    parsed = F.from_csv(text, fields, {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"})
+    return records.select(C.ROW_ID, parsed.alias("_cells")).select("_cells.*", C.ROW_ID)
 
 
 def as_page(df: DataFrame, page: list[str | None]) -> DataFrame:
@@ -250,7 +245,7 @@ def as_page(df: DataFrame, page: list[str | None]) -> DataFrame:
     if not pairs:
         return df
     a, z = ("".join(x) for x in zip(*pairs))
-    return df.select(*[F.translate(F.col(f"`{n}`"), a, z).alias(n) for n in df.columns])
+    return df.select(*[F.translate(F.col(f"`{f.name}`"), a, z).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def _parsed(encoding: str, delimiter: str, width: int, header: bool):
@@ -289,13 +284,18 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
     codec = "utf-8" if _is_utf8(encoding) else "iso-8859-1" if page else re.sub("(?<=16)-", "", encoding.lower().replace("_", "-"))
     try:
         if page or wide or _is_utf8(encoding):
-            df = reader.option("multiLine", wide or needs_whole_reading(spark, path, delimiter)).option("encoding", codec).csv(path)
+            how = "whole" if wide else how_to_read(spark, path, delimiter)
+            if how == "records":
+                df = read_records(spark, path, reader_schema, delimiter=delimiter, header=header, codec=codec)
+            else:
+                df = splits.number_rows(reader.option("multiLine", how == "whole").option("encoding", codec).csv(path), C.ROW_ID)
             df = as_page(df, page) if page else df
         else:  # other encodings of several bytes, read only if they are named: a file is parsed by one task
-            df = spark.createDataFrame(spark.sparkContext.binaryFiles(path).flatMap(_parsed(encoding, delimiter, len(names) + 1, header)), reader_schema)
+            rows = spark.sparkContext.binaryFiles(path).flatMap(_parsed(encoding, delimiter, len(names) + 1, header)).zipWithIndex()
+            df = spark.createDataFrame(rows.map(lambda r: (*r[0], r[1])), T.StructType([*reader_schema.fields, T.StructField(C.ROW_ID, T.LongType())]))
         if not df.filter(F.col(f"`{more}`").isNotNull()).isEmpty():
             raise LoadError(f"{path} has rows with more cells than its {len(names)} columns.")
-        loaded = with_row_id(df.drop(more))
+        loaded = df.drop(more)
     except AnalysisException as e:
         raise LoadError(f"{path} cannot be read as CSV.") from e
     loaded = infer_storage(null_tokens(loaded))
@@ -406,7 +406,7 @@ def load(spark: SparkSession, path: str, **options) -> Loaded:
         return load_excel(spark, path, **options)
     if low.endswith(".parquet"):
         df = spark.read.parquet(path)
-        return Loaded(with_row_id(df), path.rsplit("/", 1)[-1], "parquet", header=df.columns)
+        return Loaded(df if C.ROW_ID in df.columns else splits.number_rows(df, C.ROW_ID), path.rsplit("/", 1)[-1], "parquet", header=df.columns)
     raise LoadError(f"{path.rsplit('/', 1)[-1]} is of a type that is not supported.")
 
 
@@ -414,7 +414,7 @@ def load(spark: SparkSession, path: str, **options) -> Loaded:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.drop(C.ROW_ID).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.drop(C.ROW_ID).write.mode("overwrite").options(**AS_IT_IS).csv(path)
 
 
 def to_excel(df: DataFrame, sheet: str = "Cleaned") -> bytes:
@@ -427,4 +427,4 @@ def write_logs(folder: str, **tables: DataFrame) -> None:
     """Audit, decisions, unresolved issues and the like, each as a CSV folder of its name."""
     for name, table in tables.items():
         simple = table.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`") for f in table.schema])
-        simple.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+        simple.write.mode("overwrite").options(**AS_IT_IS).csv(f"{folder}/{name}")

@@ -1,6 +1,12 @@
 """Encodings and line breaks of files."""
 
+import csv
+import io
+import random
+
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 
 from qualiframe.sources import loader
 
@@ -54,9 +60,67 @@ def test_files_without_quoted_line_breaks_are_split(spark, tmp_path, encoding):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("text, whole", [('a,b\n"x ""y""",2\n', False), ('a,b\n"x\ny",2\n', True), ('a,b\n5" z,"x\ny"\n', True), ("a,b\n1,2\r3,4\n", True), ("a,b\r\n1,2\r\n", False), ("a,b\n  \n1,2\n", True)])
-def test_which_files_are_read_in_one_piece(spark, tmp_path, text, whole):
-    assert loader.needs_whole_reading(spark, write(tmp_path / "x.csv", text.encode()), ",") is whole
+@pytest.mark.parametrize("text, how", [('a,b\n"x ""y""",2\n', "lines"), ('a,b\n"x\ny",2\n', "records"), ('a,b\n5" z,"x\ny"\n', "records"), ("a,b\n1,2\r3,4\n", "whole"), ("a,b\r\n1,2\r\n", "lines"), ("a,b\n  \n1,2\n", "lines")])
+def test_how_files_are_read(spark, tmp_path, text, how):
+    assert loader.how_to_read(spark, write(tmp_path / "x.csv", text.encode()), ",") == how
+
+
+def plain_rows(data, delimiter, header=True):
+    """Rows by Python's own reader: blank lines go, empty cells are null."""
+    rows = [r for r in csv.reader(io.StringIO(data.decode(), newline=""), delimiter=delimiter) if len(r) > 1 or r and r[0].strip()]
+    width = max(map(len, rows))
+    return [tuple(c or None for c in r + [None] * (width - len(r))) for r in rows[int(header) :]]
+
+
+@pytest.fixture
+def small_splits(spark):
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+    yield use
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+CELLS = ["a", "", "two words", 'say ""hi""', "x\ny", "\n\n", "c,d", "crlf\r\nin", '""', "é☃", "long\n" * 40, "tail\n  \n"]
+
+
+@pytest.mark.parametrize("size", [50, 170, 1 << 20])
+def test_quoted_line_breaks_in_any_split(spark, tmp_path, small_splits, size):
+    """The same records and ids wherever the splits fall, cells over several splits included."""
+    rng = random.Random(size)
+    lines = ["k,v,w"]
+    for i in range(50):
+        cells = [rng.choice(CELLS) for _ in range(2)]
+        lines.append(",".join([str(i)] + [f'"{c}"' if any(x in c for x in '",\n\r') or rng.random() < 0.3 else c for c in cells]))
+        lines += [rng.choice(["", "   "])] * (rng.random() < 0.1)
+    lines += ['5" z,stray "q" here,x', 'last,"open quote', "goes on,1"]
+    data = "\n".join(lines).encode()
+    small_splits(size)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("k", "v", "w")])
+    got = loader.read_records(spark, write(tmp_path / "x.csv", data), schema, delimiter=",", header=True, codec="utf-8").orderBy("_row_id").collect()
+    wanted = plain_rows(data, ",")
+    assert [r["_row_id"] for r in got] == list(range(len(wanted)))
+    assert [(r["k"], r["v"], r["w"]) for r in got] == wanted
+
+
+@pytest.mark.parametrize("kind", ["lines", "records", "parquet"])
+def test_row_ids_of_several_files_under_two_split_sizes(spark, tmp_path, small_splits, kind):
+    place = tmp_path / ("t.parquet" if kind == "parquet" else "t.csv")
+    if kind == "parquet":
+        spark.range(5000).repartition(3).write.parquet(str(place))
+        wanted = [r["id"] for f in sorted(place.glob("*.parquet")) for r in pq.read_table(f).to_pylist()]
+    else:
+        place.mkdir()
+        for f in range(3):
+            cell = '"x\ny"' if kind == "records" else "x"
+            write(place / f"part-{f}.csv", b"id,t\n" + b"".join(b"%d,%s\n" % (1000 * f + i, cell.encode()) for i in range(700)))
+        wanted = [1000 * f + i for f in range(3) for i in range(700)]
+    for size in (2000, 1 << 20):
+        small_splits(size)
+        got = loader.load(spark, str(place)).df
+        assert [tuple(r) for r in got.select("_row_id", "id").orderBy("_row_id").collect()] == list(enumerate(wanted))
 
 
 def test_workbooks_are_parsed_on_executors(spark, tmp_path, monkeypatch):
