@@ -826,35 +826,80 @@ for _name, _sql in _HISTORY_SQL.items():
 
 
 def saved_runs(s: SparkSession, d: str) -> store.RunStore:
-    """A store with two runs, written and read again."""
-    made, tables = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}"), store_tables(s, d)
+    """A store with the runs of all orders, saved at once and read again."""
+    made = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}")
     made.init(NOW)
-    for run in ("run_7", "run_8"):
-        made.save(run, {n: t.filter(F.col("run_id") == run) for n, t in tables.items()})
+    made.save_all(store_tables(s, d))
     return made
 
 
-@query("SELECT run_id, known FROM (VALUES ('run_7', true), ('run_8', true), ('run_9', false)) AS v(run_id, known)")
+@query(f"{_STORE_CTE}, ids AS (SELECT {_RUN} AS run_id FROM orders UNION SELECT 'run_' || CAST(o_orderkey + 7 AS VARCHAR) FROM orders) SELECT run_id, run_id IN (SELECT run_id FROM profiling_runs) AS known FROM ids")
 def db_run_exists(s, d):
-    made = saved_runs(s, d)
-    return s.createDataFrame([(r, made.exists(r)) for r in ("run_7", "run_8", "run_9")], "run_id string, known boolean")
+    ids = s.sql(f"SELECT {_RUN} AS run_id FROM {{orders}} UNION SELECT 'run_' || CAST(o_orderkey + 7 AS VARCHAR(20)) FROM {{orders}}", orders=table(s, d, "orders"))
+    return saved_runs(s, d).known(ids)
 
 
 _PARTS = ("profiling_runs", "data_quality_issues", "applied_fixes", "quality_scores")
 
 
-@query(f"{_STORE_CTE} {' UNION ALL '.join(f"SELECT '{n}' AS part, count(*) AS n FROM {n} WHERE run_id = 'run_7'" for n in _PARTS)}")
-def db_detail(s, d):
-    found = saved_runs(s, d).detail("run_7")
-    every = [found[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in _PARTS]
+def _part_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    every = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in _PARTS]
     return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
 
 
-@query(f"{_STORE_CTE} SELECT run_id, issue_category, severity, column_name, count(*) AS n FROM data_quality_issues WHERE run_id IN ('run_7', 'run_8') GROUP BY ALL")
+def _part_counts_sql(where: str = "true") -> str:
+    return f"{_STORE_CTE} {' UNION ALL '.join(f"SELECT '{n}' AS part, count(*) AS n FROM {n} WHERE {where}" for n in _PARTS)}"
+
+
+@query(_part_counts_sql("run_id = 'run_7'"))
+def db_detail(s, d):
+    return _part_counts(saved_runs(s, d).detail("run_7"))
+
+
+@query(f"{_STORE_CTE} SELECT run_id, issue_category, severity, column_name, count(*) AS n FROM data_quality_issues GROUP BY ALL")
 def db_save(s, d):
     return saved_runs(s, d).table("data_quality_issues").groupBy("run_id", "issue_category", "severity", "column_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_part_counts_sql())
+def db_retry(s, d):
+    """All runs are written, lost before their commit, saved again, and saved a third time, which is refused."""
+    made, tables = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}"), store_tables(s, d)
+    made.write(tables)
+    made.save_all(tables)
+    try:
+        made.save_all(tables)
+    except store.StoreError:
+        return _part_counts(made.tables())
+    raise AssertionError("runs were stored twice")
+
+
+@query(_part_counts_sql("run_id NOT IN ('run_3', 'run_7')"))
+def db_delete(s, d):
+    """Deleting a run takes its rows out of every table."""
+    made = saved_runs(s, d)
+    made.delete("run_7")
+    made.delete("run_3")
+    return _part_counts(made.tables())
+
+
+_COLUMNS = f"SELECT {_RUN} AS run_id, 'original' AS dataset_version, 'column_' || CAST(o_custkey % 17 AS VARCHAR(5)) AS column_name, o_custkey AS missing_count FROM {{orders}}"
+
+
+@query(f"SELECT run_id, column_name, missing_count, CAST(CASE WHEN run_id = 'run_new' THEN 5 END AS BIGINT) AS outlier_count, 1 AS steps FROM ({_COLUMNS.replace('{orders}', 'orders')} UNION ALL SELECT 'run_new', 'original', 'column_x', 4)")
+def db_migrate(s, d):
+    """A store of an older version, whose column profiles have no outlier_count: brought up twice, added to, and read."""
+    made = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}")
+    made._commit(lambda: True, action="schema", schema_version="1.0.0", noted_at=NOW)
+    old = {"profiling_runs": store_tables(s, d)["profiling_runs"], "column_profiles": s.sql(_COLUMNS, orders=table(s, d, "orders"))}
+    made._commit(lambda: True, action="add", attempt=made.write(old), schema_version="1.0.0")
+    made.init(NOW)
+    made.init(NOW)
+    made.save("run_new", {"profiling_runs": s.sql("SELECT 'new' AS dataset_name"), "column_profiles": s.sql("SELECT 'original' AS dataset_version, 'column_x' AS column_name, 4 AS missing_count, 5 AS outlier_count")})
+    steps = made.table("schema_info").filter("schema_version = '1.1.0'").count()
+    return made.table("column_profiles").select("run_id", "column_name", "missing_count", "outlier_count", F.lit(steps).alias("steps"))
+
+
 @query("SELECT '1.1.0' AS schema_version, count(*) AS n FROM (VALUES (1)) AS v(x)")
 def db_init(s, d):
     made = saved_runs(s, d)
@@ -862,7 +907,7 @@ def db_init(s, d):
     return made.table("schema_info").groupBy("schema_version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_STORE_CTE} SELECT run_id, overall_score, dataset_version FROM dataset_profiles WHERE run_id IN ('run_7', 'run_8')")
+@query(f"{_STORE_CTE} SELECT run_id, overall_score, dataset_version FROM dataset_profiles")
 def sink_run_store(s, d):
     return saved_runs(s, d).table("dataset_profiles").select("run_id", "overall_score", "dataset_version")
 

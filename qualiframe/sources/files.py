@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
+import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -39,6 +42,47 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return path
 
 
+def put_if_absent(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Make a file unless there is one; of several writers one gets True, as far as the store creates files atomically."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # Hadoop looks first and creates then
+        local = hadoop.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "xb") as f:
+                f.write(data)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        stream = fs.create(hadoop, False)
+    except Py4JJavaError:
+        if fs.exists(hadoop):
+            return False
+        raise
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    return True
+
+
+def names_in(spark: SparkSession, path: str, older_than_s: float | None = None) -> list[str]:
+    """Names in a folder, none if there is no such folder; only of what was not changed for some seconds."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    before = None if older_than_s is None else (time.time() - older_than_s) * 1000
+    return [f.getPath().getName() for f in fs.listStatus(hadoop) if before is None or f.getModificationTime() <= before]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def only_part(spark: SparkSession, path: str) -> str:
     """The single data file of a folder that Spark wrote."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,17 +1,17 @@
-"""Run store: the eight tables of a run history on Parquet, and the history queries.
-
-Each table is partitioned by run_id, so one run is read without the others.  A run is written table by
-table and becomes visible only by the row of ``profiling_runs``, which is written last; a run that broke
-off leaves nothing that a query can see.
-"""
+"""Run store: the eight tables of a run history on Parquet behind a log of commits, and the history queries."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
+from .sources.files import delete, names_in, put_if_absent
 
 # Tables and columns of a stored run.
 SCHEMAS = {
@@ -31,6 +31,12 @@ CHECKS = {
 UNIQUE = {"profiling_runs": ["run_id"], "dataset_profiles": ["run_id", "dataset_version"], "quality_scores": ["run_id", "dataset_version", "component_name"]}
 
 
+LOG = "version long, action string, attempt string, run_id string, schema_version string, noted_at string"
+
+#: The ladder of schema versions after the first: version, table, added column, and what older rows have in it.
+STEPS = [("1.1.0", "column_profiles", "outlier_count", None)]
+
+
 class StoreError(Exception):
     pass
 
@@ -49,50 +55,137 @@ def violations(tables: dict[str, DataFrame]) -> list[str]:
 
 
 class RunStore:
+    """Runs below ``root``: ``log/`` with a numbered file a commit, and ``<table>/attempt=<id>/`` with the rows of one save.
+
+    A save writes its rows into a folder of its own and then takes the next number of the log, which
+    only one writer gets (see ``files.put_if_absent``).  Rows count if the log names their attempt, so
+    one that broke off is never seen and can be repeated; a run id that another writer committed
+    meanwhile is refused; taking a run out of the log takes its rows out of every table.
+    """
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame:
+    # -- log
+
+    def log(self) -> DataFrame:
+        """(version, action, attempt, run_id, schema_version, noted_at), a row a commit."""
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(LOG).json(f"{self.root}/log").filter("version is not null")
         except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.createDataFrame([], LOG)
 
-    def table(self, name: str) -> DataFrame:
-        """Rows of runs that were written whole."""
-        rows = self._read(name)
-        if name in ("profiling_runs", "schema_info"):
-            return rows
-        return rows.join(self._read("profiling_runs").select("run_id"), "run_id", "left_semi")
+    def _commit(self, check: Callable[[], bool], **entry: str | None) -> bool:
+        """Add an entry after ``check`` has seen all before it; False if it says that there is nothing to add."""
+        while True:
+            version = max((int(n.split(".")[0]) for n in names_in(self.spark, f"{self.root}/log")), default=0) + 1
+            if not check():
+                return False
+            if put_if_absent(self.spark, f"{self.root}/log/{version:012d}.json", json.dumps({"version": version, **entry}).encode()):
+                return True
 
-    def init(self, when: str) -> None:
-        """Note the schema version; once."""
-        if self._read("schema_info").filter(F.col("schema_version") == C.SCHEMA_VERSION).isEmpty():
-            self.spark.createDataFrame([(C.SCHEMA_VERSION, when)], SCHEMAS["schema_info"]).coalesce(1).write.mode("append").parquet(f"{self.root}/schema_info")
+    # -- reading
 
-    def exists(self, run_id: str) -> bool:
-        return not self._read("profiling_runs").filter(F.col("run_id") == run_id).limit(1).isEmpty()
+    def _rows(self, name: str, attempt: str | None = None) -> DataFrame:
+        """All rows ever written, whole saves or not; those older than a column have null in it."""
+        try:
+            rows = self.spark.read.schema(f"{SCHEMAS[name]}, attempt string").parquet(f"{self.root}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], f"{SCHEMAS[name]}, attempt string")
+        return rows.filter(F.col("attempt") == attempt) if attempt else rows
 
-    def save(self, run_id: str, tables: dict[str, DataFrame]) -> None:
-        if self.exists(run_id):
-            raise StoreError(f"run {run_id} is stored already")
-        tables = {n: self._shaped(n, run_id, t) for n, t in tables.items()}
-        if broken := violations(tables):
-            raise StoreError("; ".join(broken))
-        for name in sorted(tables, key=lambda n: n == "profiling_runs"):  # the row that makes a run visible comes last
-            tables[name].write.mode("append").partitionBy("run_id").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
-
-    def _shaped(self, name: str, run_id: str, table: DataFrame) -> DataFrame:
-        fields = [x.strip().rsplit(" ", 1) for x in SCHEMAS[name].split(",")]
-        table = table.withColumn("run_id", F.lit(run_id))
-        return table.select(*[(F.col(n) if n in table.columns else F.lit(None)).cast(k).alias(n) for n, k in fields])
+    def table(self, name: str) -> DataFrame:
+        """Rows of committed runs that were not deleted since."""
+        log = self.log()
+        if name == "schema_info":
+            return log.filter("action = 'schema'").select("schema_version", F.col("noted_at").alias("applied_at"))
+        adds = log.filter("action = 'add'").select("attempt", F.col("version").alias("_added"))
+        gone = log.filter("action = 'remove'").select(F.col("run_id").alias("_run"), F.col("version").alias("_gone"))
+        rows = self._rows(name).join(adds, "attempt").join(gone, (F.col("run_id") == F.col("_run")) & (F.col("_gone") > F.col("_added")), "left_anti")
+        filled = {column: F.coalesce(column, F.lit(value)) for _, of, column, value in STEPS if of == name and value is not None}
+        return rows.drop("attempt", "_added").withColumns(filled) if filled else rows.drop("attempt", "_added")
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: self.table(n) for n in SCHEMAS if n != "schema_info"}
 
     def detail(self, run_id: str) -> dict[str, DataFrame]:
         names = ("profiling_runs", "column_profiles", "data_quality_issues", "cleaning_audit_log", "applied_fixes", "quality_scores")
         return {n: self.table(n).filter(F.col("run_id") == run_id) for n in names}
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in SCHEMAS if n != "schema_info"}
+    def known(self, ids: DataFrame) -> DataFrame:
+        """``ids`` (run_id) with ``known``: whether the run is stored."""
+        stored = self.table("profiling_runs").select("run_id", F.lit(True).alias("known"))
+        return ids.join(stored, "run_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    def exists(self, run_id: str) -> bool:
+        return not self.table("profiling_runs").filter(F.col("run_id") == run_id).limit(1).isEmpty()
+
+    # -- writing
+
+    def init(self, when: str) -> None:
+        """Bring the store to the present schema: each step of the ladder is noted once, in order; nothing stored is rewritten."""
+        noted = lambda: {r["schema_version"] for r in self.table("schema_info").collect()}  # noqa: E731  one row a step
+        number = lambda version: [int(x) for x in version.split(".")]
+        oldest = number(min(noted(), key=number, default=C.SCHEMA_VERSION))
+        steps = list(dict.fromkeys([s for s, *_ in STEPS if number(s) > oldest] + [C.SCHEMA_VERSION]))
+        for step in steps:
+            self._commit(lambda step=step: step not in noted(), action="schema", schema_version=step, noted_at=when)
+
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """Store rows as a new attempt that no reader sees yet."""
+        attempt = f"a{uuid.uuid4().hex}"
+        for name, rows in tables.items():
+            # sorted, so that a run is found by the ranges of row groups
+            rows.sortWithinPartitions("run_id").write.parquet(f"{self.root}/{name}/attempt={attempt}")
+        return attempt
+
+    def _drop(self, attempt: str) -> None:
+        for name in SCHEMAS:
+            delete(self.spark, f"{self.root}/{name}/attempt={attempt}")
+
+    def save(self, run_id: str, tables: dict[str, DataFrame]) -> None:
+        """Store one run, whole or not at all."""
+        self.save_all({n: t.withColumn("run_id", F.lit(run_id)) for n, t in tables.items()})
+
+    def save_all(self, tables: dict[str, DataFrame]) -> None:
+        """Store the runs of ``profiling_runs`` and what the other tables hold of them, all or none."""
+        attempt = self.write({n: self._shaped(n, t) for n, t in tables.items()})
+        try:
+            written = {n: self._rows(n, attempt).drop("attempt") for n in tables}
+            if broken := violations(written):
+                raise StoreError("; ".join(broken))
+
+            def new() -> bool:
+                again = written["profiling_runs"].join(self.table("profiling_runs"), "run_id", "left_semi").select("run_id").limit(1).collect()
+                if again:
+                    raise StoreError(f"run {again[0]['run_id']} is stored already")
+                return True
+
+            self._commit(new, action="add", attempt=attempt, schema_version=C.SCHEMA_VERSION)
+        except StoreError:
+            self._drop(attempt)
+            raise
+
+    def delete(self, run_id: str) -> None:
+        """Take a run out of all tables at once; its id may be used again."""
+        if not self._commit(lambda: self.exists(run_id), action="remove", run_id=run_id):
+            raise StoreError(f"run {run_id} is not stored")
+
+    def vacuum(self, older_than_s: float = 86_400) -> list[str]:
+        """Delete the folders of attempts that were never committed; younger ones may still be at work."""
+        kept = {r["attempt"] for r in self.log().filter("action = 'add'").collect()}
+        gone = set()
+        for name in SCHEMAS:
+            for folder in names_in(self.spark, f"{self.root}/{name}", older_than_s):
+                if folder.startswith("attempt=") and folder[8:] not in kept:
+                    gone.add(folder[8:])
+        for attempt in gone:
+            self._drop(attempt)
+        return sorted(gone)
+
+    def _shaped(self, name: str, table: DataFrame) -> DataFrame:
+        fields = [x.strip().rsplit(" ", 1) for x in SCHEMAS[name].split(",")]
+        return table.select(*[(F.col(n) if n in table.columns else F.lit(None)).cast(k).alias(n) for n, k in fields])
 
 
 # ---- history queries: each takes the tables by name ------------------------------------------

@@ -263,6 +263,66 @@ def test_run_store(spark, tmp_path):
         store.save("r3", {"profiling_runs": spark.createDataFrame([("x", "a"), ("x", "b")], "dataset_name string, file_type string")})
 
 
+def bundle(spark, *runs):
+    return {
+        "profiling_runs": spark.createDataFrame([(r, "set") for r in runs], "run_id string, dataset_name string"),
+        "data_quality_issues": spark.createDataFrame([(r, "original", "Low", i) for r in runs for i in range(3)], "run_id string, dataset_version string, severity string, row_index long"),
+    }
+
+
+def counts(store):
+    return {r["run_id"]: r["n"] for r in store.table("data_quality_issues").groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_a_broken_save_leaves_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    import qualiframe.store as module
+
+    store = RunStore(spark, str(tmp_path / "store"))
+    for at in (0, 1):  # lost before the commit, and inside of it
+        with monkeypatch.context() as m:
+            def lost(_, path, data):
+                if at:
+                    open(path, "xb").close()
+                raise OSError("lost")
+
+            m.setattr(module, "put_if_absent", lost)
+            with pytest.raises(OSError):
+                store.save_all(bundle(spark, "r1", "r2"))
+        (tmp_path / "store" / "log").mkdir(exist_ok=True)
+        assert counts(store) == {} and not store.exists("r1")
+    store.save_all(bundle(spark, "r1", "r2"))
+    assert counts(store) == {"r1": 3, "r2": 3} and store.table("profiling_runs").count() == 2
+    assert store.vacuum() == [] and len(store.vacuum(older_than_s=-1)) == 2 and counts(store) == {"r1": 3, "r2": 3}
+
+
+def test_of_two_writers_of_a_run_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [RunStore(spark, str(tmp_path / "store")) for _ in range(4)]
+
+    def save(i):
+        try:
+            stores[i].save_all(bundle(spark, "same") if i < 3 else bundle(spark, "other"))
+            return True
+        except StoreError:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(save, range(4)))
+    assert sum(won[:3]) == 1 and won[3] and counts(stores[0]) == {"same": 3, "other": 3}
+
+
+def test_deleting_a_run_cascades_and_frees_its_id(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    store.save_all(bundle(spark, "r1", "r2"))
+    store.delete("r1")
+    assert counts(store) == {"r2": 3} and not store.exists("r1")
+    with pytest.raises(StoreError):
+        store.delete("r1")
+    store.save_all(bundle(spark, "r1"))
+    assert counts(store) == {"r1": 3, "r2": 3}
+
+
 def test_comparison(spark):
     a = spark.createDataFrame([("Text", "Low"), ("Text", "High"), ("Date", "Low")], "issue_category string, severity string")
     b = spark.createDataFrame([("Text", "Low"), ("Numeric", "Low")], "issue_category string, severity string")
