@@ -312,11 +312,15 @@ def cleaned(s: SparkSession, d: str) -> engine.Session:
     return engine.Session(analysis(s, d)).apply([f.fix_id for f in clean.FIXES if not f.needs_approval and f.fix_id not in ("normalize_columns", "convert_dates", "convert_numbers")], now=NOW)
 
 
+def _given_types(names: list[str]) -> list[profile.ColumnProfile]:
+    return [profile.ColumnProfile(n, n, "", TYPES[n], 1.0, 0, 0, 0.0, 0, 0.0, 0, effective_logical_type=TYPES[n], evidence={"dominant": "numeric"}) for n in names]
+
+
 def _rule(rule: str) -> Query:
     """One rule on its own columns: its plan has nothing of the other rules."""
     def run(s: SparkSession, d: str) -> DataFrame:
         df = messy(s, d)
-        profiles = [profile.ColumnProfile(n, n, "", TYPES[n], 1.0, 0, 0, 0.0, 0, 0.0, 0, effective_logical_type=TYPES[n], evidence={"dominant": "numeric"}) for n in _rule_columns(rule)]
+        profiles = _given_types(_rule_columns(rule))
         return detect.detect(df.select("_row_id", *[p.original_name for p in profiles]), profiles, now=NOW, only={rule}).select(*ISSUE_COLUMNS)
 
     return run
@@ -337,8 +341,22 @@ def _rule_columns(rule: str) -> list[str]:
     return [n for n in ALL_COLUMNS if TYPES[n] in kinds]
 
 
+def _type_rule(rule: str) -> Query:
+    """A rule about the type of whole columns: only the columns that it tells of are profiled."""
+    kind = {"numeric_stored_as_text": C.NUMERIC_TEXT, "date_stored_as_text": C.DATE_TEXT, "mixed_data_types": C.MIXED}[rule]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = messy(s, d).select("_row_id", *[n for n in ALL_COLUMNS if TYPES[n] == kind])
+        return detect.detect(df, profile.profile(df), now=NOW, only={rule}).select(*ISSUE_COLUMNS)
+
+    return run
+
+
 for _name, _parts in DETECTION.items():
-    if _name not in ("numeric_stored_as_text", "date_stored_as_text", "mixed_data_types"):
+    if _name in ("numeric_stored_as_text", "date_stored_as_text", "mixed_data_types"):
+        QUERIES[_name] = _type_rule(_name)
+        SQL[_name] = f"{_WITH}, {_HEAD} AS ({_parts[0]}) SELECT * FROM h"
+    else:
         QUERIES[_name] = _rule(_name)
         SQL[_name] = f"{_WITH}, {_DUP}, {_HEAD} AS ({' UNION ALL '.join(_parts)}) SELECT * FROM h"
 
@@ -348,10 +366,6 @@ def detect_issues(s, d):
     return analysis(s, d).issues.select(*ISSUE_COLUMNS)
 
 
-for _name in ("numeric_stored_as_text", "date_stored_as_text", "mixed_data_types"):
-    QUERIES[_name] = lambda s, d, rule=_name: analysis(s, d).issues.filter(F.col("issue_type") == rule).select(*ISSUE_COLUMNS)
-    SQL[_name] = f"{_WITH}, {_HEAD} AS ({DETECTION[_name][0]}) SELECT * FROM h"
-
 _DIM = ", ".join(f"('{k}', '{v[0]}', {'true' if v[2] else 'false'})" for k, v in C.ISSUES.items())
 CATEGORY_CTE = f"{ISSUES_CTE}, c(issue_type, issue_category, safe) AS (VALUES {_DIM}), i AS (SELECT * FROM h JOIN c USING (issue_type))"
 
@@ -410,9 +424,19 @@ def score_components(s, d):
     return analysis(s, d).components.drop("calculation_explanation")
 
 
+def _component_score(name: str) -> Query:
+    """One component by the rules that count for it, types given; its plan has nothing of the other rules."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = messy(s, d)
+        issues = detect.detect(df, _given_types(ALL_COLUMNS), now=NOW, only=set(C.COMPONENTS[name][1]))
+        return score.score(df, issues).filter(F.col("component_name") == name).select("component_name", "component_score", "issue_count", "denominator")
+
+    return run
+
+
 for _component in C.COMPONENTS:
     _key = "score_" + _component.split(" ")[0].lower()
-    QUERIES[_key] = lambda s, d, n=_component: analysis(s, d).components.filter(F.col("component_name") == n).select("component_name", "component_score", "issue_count", "denominator")
+    QUERIES[_key] = _component_score(_component)
     SQL[_key] = f"{SCORE_CTE} SELECT component_name, component_score, issue_count, denominator FROM score WHERE component_name = '{_component}'"
 
 
@@ -886,7 +910,7 @@ def db_delete(s, d):
 _COLUMNS = f"SELECT {_RUN} AS run_id, 'original' AS dataset_version, 'column_' || CAST(o_custkey % 17 AS VARCHAR(5)) AS column_name, o_custkey AS missing_count FROM {{orders}}"
 
 
-@query(f"SELECT run_id, column_name, missing_count, CAST(CASE WHEN run_id = 'run_new' THEN 5 END AS BIGINT) AS outlier_count, 1 AS steps FROM ({_COLUMNS.replace('{orders}', 'orders')} UNION ALL SELECT 'run_new', 'original', 'column_x', 4)")
+@query(f"SELECT run_id, column_name, missing_count, CAST(CASE WHEN run_id = 'run_new' THEN 5 ELSE -1 END AS BIGINT) AS outlier_count, 1 AS steps FROM ({_COLUMNS.replace('{orders}', 'orders')} UNION ALL SELECT 'run_new', 'original', 'column_x', 4)")
 def db_migrate(s, d):
     """A store of an older version, whose column profiles have no outlier_count: brought up twice, added to, and read."""
     made = store.RunStore(s, f"{folder(s)}/runs-{uuid.uuid4().hex}")
@@ -897,7 +921,7 @@ def db_migrate(s, d):
     made.init(NOW)
     made.save("run_new", {"profiling_runs": s.sql("SELECT 'new' AS dataset_name"), "column_profiles": s.sql("SELECT 'original' AS dataset_version, 'column_x' AS column_name, 4 AS missing_count, 5 AS outlier_count")})
     steps = made.table("schema_info").filter("schema_version = '1.1.0'").count()
-    return made.table("column_profiles").select("run_id", "column_name", "missing_count", "outlier_count", F.lit(steps).alias("steps"))
+    return made.table("column_profiles").select("run_id", "column_name", "missing_count", F.coalesce("outlier_count", F.lit(-1)).alias("outlier_count"), F.lit(steps).alias("steps"))
 
 
 @query("SELECT '1.1.0' AS schema_version, count(*) AS n FROM (VALUES (1)) AS v(x)")
