@@ -2,17 +2,16 @@
 
 CSV text is read by Spark with an explicit all-text schema made from the header line, then typed by
 one aggregate pass over the columns.  Row ids are places in the files, whatever the number of tasks.  The delimiter is sniffed from the first bytes; the encoding is
-one that decodes all of them.
+told from all of them.
 """
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from . import splits, xlsx
+from . import encodings, splits, xlsx
+from .encodings import code_page
 from .files import AS_IT_IS, folder, put_bytes
 
 
@@ -54,25 +54,6 @@ def marked_encoding(sample: bytes) -> str | None:
     return None
 
 
-def code_page(encoding: str) -> list[str | None] | None:
-    """Characters of bytes 128 to 255, None where there is none; None for an encoding that is not ASCII and single bytes."""
-    out: list[str | None] = []
-    try:
-        if bytes(range(128)).decode(encoding) != bytes(range(128)).decode("ascii"):
-            return None
-        for b in range(128, 256):
-            try:
-                c = codecs.getincrementaldecoder(encoding)().decode(bytes([b]))
-            except UnicodeDecodeError:
-                c = None
-            if c == "":
-                return None
-            out.append(c)
-    except (UnicodeDecodeError, LookupError, TypeError):
-        return None
-    return out if any(out) else None
-
-
 def _is_utf8(encoding: str) -> bool:
     return encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig")
 
@@ -89,22 +70,20 @@ def _fails(encoding: str, raw: Column, text: Column) -> Column | None:
 
 
 def choose_encoding(spark: SparkSession, path: str, preferred: str | None) -> str:
-    """First of ``preferred`` and the fallbacks that decodes every byte, by one distributed pass over the lines.
-
-    windows-1252 goes before windows-1255 if more letters above ASCII touch an ASCII letter, as in
-    Western words, than Hebrew letters touch each other, as in Hebrew words.
-    """
+    """``preferred``, the encoding that the bytes look like if that is sure enough, or a fallback: the first that decodes every byte."""
+    found = None
+    if not preferred:
+        found, confidence = encodings.detect(spark, path).get("", ("utf-8", 1.0))
+        if confidence < encodings.UNSURE:
+            found = "utf-8"
+        if found == "utf-8" and confidence == 1.0:
+            return found
+    wanted = list(dict.fromkeys([preferred or found, *C.ENCODING_FALLBACKS]))
     raw = F.col("value")
     text = F.decode(raw.cast("binary"), "iso-8859-1")
-    wanted = list(dict.fromkeys(([preferred] if preferred else []) + list(C.ENCODING_FALLBACKS)))
     tests = {e: t for e in wanted if (t := _fails(e, raw, text)) is not None}
-    asked = [F.count_if(t).alias(f"f{i}") for i, t in enumerate(tests.values())]
-    asked += [F.sum(F.regexp_count(text, F.lit(r"(?<=[A-Za-z])[\xc0-\xff]|[\xc0-\xff](?=[A-Za-z])"))).alias("western")]
-    asked += [F.sum(F.regexp_count(text, F.lit(r"(?<=[\xe0-\xfa])[\xe0-\xfa]|[\xe0-\xfa](?=[\xe0-\xfa])"))).alias("hebrew")]
-    got = spark.read.option("lineSep", "\n").text(path).agg(*asked).first()
+    got = spark.read.option("lineSep", "\n").text(path).agg(*[F.count_if(t).alias(f"f{i}") for i, t in enumerate(tests.values())]).first()
     failed = {e: got[f"f{i}"] for i, e in enumerate(tests)}
-    if (got["western"] or 0) > (got["hebrew"] or 0):
-        wanted.sort(key=lambda e: 0 if e == preferred else {"windows-1255": 1, "cp1255": 1, "latin-1": 2}.get(e, 0))
     for e in wanted:
         if e in failed and not failed[e] or e not in failed and _decodes(spark, path, e):
             return e
@@ -239,7 +218,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, *, delimi
     return records.select(C.ROW_ID, parsed.alias("_cells")).select("_cells.*", C.ROW_ID)
 
 
-def as_page(df: DataFrame, page: list[str | None]) -> DataFrame:
+def as_page(df: DataFrame, page: Sequence[str | None]) -> DataFrame:
     """Cells read as iso-8859-1 with the characters of another code page."""
     pairs = [(chr(b), c) for b, c in enumerate(page, 128) if c and c != chr(b)]
     if not pairs:
@@ -280,8 +259,8 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
     reader_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, more]])
     reader = spark.read.schema(reader_schema).option("sep", delimiter).option("header", header).option("quote", '"').option("escape", '"')
     page = None if _is_utf8(encoding) else code_page(encoding)
-    wide = encoding.lower().replace("_", "-") in ("utf-16", "utf-16le", "utf-16be", "utf-16-le", "utf-16-be", "utf-32")
-    codec = "utf-8" if _is_utf8(encoding) else "iso-8859-1" if page else re.sub("(?<=16)-", "", encoding.lower().replace("_", "-"))
+    wide = encoding.lower().replace("_", "-") in ("utf-16", "utf-16le", "utf-16be", "utf-16-le", "utf-16-be", "utf-32", "utf-32-le", "utf-32-be")
+    codec = "utf-8" if _is_utf8(encoding) else "iso-8859-1" if page else re.sub("(?<=16|32)-", "", encoding.lower().replace("_", "-"))
     try:
         if page or wide or _is_utf8(encoding):
             how = "whole" if wide else how_to_read(spark, path, delimiter)

@@ -137,3 +137,27 @@ def test_workbooks_are_parsed_on_executors(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in got.df.orderBy("_row_id").collect()] == [(0, 1, 1.5, "a"), (1, 2, None, "3.0"), (2, 3, 2.0, "True")]
     with pytest.raises(loader.LoadError):
         loader.load(spark, write(tmp_path / "no.xlsx", b"not a workbook"))
+
+
+SAID = {
+    "windows-1251": "Сегодня хорошая погода, и мы идём гулять в парк", "koi8-r": "Это простой русский текст для проверки", "cp866": "Привет, мир! Завтра будет дождь", "iso-8859-5": "Мы читаем книги каждый вечер",
+    "windows-1253": "Καλημέρα κόσμε, αυτό είναι ένα απλό κείμενο", "windows-1250": "Zażółć gęślą jaźń, proszę przyjść jutro", "iso-8859-2": "Příliš žluťoučký kůň úpěl ďábelské ódy", "cp852": "Proszę się śpieszyć, już późno",
+    "windows-1254": "Bugün hava çok güzel, dışarı çıkıp yürüyüş yapalım", "windows-1256": "مرحبا بالعالم هذا نص بسيط للاختبار", "windows-1255": "שלום עולם וברוכים הבאים", "cp850": "Übermäßig größere Straßen für die Bürger", "mac-roman": "élève très appliqué, déjà reçu à l'école",
+    "shift_jis": "これは簡単な日本語の文章です。今日は天気がいいですね", "euc-kr": "안녕하세요 오늘은 날씨가 좋습니다", "gb18030": "今天天气很好我们去公园散步吧", "utf-16-le": "größer als Łódź", "utf-16-be": "größer als Łódź",
+}
+
+
+@pytest.mark.parametrize("encoding", SAID)
+def test_encodings_are_told_from_bytes(spark, tmp_path, encoding):
+    from qualiframe.sources import encodings
+
+    data = f"id,said\n1,{SAID[encoding]}\n".encode(encoding)
+    found, confidence = encodings.detect(spark, write(tmp_path / "x.csv", data))[""]
+    assert data.decode(found) == data.decode(encoding) and confidence >= encodings.UNSURE
+
+
+def test_a_page_that_lacks_a_byte_is_refused():
+    from qualiframe.sources import encodings
+
+    assert encodings.page_cost({(32, 0x81): 1}, "windows-1252") == float("inf")
+    assert encodings.judge({}, {}, {}) == ("utf-8", 1.0)
