@@ -113,9 +113,23 @@ def phys_infer(s, d):
     return s.createDataFrame([x for x in loader.load(s, _written(s, d)).df.dtypes if x[0] != "_row_id"], "name string, type string")
 
 
-@_query("SELECT written, written AS found FROM (VALUES (','), (';'), ('|'), (chr(9))) AS v(written)")
+#: Notes of customers: a first third full of commas, then cells over two lines that hold every candidate.
+_MISLEADING = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'a; b, c | d' || chr(10) || 'e' || chr(9) || 'f, "g", h' WHEN c_custkey < 500 THEN 'x, y, z, ' || c_name ELSE c_name END AS note, c_mktsegment AS segment FROM {customer}"""
+
+
+@_query(f"WITH t AS ({_MISLEADING.replace('{customer}', 'customer')}), v(written) AS (VALUES (','), (';'), ('|'), (chr(9))) SELECT written, written AS found, count(*) AS n, count(DISTINCT note) AS notes FROM v, t GROUP BY ALL")
 def src_delimiter(s, d):
-    return s.createDataFrame([(x, loader.load(s, _written(s, d, x)).delimiter) for x in (",", ";", "|", "\t")], "written string, found string")
+    """Customers written with each delimiter; the first lines would mislead, so all of them are counted, in several ranges."""
+    rows = s.sql(_MISLEADING, customer=_table(s, d, "customer"))
+    out = None
+    for sep in (",", ";", "|", "\t"):
+        path = f"{_place(s)}.csv"
+        rows.repartitionByRange(2, "id").sortWithinPartitions("id").write.options(**AS_IT_IS, quote='"', sep=sep).csv(path)
+        with _split_size(s, 10_000):
+            got = loader.load(s, path)
+        one = got.df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("note").alias("notes")).select(F.lit(sep).alias("written"), F.lit(got.delimiter).alias("found"), "n", "notes")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _SAID = {"utf-8": "naïve façade – žluťoučký", "windows-1252": "crème brûlée à la carte, señor", "windows-1255": "שלום עולם וברוכים הבאים", "utf-16": "größer als Łódź"}

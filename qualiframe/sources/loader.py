@@ -1,8 +1,8 @@
 """Loading CSV, Excel and Parquet tables with a stable row id, and writing results.
 
 CSV text is read by Spark with an explicit all-text schema made from the header line, then typed by
-one aggregate pass over the columns.  Row ids are places in the files, whatever the number of tasks.  The delimiter is sniffed from the first bytes; the encoding is
-told from all of them.
+one aggregate pass over the columns.  Row ids are places in the files, whatever the number of tasks.  The delimiter and the encoding
+are told from all lines and bytes.
 """
 
 from __future__ import annotations
@@ -103,6 +103,7 @@ def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
 
 
 def detect_delimiter(text: str) -> str:
+    """From a sample alone."""
     try:
         return csv.Sniffer().sniff(text[: C.SNIFF_BYTES], "".join(C.DELIMITERS)).delimiter
     except csv.Error:
@@ -111,6 +112,17 @@ def detect_delimiter(text: str) -> str:
         return best if line.count(best) else C.DELIMITERS[0]
 
 
+def steadiest_delimiter(counts: dict[str, dict[int, int]]) -> str | None:
+    """The candidate that most lines have equally often, at least once and in half of the lines; on a tie the one they have more often, then the first. None if there is none."""
+    best, least = None, (0.5, 0)
+    for d in C.DELIMITERS:
+        lines = sum(counts.get(d, {}).values())
+        times, n = max(((k, n) for k, n in counts.get(d, {}).items() if k), key=lambda x: (x[1], x[0]), default=(0, 0))
+        if n and (mark := (n / lines, times)) > least:
+            best, least = d, mark
+    return best
+
+
 def looks_headerless(header: list[str]) -> bool:
     """Whether more than half of the labels are blank, unnamed or numbers."""
     odd = sum(not h.strip() or h.lower().startswith("unnamed:") or bool(re.fullmatch(r"\s*[+-]?\d+(\.\d+)?\s*", h)) for h in header)
@@ -244,7 +256,7 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
         raise LoadError("The file is empty.")
     encoding = choose_encoding(spark, path, encoding or marked_encoding(sample))
     text = sample.decode(encoding, "replace").lstrip("﻿")
-    delimiter = delimiter or detect_delimiter(text)
+    delimiter = delimiter or steadiest_delimiter(splits.delimiter_counts(spark, path, list(C.DELIMITERS))) or detect_delimiter(text)
     first = next(csv.reader(io.StringIO(text), delimiter=delimiter))
     labels = first if header else [f"column_{i}" for i in range(len(first))]
     names, warnings = dedupe_columns(labels)

@@ -233,3 +233,67 @@ def quoted_records(spark: SparkSession, path: str, delimiter: str, store: str, *
     joined = cut.filter("piece is not null").groupBy("file", "block").agg(F.max("nth").alias("nth"), F.encode(F.array_join(parts, "\n"), "iso-8859-1").alias("text"))
     records = whole.unionByName(joined).join(table, ["file", "block"])
     return records.filter("not (top and nth = 0)").select((F.col("base") + F.col("nth")).alias("_row_id"), "text")
+
+
+# ---- delimiters --------------------------------------------------------------------------------
+
+CELLS = "file long, block long, inside boolean, odd boolean, delimiter string, cells long, n long"
+_QUOTED = re.compile(rb'"[^"]*+(?:""[^"]*+)*+"')
+
+
+def _tally(candidates: list[str]):
+    """How many lines have so many of each candidate outside of quotes, for ranges that start outside and inside of a quoted cell; ``odd`` tells that the range turns the state.
+
+    Quotes come in pairs but for those of a cell that goes on in the next line, so their parity is
+    the state, whatever the delimiter.  Lines that start or end inside are not counted.
+    """
+    marks = [c.encode("iso-8859-1") for c in candidates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict[tuple, int]] = {}
+        parity: dict[tuple, int] = {}
+        for at, lines, _ in _stretches(batches):
+            key = at[:2]
+            counts = held.setdefault(key, {})
+            quotes = pc.count_substring(lines, b'"').to_numpy(zero_copy_only=False)
+            after = (parity.get(key, 0) + np.cumsum(quotes)) % 2
+            whole = (quotes % 2 == 0) & _full(lines)
+            parity[key] = int(after[-1])
+            bare = lines
+            if (some := np.flatnonzero(quotes)).size:
+                texts = lines.to_pylist()
+                for i in some:
+                    texts[i] = _QUOTED.sub(b"", texts[i])
+                bare = pa.array(texts, pa.binary())
+            for name, mark in zip(candidates, marks):
+                found = pc.count_substring(bare, mark).to_numpy(zero_copy_only=False)
+                for inside in (False, True):
+                    for cells, n in zip(*np.unique(found[whole & (after == int(inside))], return_counts=True)):
+                        counts[inside, name, int(cells)] = counts.get((inside, name, int(cells)), 0) + int(n)
+        rows = [(*key, inside, bool(parity[key]), name, cells, n) for key, counts in held.items() for (inside, name, cells), n in counts.items()]
+        rows += [(*key, False, bool(parity[key]), None, 0, 0) for key in held]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split(" ")[0] for x in CELLS.split(", ")])
+
+    return run
+
+
+def delimiter_counts(spark: SparkSession, path: str, candidates: list[str]) -> dict[str, dict[int, int]]:
+    """For each candidate, how many lines have it so many times, from all lines of all ranges that no quoted cell crosses."""
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = scan.select(F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    tallied = lines.mapInArrow(_tally(candidates), CELLS).persist()
+    rank, states, last, inside = path_order(scan), [], None, False
+    for r in sorted(tallied.filter("delimiter is null").select("file", "block", "odd").collect(), key=lambda r: (rank[r["file"]], r["block"])):  # one row a range
+        inside = inside if r["file"] == last else False
+        last = r["file"]
+        # a tally under ``inside`` holds lines whose parity counted from the range's start is odd: outside, if the range starts inside
+        states.append((r["file"], r["block"], inside))
+        inside ^= r["odd"]
+    table = F.broadcast(spark.createDataFrame(states, "file long, block long, inside boolean"))
+    counted = tallied.filter("delimiter is not null").join(table, ["file", "block", "inside"]).groupBy("delimiter", "cells").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[int, int]] = {c: {} for c in candidates}
+    for r in counted.collect():
+        out[r["delimiter"]][r["cells"]] = r["n"]
+    tallied.unpersist()
+    return out

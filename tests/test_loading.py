@@ -123,6 +123,20 @@ def test_row_ids_of_several_files_under_two_split_sizes(spark, tmp_path, small_s
         assert [tuple(r) for r in got.select("_row_id", "id").orderBy("_row_id").collect()] == list(enumerate(wanted))
 
 
+@pytest.mark.parametrize("size", [60, 1 << 20])
+def test_delimiter_is_that_of_most_lines(spark, tmp_path, small_splits, size):
+    from qualiframe.sources import splits
+
+    top = "id;note\n" + "".join(f"{i};a, b, c\n" for i in range(9))
+    rest = "".join(f'{i};"x, y\nz; w, v | u\n"\n' for i in range(9)) + "".join(f"{i};plain\n" for i in range(12))
+    small_splits(size)
+    path = write(tmp_path / "x.csv", (top + rest).encode())
+    counts = splits.delimiter_counts(spark, path, [",", ";", "|", "\t"])
+    assert counts[";"] == {1: 22} and counts[","] == {0: 13, 2: 9} and counts["|"] == {0: 22}
+    assert loader.steadiest_delimiter(counts) == ";" and loader.steadiest_delimiter({}) is None
+    assert loader.steadiest_delimiter({",": {1: 5}, ";": {2: 5}}) == ";"
+
+
 def test_workbooks_are_parsed_on_executors(spark, tmp_path, monkeypatch):
     from qualiframe.sources import xlsx
 
