@@ -675,7 +675,32 @@ def fix_apply_selected(s, d):
     return compare.fix_counts(audit).select(F.col("cleaning_action").alias("fix_id"), F.col("changes").alias("affected"))
 
 
-@query()
+def _text_steps(source: str) -> tuple[str, list[str]]:
+    """CTEs t1 to t4, the table after each of the text fixes in order, and for each fix the number of cells that it changes."""
+    steps = {
+        "trim_whitespace": d_strip, "collapse_internal_spaces": lambda c: d_strip(f"regexp_replace({c}, {q(E.WS + '+')}, ' ', 'g')"),
+        "remove_non_printable": lambda c: f"regexp_replace({c}, {q(D_PRINTABLE)}, '', 'g')", "nullify_blank_and_placeholders": _nullified,
+    }
+    others, made, counts = [c for c in ["_row_id", *ALL_COLUMNS] if c not in TEXT_COLUMNS], [], []
+    for i, (fix, new) in enumerate(steps.items(), 1):
+        made.append(f"t{i} AS MATERIALIZED (SELECT {', '.join(others)}, {', '.join(f'{new(c)} AS {c}' for c in TEXT_COLUMNS)} FROM {source})")
+        counts.append(f"SELECT '{fix}' AS fix_id, CAST({' + '.join(f'count(*) FILTER (WHERE {c} IS DISTINCT FROM {new(c)})' for c in TEXT_COLUMNS)} AS BIGINT) AS affected FROM {source}")
+        source = f"t{i}"
+    return ", ".join(made), counts
+
+
+def _preview_sql() -> str:
+    made, counts = _text_steps("m")
+    converted = lambda fix, kind, new: f"SELECT '{fix}', CAST({' + '.join([f'(SELECT CASE WHEN count(*) FILTER (WHERE {c} IS NOT NULL AND {new(c)} IS NULL) = 0 THEN count({c}) ELSE 0 END FROM u)' for c in TEXT_COLUMNS if TYPES[c] == kind] or ['0'])} AS BIGINT)"
+    counts += [
+        f"SELECT 'normalize_columns', CAST({sum(profile.normalize_name(c) != c for c in ALL_COLUMNS)} AS BIGINT)", f"SELECT 'remove_empty_rows', count(*) FROM t4 WHERE {_EVERY_NULL}",
+        f"SELECT 'remove_empty_columns', CAST({' + '.join(f'(count({c}) = 0)::INT' for c in ALL_COLUMNS)} AS BIGINT) FROM u", converted("convert_dates", C.DATE_TEXT, d_date), converted("convert_numbers", C.NUMERIC_TEXT, d_value),
+        f"SELECT 'drop_duplicates', count(*) FROM (SELECT row_number() OVER (PARTITION BY {', '.join(ALL_COLUMNS)} ORDER BY _row_id) AS nth FROM u) WHERE nth > 1",
+    ]
+    return f"{_WITH}, {made}, u AS (SELECT * FROM t4 WHERE NOT ({_EVERY_NULL})) {' UNION ALL '.join(counts)}"
+
+
+@query(_preview_sql())
 def fix_preview(s, d):
     return clean.preview_fixes(messy(s, d).persist(), _with_types(ALL_COLUMNS))
 
