@@ -350,7 +350,7 @@ def detect(df: DataFrame, profiles: list[ColumnProfile], *, dataset: str = "data
     dated = [n for n in text if kinds[n] == C.DATE_TEXT and asked_for("mixed_date_formats")]
     decimal = [n for n in text if kinds[n] in (C.NUMERIC_TEXT, C.CURRENCY) and asked_for("numeric_format_inconsistency")]
     if some := sorted({*spelled, *ids, *dated, *decimal}):
-        values = value_table(df, some)
+        values = value_table(df, some).persist()  # read by every rule about values, several times each
         own = lambda group: values.filter(F.col("column").isin(*group))
         flagged = []
         if spelled:

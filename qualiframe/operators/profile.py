@@ -101,8 +101,8 @@ def plain_aggregates(df: DataFrame) -> list[Column]:
     return out
 
 
-def distinct_aggregates(values: DataFrame) -> DataFrame:
-    """One row per column from ``value_table``: distinct values, pattern rates over written values, shape shares, examples."""
+def distinct_aggregates(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aggregates, facts to release once they are read): one row per column from ``value_table``: distinct values, pattern rates over written values, shape shares, examples."""
     v = F.col("value")
     # What each value is, as columns of their own; the aggregates behind only count.
     values = values.withColumn("trimmed", E.strip(v)).withColumn("cleaned", E.clean_number(v)).withColumn("small", F.lower("trimmed"))
@@ -113,12 +113,16 @@ def distinct_aggregates(values: DataFrame) -> DataFrame:
         "boolean": F.col("small").isin(*E.BOOLEANS), "email": t.rlike(E.EMAIL), "url": t.rlike(E.URL), "phone": E.is_phone(v), "phone_marks": t.rlike(E.PHONE_PUNCTUATION), "currency": t.rlike(E.CURRENCY),
         "date_like": t.rlike(E.DATE_LIKE), "dated": dated, "numeric": F.col("cleaned").rlike(E.NUMBER) | F.col("cleaned").rlike(E.SPECIAL_NUMBER),
     }
-    tested = values.select("column", "n", written.alias("written"), F.length("trimmed").alias("length"), *[(written & x).alias(f"is_{k}") for k, x in tests.items()])
+    # Patterns are tried once for each distinct value; what they tell is small and read by each of the groupings below.
+    facts = values.select(
+        "column", "n", written.alias("written"), F.length("trimmed").alias("length"), *[(written & x).alias(f"is_{k}") for k, x in tests.items()],
+        F.when(written, E.signature(t)).alias("shape"), F.length(F.regexp_replace(v, r"(?:\.0*)?$|^-", "")).alias("digits"),
+    ).persist()
+    tested = shaped = facts
 
     def rate(name: str) -> Column:
         return F.try_divide(F.sum(F.when(F.col(f"is_{name}"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("written"), F.col("n")).otherwise(0))).alias(name)
 
-    shaped = values.withColumn("shape", F.when(written, E.signature(t))).withColumn("digits", F.length(F.regexp_replace(v, r"(?:\.0*)?$|^-", "")))
     shares = shaped.groupBy("column", "shape").agg(F.sum("n").alias("k")).filter("shape is not null").groupBy("column").agg((F.max("k") / F.sum("k")).alias("shape_share"))
     lengths = shaped.groupBy("column", "digits").agg(F.sum("n").alias("k")).groupBy("column").agg((F.max("k") / F.sum("k")).alias("digit_share"), F.max(F.struct("k", (-F.col("digits")).alias("d")))["d"].alias("minus_digits"))
     rates = tested.groupBy("column").agg(
@@ -127,7 +131,7 @@ def distinct_aggregates(values: DataFrame) -> DataFrame:
     )
     top = values.withColumn("_n", F.row_number().over(W.partitionBy("column").orderBy("first_row", "value"))).filter(F.col("_n") <= C.MAX_EXAMPLES)
     examples = top.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_row", "value"))), lambda s: s["value"]).alias("examples"))
-    return rates.join(shares, "column", "left").join(lengths, "column", "left").join(examples, "column", "left")
+    return rates.join(shares, "column", "left").join(lengths, "column", "left").join(examples, "column", "left"), facts
 
 
 def _whole(name: str, base: float, s: dict[str, Any]) -> tuple[str, float, dict[str, Any]]:
@@ -206,7 +210,11 @@ def collect_statistics(df: DataFrame) -> tuple[int, dict[str, dict[str, Any]]]:
     names = data_columns(df)
     numbers = [n for n in names if isinstance(df.schema[n].dataType, NUMERIC)]
     quartiles = R.percentiles_of(df, {n: F.when(~E.missing(df, n), F.col(f"`{n}`").cast("double")) for n in numbers})
-    values = {r["column"]: r.asDict() for r in distinct_aggregates(value_table(df)).collect()} if names else {}
+    values = {}
+    if names:
+        rows, facts = distinct_aggregates(value_table(df))
+        values = {r["column"]: r.asDict() for r in rows.collect()}
+        facts.unpersist()
     out = {}
     for i, n in enumerate(names):
         s = {k.split("_", 1)[1]: v for k, v in plain.items() if k.startswith(f"{i}_")}

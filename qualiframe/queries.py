@@ -304,8 +304,8 @@ ISSUE_COLUMNS = ["issue_type", "severity", "confidence", "column_name", "row_ind
 
 
 def analysis(s: SparkSession, d: str) -> engine.Analysis:
-    # Derived, small and read by several passes; equal plans share one cached copy.
-    return engine.analyze(messy(s, d).persist(), now=NOW)
+    # Derived, small and read by several passes that are busy with patterns: dealt to all cores once; equal plans share one cached copy.
+    return engine.analyze(messy(s, d).repartition(s.sparkContext.defaultParallelism, "_row_id").persist(), now=NOW)
 
 
 def cleaned(s: SparkSession, d: str) -> engine.Session:
@@ -482,7 +482,7 @@ def agg_unique(s, d):
 
 @query(f"{_WITH}, v AS (SELECT signup AS value, min(_row_id) AS first_row FROM m WHERE signup IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 5) SELECT value, row_number() OVER (ORDER BY first_row) AS place FROM v")
 def agg_examples(s, d):
-    found = profile.distinct_aggregates(profile.value_table(messy(s, d), ["signup"])).select(F.posexplode("examples").alias("at", "value"))
+    found = profile.distinct_aggregates(profile.value_table(messy(s, d), ["signup"]))[0].select(F.posexplode("examples").alias("at", "value"))
     return found.select("value", (F.col("at") + 1).cast("long").alias("place"))
 
 
