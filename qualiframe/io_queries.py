@@ -113,6 +113,35 @@ def phys_infer(s, d):
     return s.createDataFrame([x for x in loader.load(s, _written(s, d)).df.dtypes if x[0] != "_row_id"], "name string, type string")
 
 
+_WIDE = 500
+#: Cells of a column by its number modulo 6: integers and whole floats with gaps, decimals, booleans with gaps, text in one row only, and integers too long for 64 bits.
+_WIDE_CELLS = [
+    "CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey AS STRING) END",
+    "CASE WHEN c_custkey % 3 <> 0 THEN concat(CAST(c_custkey AS STRING), '.0') END",
+    "CAST(c_acctbal AS STRING)",
+    "CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'True' ELSE 'false' END END",
+    "CASE WHEN c_custkey = 1 THEN 'one' ELSE CAST(c_custkey AS STRING) END",
+    "concat('9', lpad(CAST(c_custkey AS STRING), 19, '0'))",
+]
+
+
+@_query(
+    f"""SELECT concat('k', i) AS name,
+    CASE i % 6 WHEN 0 THEN 'bigint' WHEN 3 THEN 'boolean' WHEN 4 THEN 'string' ELSE 'double' END AS type,
+    CASE i % 6 WHEN 0 THEN n - sevens WHEN 1 THEN n - threes WHEN 3 THEN n - fives ELSE n END AS filled
+    FROM range({_WIDE}) AS r(i), (SELECT count(*) AS n, count(*) FILTER (c_custkey % 7 = 0) AS sevens, count(*) FILTER (c_custkey % 3 = 0) AS threes, count(*) FILTER (c_custkey % 5 = 0) AS fives FROM customer)"""
+)
+def phys_infer_wide(s, d):
+    """Types and present cells of all customers in a CSV of 500 columns."""
+    cells = [F.expr(_WIDE_CELLS[i % len(_WIDE_CELLS)]).alias(f"k{i}") for i in range(_WIDE)]
+    path = f"{_place(s)}.csv"
+    _table(s, d, "customer").select(*cells).write.options(**AS_IT_IS, quote='"').csv(path)
+    df = loader.load(s, path, limit_mb=None).df.drop("_row_id")
+    types = s.createDataFrame(list(enumerate(df.dtypes)), "at int, t struct<name: string, type: string>").select("at", "t.*")
+    present = df.select(F.posexplode(F.array(*[F.col(n).isNotNull() for n in df.columns])).alias("at", "here"))
+    return types.join(present.groupBy("at").agg(F.count_if("here").alias("filled")), "at").drop("at")
+
+
 #: Notes of customers: a first third full of commas, then cells over two lines that hold every candidate.
 _MISLEADING = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'a; b, c | d' || chr(10) || 'e' || chr(9) || 'f, "g", h' WHEN c_custkey < 500 THEN 'x, y, z, ' || c_name ELSE c_name END AS note, c_mktsegment AS segment FROM {customer}"""
 
@@ -244,7 +273,7 @@ def sink_csv(s, d):
     place = _place(s)
     loader.write_csv(_cells(s, d), place)
     back = s.read.option("header", True).option("multiLine", True).option("escape", '"').csv(place)
-    back = loader.infer_storage(loader.null_tokens(back))
+    back = loader.infer_storage(back)
     return back.select("id", "name", "balance", "even", "segment")
 
 

@@ -162,29 +162,51 @@ def human_size(size: float) -> str:
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
-    return df.withColumns({n: F.when(~F.col(f"`{n}`").isin(*C.NA_TOKENS), F.col(f"`{n}`")) for n in df.columns if isinstance(df.schema[n].dataType, T.StringType)})
+    """Null in place of each token; one parsed expression a column, as literals made one by one are slow on wide tables."""
+    tokens = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in C.NA_TOKENS)
+    column = {f.name: "`" + f.name.replace("`", "``") + "`" for f in df.schema}
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(*[F.expr(f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END").alias(n) if n in text else F.col(c) for n, c in column.items()])
 
 
-def infer_storage(df: DataFrame) -> DataFrame:
-    """Text columns whose present values are all integers, numbers or true and false get that type."""
+#: What a present cell rules out for its column.
+NO_LONG, NO_DOUBLE, NO_BOOLEAN = 1, 2, 4
+
+
+def ruled_out(cell: Column) -> Column:
+    """The types that a cell cannot have, as bits.  An integer is a number too, so a column's types are those that no cell rules out."""
+    bare = F.trim(cell)
+    long = bare.rlike(r"^[+-]?[0-9]+$") & bare.try_cast("bigint").isNotNull()
+    double = bare.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$")
+    boolean = cell.isin("True", "False", "true", "false", "TRUE", "FALSE")
+    bits = [F.when(ok, 0).otherwise(bit) for ok, bit in ((long, NO_LONG), (double, NO_DOUBLE), (boolean, NO_BOOLEAN))]
+    return bits[0] + bits[1] + bits[2]
+
+
+def storage_types(df: DataFrame) -> dict[str, str]:
+    """Types of text columns that have one, by what their cells rule out; null tokens count as no cell.
+
+    Cells are dealt to (column, cell) rows and or-ed together inside each task, so the compiled
+    code is that of one cell whatever the width, and a task ships one row a column.
+    """
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
-        return df
-    asked = []
-    for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
-        asked.append(F.count(c).alias(f"n{i}"))
-        asked += [F.count_if(c.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$")).alias(f"l{i}"), F.count_if(c.rlike(r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$")).alias(f"d{i}"), F.count_if(c.isin("True", "False", "true", "false", "TRUE", "FALSE")).alias(f"b{i}")]
-    got = df.agg(*asked).first()
-    typed = {}
-    for i, n in enumerate(names):
-        c, total = F.col(f"`{n}`"), got[f"n{i}"]
-        if total and got[f"l{i}"] == total:
-            typed[n] = F.trim(c).try_cast("bigint")
-        elif total and got[f"d{i}"] == total:
-            typed[n] = F.trim(c).try_cast("double")
-        elif total and got[f"b{i}"] == total:
-            typed[n] = c.try_cast("boolean")
+        return {}
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{n}`") for n in names])).alias("at", "cell"))
+    found = cells.filter(~F.col("cell").isin(*C.NA_TOKENS)).groupBy("at").agg(F.bit_or(ruled_out(F.col("cell"))).alias("out")).collect()
+    out = {}
+    for at, mask in found:
+        kind = next((k for k, bit in (("bigint", NO_LONG), ("double", NO_DOUBLE), ("boolean", NO_BOOLEAN)) if not mask & bit), None)
+        if kind:
+            out[names[at]] = kind
+    return out
+
+
+def infer_storage(df: DataFrame) -> DataFrame:
+    """Null tokens are null, and text columns whose present values are all integers, numbers or true and false get that type."""
+    types, df = storage_types(df), null_tokens(df)
+    cell = {n: F.col(f"`{n}`") for n in types}
+    typed = {n: (cell[n] if kind == "boolean" else F.trim(cell[n])).try_cast(kind) for n, kind in types.items()}
     return df.withColumns(typed) if typed else df
 
 
@@ -289,7 +311,7 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, del
         loaded = df.drop(more)
     except AnalysisException as e:
         raise LoadError(f"{path} cannot be read as CSV.") from e
-    loaded = infer_storage(null_tokens(loaded))
+    loaded = infer_storage(loaded)
     if loaded.isEmpty():
         warnings.append("The file has a header but no rows.")
     return Loaded(loaded, path.rsplit("/", 1)[-1], "csv", encoding, delimiter, None, labels, warnings)

@@ -175,3 +175,22 @@ def test_a_page_that_lacks_a_byte_is_refused():
 
     assert encodings.page_cost({(32, 0x81): 1}, "windows-1252") == float("inf")
     assert encodings.judge({}, {}, {}) == ("utf-8", 1.0)
+
+
+def test_storage_types_of_a_wide_table(spark):
+    """What cells rule out is or-ed by column: 500 columns are typed by one compiled stage, and empty ones stay text."""
+    kinds = {
+        "bigint": [" 12 ", None, "-9223372036854775808"],
+        "double": ["1", "2.0", None],
+        "boolean": ["True", "false", None],
+        "string": ["True", "1", None],
+    }
+    wide = [*kinds] * 125
+    df = spark.createDataFrame([[kinds[k][r] for k in wide] for r in range(3)], ", ".join(f"c{i} string" for i in range(500)))
+    assert loader.storage_types(df) == {f"c{i}": k for i, k in enumerate(wide) if k != "string"}
+    typed = loader.infer_storage(df)
+    assert [t for _, t in typed.dtypes] == wide
+    assert typed.select("c0", "c1", "c2", "c3").collect()[0] == (12, 1.0, True, "True")
+    edges = spark.createDataFrame([("9223372036854775808", "1e400", "inf", "", None)], "big string, huge string, inf string, blank string, none string")
+    assert loader.storage_types(edges) == {"big": "double", "huge": "double", "inf": "double"}
+    assert loader.storage_types(edges.limit(0)) == {} and loader.infer_storage(edges.select()).columns == []
