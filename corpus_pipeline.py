@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them; sources weigh 3, 1, 2, repeating, and share 150% of all words."""
     slots = [f"_c{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, slots))
-    mixed = mixing.mix(docs.toDF(*slots), key=of["doc_id"], source=of["source"], size=word_count(F.col(of["text"])), weights=(3, 1, 2), share=1.5, cap=2.0)
+    mixed = mixing.mix(docs.toDF(*slots), key=of["doc_id"], source=of["source"], text=of["text"], size=word_count(F.col(of["text"])), weights=(3, 1, 2), share=1.5, cap=2.0)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return mixed.filter("copies > 0").select(*slots, copies.alias("_copy")).drop("_copy").toDF(*docs.columns)
 

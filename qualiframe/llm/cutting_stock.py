@@ -7,7 +7,8 @@ used a whole number of times; what rounding leaves over, at most a few sequences
 placed best-fit-decreasing.  Pieces are ranked within their length by salted partial counts, and a
 rank determines sequence and slot.
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed once each; a null
+Defined cases: a null or empty text is the end id alone; equal rows are packed once each and, being
+alike, have their places as a group; a very long text is cut into pieces inside one task; a null
 doc_id is carried along; an empty table gives an empty table; other columns are not read.
 """
 
@@ -175,11 +176,18 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 2, length: int = 409
     demand = {r["units"]: r["n"] for r in pieces.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = slots(solve_patterns(demand, length // unit))
     salts = spark.createDataFrame([(u, math.ceil(n / SALT_ROWS)) for u, n in demand.items()], "units int, salts int")
-    salted = pieces.join(F.broadcast(salts), "units").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")).cast("int"))
-    before = F.sum("n").over(W.partitionBy("units").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    counts = salted.groupBy("units", "salt").agg(F.count(F.lit(1)).alias("n")).select("units", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(W.partitionBy("units", "salt").orderBy("doc_id", "start")) - 1
-    ranked = salted.withColumn("within", within).join(counts, ["units", "salt"]).withColumn("rank", F.col("within") + F.col("before"))
+    # Equal pieces (repeated rows, rows without a key) are one row with a count, so no salt holds more than its share of different ones.
+    what = [c for c in pieces.columns if c != "units"]
+    counted = pieces.groupBy("units", *what).agg(F.count(F.lit(1)).alias("n"))
+    salted = counted.join(F.broadcast(salts), "units").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")).cast("int"))
+    before = F.sum("sum").over(W.partitionBy("units").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    counts = salted.groupBy("units", "salt").agg(F.sum("n").alias("sum")).select("units", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    upto = F.sum("n").over(W.partitionBy("units", "salt").orderBy("doc_id", "start", *what[2:]).rowsBetween(W.unboundedPreceding, 0))
+    ranked = salted.withColumn("first_copy", upto - F.col("n")).join(counts, ["units", "salt"])
+    # Copies come back in blocks, so one piece with very many of them makes no huge array.
+    ranked = ranked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SALT_ROWS).cast("long"))))
+    block_end = F.least(F.col("n"), F.col("block") + SALT_ROWS) - 1
+    ranked = ranked.withColumn("copy", F.explode(F.sequence("block", block_end))).withColumn("rank", F.col("before") + F.col("first_copy") + F.col("copy"))
     # Patterns by lengths: bounded by the number of units, not by the documents.
     table = spark.createDataFrame(plan, "p_units int, first long, upto long, pieces long, sequence long, slot long")
     placed = ranked.join(F.broadcast(table), (F.col("units") == F.col("p_units")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))

@@ -6,8 +6,9 @@ the one bucket that the budget falls into, twelve bits at a time.  Nothing is so
 the chosen rows of a smaller budget are always a subset of those of a larger one.
 
 Defined cases: a null source is a source of its own and the last one in order; a null or negative
-size counts as 0; a row of size 0 follows its hash as any other; equal rows share a hash and are
-taken or left together; texts are not read, so their length does not matter; an empty table gives an
+size counts as 0; a row of size 0 follows its hash as any other; rows that share a key share a hash
+and are taken or left together; a row without a key has the hash of its text, if the caller names
+that column; long texts are met by their MD5 only; an empty table gives an
 empty mix; other columns pass through under any name, and the three names that this operator adds
 (source_size, target, copies) replace columns of the same name.  Sources are expected in at most some
 millions: their targets are worked out by running sums over one row a source.
@@ -26,9 +27,12 @@ from .scratch import Scratch
 BITS, STEP = 60, 12
 
 
-def row_hash(key: Column) -> Column:
-    """60 bits of a key's MD5 as a long; the same on every engine that has MD5."""
-    text = F.coalesce(key.cast("string"), F.lit("\x00null"))
+def row_hash(key: Column, text: Column | None = None) -> Column:
+    """60 bits of a key's MD5 as a long, or of its text's if it has no key; the same on every engine that has MD5."""
+    unkeyed = F.lit("\x00null")
+    if text is not None:
+        unkeyed = F.concat(unkeyed, F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    text = F.coalesce(key.cast("string"), unkeyed)
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -94,17 +98,17 @@ def thresholds(rows: DataFrame, budgets: DataFrame, work: Scratch) -> DataFrame:
 
 def mix(
     docs: DataFrame, *, key: str = "doc_id", source: str = "source", size: Column | str = "size",
-    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+    text: str | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
 ) -> DataFrame:
     """``docs`` with source_size, target and copies (how often the mix takes a row); rows taken 0 times stay in the table.
 
     A budget of q whole source sizes and a rest takes every row q times and the rows below the
-    threshold of the rest once more.
+    threshold of the rest once more.  ``text`` tells rows apart that have no key.
     """
     work = Scratch(docs.sparkSession, "mix")
     size = F.col(size) if isinstance(size, str) else size
     rows = work.save(
-        docs.select(F.col(source).alias("source"), row_hash(F.col(key)).alias("hash"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")), "rows"
+        docs.select(F.col(source).alias("source"), row_hash(F.col(key), F.col(text) if text else None).alias("hash"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")), "rows"
     )
     plan = source_targets(rows, weights, share, cap)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -117,7 +121,7 @@ def mix(
     )
     slots = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, slots))
-    out = docs.toDF(*slots).withColumn("_mix_hash", row_hash(F.col(at[key])))
+    out = docs.toDF(*slots).withColumn("_mix_hash", row_hash(F.col(at[key]), F.col(at[text]) if text else None))
     out = out.join(plan, F.col(at[source]).eqNullSafe(F.col("_mix_source")), "left")
     copies = (F.col("times") + (F.col("_mix_hash") < F.col("threshold")).cast("long")).alias("copies")
     kept = [F.col(s).alias(c) for c, s in zip(docs.columns, slots) if c not in ("source_size", "target", "copies")]

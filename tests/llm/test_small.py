@@ -135,6 +135,21 @@ def test_cutting_stock_round_trip(docs, none):
     assert cutting_stock.pack(none, WORDS).count() == 0
 
 
+def test_cutting_stock_places_equal_rows_one_by_one(spark, monkeypatch):
+    """More equal rows than a block has, and rows without a key: each has a place of its own, the same ones under any partitioning."""
+    monkeypatch.setattr(cutting_stock, "SALT_ROWS", 16)
+    table = spark.createDataFrame([(7, "one and the same")] * 100 + [(None, "no key"), (None, "other words without a key")] * 20 + [(8, None)], "doc_id long, text string")
+    rows = [cutting_stock.pack(table.repartition(n), WORDS, length=64, unit=1, keep_ids=False).collect() for n in (1, 7)]
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1]))
+    assert Counter(r["doc_id"] for r in rows[0]) == {7: 100, None: 40, 8: 1}
+    by_sequence = defaultdict(list)
+    for r in rows[0]:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        ends = [0, *(offset + length for offset, length in sorted(parts))]
+        assert [offset for offset, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+
+
 # ---- 2 and 7: near copies ----------------------------------------------------------------------
 
 
@@ -382,6 +397,17 @@ def test_mixing_meets_targets(spark, none):
     assert {r["doc_id"]: r["copies"] for r in rows} == again and all(r[c] == r["doc_id"] + k for r in rows for k, c in enumerate(own))
 
 
+def test_mixing_tells_rows_without_a_key_apart(spark):
+    """A source without ids comes near a target between whole sizes once its texts are named; equal texts stay together."""
+    table = spark.createDataFrame([(None, s, f"text {i // 2} of {s}", 10) for s in ("a", "b") for i in range(400)], "doc_id long, source string, text string, size long")
+    rows = mixing.mix(table, text="text", weights=(3, 1), share=1.0).collect()
+    taken, target = Counter(), {r["source"]: r["target"] for r in rows}
+    for r in rows:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert target == {"a": 6000.0, "b": 2000.0} and all(abs(taken[s] - target[s]) <= 20 for s in target)
+    assert len({(r["text"], r["copies"]) for r in rows}) == 400
+
+
 # ---- 5: urls -----------------------------------------------------------------------------------
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "bad.org", "/")]
