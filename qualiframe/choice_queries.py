@@ -28,44 +28,6 @@ def _query(sql: str):
     return add
 
 
-_KINDS = ("Integer", "Decimal", "Possible currency", "Numeric stored as text", "Categorical", "Free text", "Boolean", "Date", "Datetime", "Date stored as text", "Email", "Phone number", "URL", "Possible identifier", "Mixed type", "Unknown", "Empty")
-
-
-def _offers(s: SparkSession, offered: Callable[[str], list[str]]) -> DataFrame:
-    return s.createDataFrame([(k, i, x) for k in _KINDS for i, x in enumerate(offered(k))], "kind string, place int, strategy string")
-
-
-def _offers_sql(rows: dict[tuple[str, ...], str]) -> str:
-    values = ", ".join(f"('{k}', {i}, '{x}')" for kinds, listed in rows.items() for k in kinds for i, x in enumerate(listed.split()))
-    return f"SELECT kind, CAST(place AS INT) AS place, strategy FROM (VALUES {values}) AS v(kind, place, strategy)"
-
-
-_NUMBERS = ("Integer", "Decimal", "Possible currency", "Numeric stored as text")
-
-
-@_query(_offers_sql({
-    _NUMBERS: "keep_null mean median mode zero custom per_row", ("Categorical",): "keep_null mode unknown custom per_row", ("Free text",): "keep_null unknown not_provided custom per_row", ("Boolean",): "keep_null true false mode per_row",
-    ("Date", "Datetime", "Date stored as text"): "keep_null custom per_row", ("Email", "Phone number", "URL", "Possible identifier"): "keep_null per_row",
-}))
-def cat_missing(s, d):
-    return _offers(s, strategies.missing_strategies)
-
-
-@_query(_offers_sql({_NUMBERS: "keep null median cap custom do_nothing"}))
-def cat_outlier(s, d):
-    return _offers(s, strategies.outlier_strategies)
-
-
-@_query(_offers_sql({_NUMBERS: "valid invalid"}) + " UNION ALL " + _offers_sql({_NUMBERS: "null zero median custom"}))
-def cat_negative(s, d):
-    return _offers(s, lambda k: strategies.negative_strategies(k, False)).unionByName(_offers(s, lambda k: strategies.negative_strategies(k, True)))
-
-
-@_query(_offers_sql({("Categorical",): "keep most_frequent select_canonical custom do_nothing"}))
-def cat_variants(s, d):
-    return _offers(s, lambda k: strategies.variant_strategies() if k == "Categorical" else [])
-
-
 #: What people type, by rows of orders.
 _TYPED = """
 SELECT o_orderkey AS id, CASE CAST(o_orderkey % 16 AS INT) WHEN 0 THEN ' 12.5 ' WHEN 1 THEN '1_000' WHEN 2 THEN '1__0' WHEN 3 THEN '-.5e2' WHEN 4 THEN '$5' WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN 'abc' WHEN 8 THEN '7.'
@@ -123,12 +85,6 @@ def ui_run_id(s, d):
     return sizes.select(key.alias("id"), engine.dataset_run_id(F.concat(F.lit("set_"), key.cast("string")), F.col("n"), F.lit(5), F.when(key % 2 == 0, "Sheet1")).alias("run_id"))
 
 
-@_query("SELECT column_name, inferred_type, effective_type, changed FROM (VALUES ('a', 'Free text', 'Categorical', true), ('b', 'Categorical', 'Categorical', false), ('c', 'Email', 'Email', false)) AS v(column_name, inferred_type, effective_type, changed)")
-def ovr_record(s, d):
-    made = [overrides.override_record("run", c, kind, label, base.NOW) for c, kind, label in (("a", "Free text", "Categorical"), ("b", "Categorical", "Categorical"), ("c", "Email", "no such label"))]
-    return s.createDataFrame([(r["column_name"], r["inferred_type"], r["effective_type"], r["changed"]) for r in made], "column_name string, inferred_type string, effective_type string, changed boolean")
-
-
 @_query("SELECT cleaning_action, column_name, count(*) AS n FROM (SELECT 'first' AS cleaning_action, 's_name' AS column_name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'second', 's_name' FROM supplier WHERE s_suppkey % 4 = 0) GROUP BY ALL UNION ALL SELECT 'left', s_name, 1 FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0")
 def fix_merge(s, d):
     """Two runs of replacements as one: both audits, and the frame after the second."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import LABELS, PLACEHOLDERS, SEVERITIES
+from ..config import EXPLANATIONS, LABELS, PLACEHOLDERS, SEVERITIES
 
 # The patterns of the rules. White space is listed, as engines differ in what \s means.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -181,6 +181,20 @@ def label(c: Column) -> Column:
     return F.coalesce(known, F.concat(F.upper(F.substring(words, 1, 1)), words.substr(F.lit(2), F.length(words))))
 
 
+def explanation(c: Column) -> Column:
+    """What an issue type means; null for one that is not known."""
+    return F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair])[c]
+
+
+def shown_size(c: Column) -> Column:
+    """A number of bytes for people: whole bytes below 1024, else one digit of KB, MB, GB or TB."""
+    shown = F.concat(c.cast("long").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        one = F.concat(F.replace(F.format_number(c / 1024**k, 1), F.lit(","), F.lit("")), F.lit(f" {unit}"))
+        shown = F.when(c < 1024**k, shown).otherwise(one)
+    return shown
+
+
 def score_of(count: Column, total: Column) -> tuple[Column, Column]:
     """(score, penalty) of ``count`` findings among ``total``."""
     penalty = F.when(total <= 0, 0.0).otherwise(F.least(count / total * 100, F.lit(100.0)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import expr as E
+from ..functions import names as N
 from . import ranks as R
 from .profile import NUMERIC, TIMES, ColumnProfile, data_columns, normalize_name, value_table
 
@@ -61,16 +62,9 @@ def larger_severity(a: str, b: str) -> str:
     return max(a, b, key=C.SEVERITIES.index)
 
 
-# The shapes of name styles.
-STYLES = (
-    ("snake_case", r"[a-z0-9]+(_[a-z0-9]+)*"), ("kebab-case", r"[a-z0-9]+(-[a-z0-9]+)*"),
-    ("space separated", r"[A-Za-z0-9]+( [A-Za-z0-9]+)+"), ("camelCase/PascalCase", r"[A-Za-z](?=.*[A-Z])[a-zA-Z0-9]*"),
-)
-
-
 def name_style(name: str) -> str | None:
     """Style of a column name; None if it follows none."""
-    return next((style for style, shape in STYLES if re.fullmatch(shape, name.strip())), None)
+    return next((style for style, shape in N.STYLES if re.fullmatch(shape, name.strip())), None)
 
 
 def name_findings(names: list[str]) -> list[tuple]:
@@ -90,6 +84,30 @@ def name_findings(names: list[str]) -> list[tuple]:
     return out
 
 
+def header_findings(headers: DataFrame) -> DataFrame:
+    """The same findings for the names of any number of tables at once: (dataset, place, issue_type, severity, confidence, column_name, suggested_value).
+
+    ``headers`` has a row for each column of each table: dataset, place and name.  A null name counts
+    as an empty one.  Rows are grouped by (dataset, plain name) and by dataset with partial counts.
+    """
+    name = F.coalesce("name", F.lit(""))
+    named = headers.select("dataset", "place", name.alias("name"), N.normalized(name).alias("plain"), N.style(name).alias("style"))
+    same = named.groupBy("dataset", "plain", "name").agg(F.count(F.lit(1)).alias("k")).groupBy("dataset", "plain").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
+    repeated = named.join(same.filter("n > 1"), ["dataset", "plain"])
+    styles = named.filter("style is not null").groupBy("dataset", "style").agg(F.count(F.lit(1)).alias("k")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    styled = named.filter("style is not null").join(styles, "dataset", "left_semi")
+
+    def found(rows: DataFrame, kind: Column, severity: Column, confidence: float, suggested: Column) -> DataFrame:
+        return rows.select("dataset", "place", kind.alias("issue_type"), severity.alias("severity"), F.lit(confidence).alias("confidence"), F.col("name").alias("column_name"), suggested.alias("suggested_value"))
+
+    exact, low = F.col("most") > 1, F.lit("Low")
+    return (
+        found(repeated, F.when(exact, "duplicate_column_name").otherwise("near_duplicate_column_name"), F.when(exact, "Critical").otherwise("Medium"), 1.0, F.lit(None).cast("string"))
+        .unionByName(found(named.filter(F.col("name") != E.strip(F.col("name"))), F.lit("column_name_whitespace"), low, 1.0, E.strip(F.col("name"))))
+        .unionByName(found(styled, F.lit("inconsistent_column_name_formatting"), low, 0.7, F.col("plain")))
+    )
+
+
 # ---- what a cell tells by itself ---------------------------------------------------------------
 
 

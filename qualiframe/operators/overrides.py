@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -21,10 +21,14 @@ def apply_overrides(profiles: list[ColumnProfile], chosen: dict[str, str]) -> li
     return out
 
 
+def option(label: Column) -> Column:
+    """The type that a label offers; null for one that is no option."""
+    return F.create_map(*[F.lit(x) for pair in C.OVERRIDE_OPTIONS.items() for x in pair])[label]
+
+
 def override_frame(profiles: DataFrame, overrides: DataFrame) -> DataFrame:
     """The same on tables: ``overrides`` (column_name, label) joined to profiles."""
-    options = F.create_map(*[F.lit(x) for pair in C.OVERRIDE_OPTIONS.items() for x in pair])
-    chosen = overrides.select(F.col("column_name").alias("original_name"), options[F.col("label")].alias("chosen"))
+    chosen = overrides.select(F.col("column_name").alias("original_name"), option(F.col("label")).alias("chosen"))
     return profiles.drop("effective_logical_type").join(chosen, "original_name", "left").withColumn("effective_logical_type", F.coalesce("chosen", "logical_type")).drop("chosen")
 
 
@@ -34,6 +38,13 @@ def override_record(run_id: str, column: str, inferred: str, label: str, when: s
     return {"run_id": run_id, "column_name": column, "inferred_type": inferred, "selected_label": label, "effective_type": kind, "changed": kind != inferred, "recorded_at": when}
 
 
+def override_log(choices: DataFrame, run_id: str, when: str) -> DataFrame:
+    """Audit records of a table of choices (column_name, inferred_type, label), as ``override_record`` makes them one by one."""
+    kind = F.coalesce(option(F.col("label")), F.col("inferred_type"))
+    return choices.select(
+        F.lit(run_id).alias("run_id"), "column_name", "inferred_type", F.col("label").alias("selected_label"), kind.alias("effective_type"), (~kind.eqNullSafe(F.col("inferred_type"))).alias("changed"), F.lit(when).alias("recorded_at"))
+
+
 # Headings of the tables of decisions, by column of the log.
 DECISION_HEADINGS = {
     "run_id": "Run ID", "decided_at": "Timestamp", "dataset_name": "Dataset", "column_name": "Column", "issue_type": "Issue type", "effective_type": "Effective type", "confidence": "Confidence",

@@ -15,6 +15,11 @@ def component_map(spark) -> DataFrame:
     return spark.createDataFrame([(t, name) for name, (_, types) in C.COMPONENTS.items() for t in types], "issue_type string, component_name string")
 
 
+def weights(spark) -> DataFrame:
+    """(component_name, component_weight, place) of each component, in order."""
+    return spark.createDataFrame([(n, w, i) for i, (n, (w, _)) in enumerate(C.COMPONENTS.items())], "component_name string, component_weight double, place int")
+
+
 def table_size(df: DataFrame) -> DataFrame:
     """One row: rows, columns, cells that are not null."""
     names = data_columns(df)
@@ -26,9 +31,8 @@ def score(df: DataFrame, issues: DataFrame) -> DataFrame:
     """One row per component: score, issue_count, denominator, penalty, weight and weighted contribution."""
     spark = df.sparkSession
     counted = issues.join(F.broadcast(component_map(spark)), "issue_type").groupBy("component_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_index").alias("n_rows_hit"))
-    weights = spark.createDataFrame([(n, w, i) for i, (n, (w, _)) in enumerate(C.COMPONENTS.items())], "component_name string, component_weight double, place int")
     # The size is a single row; the join adds it to five.
-    rows = weights.join(counted, "component_name", "left").join(F.broadcast(table_size(df)))
+    rows = weights(spark).join(counted, "component_name", "left").join(F.broadcast(table_size(df)))
     count = F.coalesce(F.when(F.col("component_name") == "Uniqueness", F.col("n_rows_hit")).otherwise(F.col("n")), F.lit(0))
     total = (
         F.when(F.col("component_name") == "Completeness", F.col("n_rows") * F.col("n_columns")).when(F.col("component_name") == "Uniqueness", F.col("n_rows"))

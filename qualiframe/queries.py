@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import config as C
 from . import store
 from .functions import expr as E
+from .functions import names as N
 from .operators import clean, compare, detect, overrides, profile, ranks, score, strategies
 from .plans import engine
 from .sources.files import folder
@@ -152,7 +153,7 @@ _scalar("pred_date_like", "signup", lambda c: E.strip(c).rlike(E.DATE_LIKE), d_m
 _scalar("pred_numeric", "mixture", E.is_number, d_number("mixture"))
 _scalar("cfg_placeholders", "segment", E.is_placeholder, f"lower({d_strip('segment')}) IN ({_TOKENS})")
 _scalar("phys_na", "segment", lambda c: F.when(~c.isin(*C.NA_TOKENS), c), f"CASE WHEN segment NOT IN ({', '.join(q(t) for t in C.NA_TOKENS)}) THEN segment END")
-_scalar("fn_norm_col", "note", lambda c: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(E.strip(c)), "[^0-9a-z]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("column")), f"coalesce(nullif(regexp_replace(regexp_replace(lower({d_strip('note')}), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'column')")
+_scalar("fn_norm_col", "note", N.normalized, f"coalesce(nullif(regexp_replace(regexp_replace(lower({d_strip('note')}), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'column')")
 _scalar("fn_decimals", "score", lambda c: F.abs(F.round(c * 100, 0) / 100 - c) < 1e-9, "abs(round(score * 100, 0) / 100 - score) < 1e-9")
 
 
@@ -193,14 +194,6 @@ def fn_max_sev(s, d):
 
 QUERIES["fn_sev_rank"], SQL["fn_sev_rank"] = QUERIES["fn_max_sev"], SQL["fn_max_sev"]
 
-_ISSUE_ROWS = ", ".join(f"('{k}', '{v[0]}')" for k, v in C.ISSUES.items())
-
-
-@query(f"WITH t(issue_type, issue_category) AS (VALUES {_ISSUE_ROWS}), k(issue_type, label) AS (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in C.LABELS.items())}) SELECT t.issue_type, coalesce(k.label, upper(substr(replace(t.issue_type, '_', ' '), 1, 1)) || substr(replace(t.issue_type, '_', ' '), 2)) AS label FROM t LEFT JOIN k USING (issue_type)")
-def fn_label(s, d):
-    return s.createDataFrame([(k,) for k in C.ISSUES], "issue_type string").select("issue_type", E.label(F.col("issue_type")).alias("label"))
-
-
 # ---- detection ---------------------------------------------------------------------------------
 
 
@@ -451,11 +444,6 @@ def score_ratio(s, d):
     return o.select("o_orderkey", E.score_of(F.col("o_custkey"), F.col("o_orderkey"))[0].alias("score"))
 
 
-@query(f"SELECT * FROM (VALUES {_MAP}) t(issue_type, component_name)")
-def score_mapping(s, d):
-    return score.component_map(s)
-
-
 # ---- profiles ----------------------------------------------------------------------------------
 
 
@@ -583,18 +571,6 @@ def stat_safe_convert(s, d):
     return strategies.converts_wholly(messy(s, d), "amount_text", "number")
 
 
-@query("SELECT * FROM (VALUES ('amount', 'Categorical'), ('name', 'Free text')) t(original_name, effective_logical_type)")
-def ovr_apply(s, d):
-    profiles = s.createDataFrame([("amount", C.DECIMAL, C.DECIMAL), ("name", C.FREE_TEXT, C.FREE_TEXT)], "original_name string, logical_type string, effective_logical_type string")
-    chosen = s.createDataFrame([("amount", "Categorical"), ("name", "no such type")], "column_name string, label string")
-    return overrides.override_frame(profiles, chosen).select("original_name", "effective_logical_type")
-
-
-@query("SELECT * FROM (VALUES {}) t(label, logical_type)".format(", ".join(f"({q(k)}, {q(v)})" for k, v in C.OVERRIDE_OPTIONS.items())))
-def ovr_options(s, d):
-    return s.createDataFrame(list(C.OVERRIDE_OPTIONS.items()), "label string, logical_type string")
-
-
 # ---- cleaning ----------------------------------------------------------------------------------
 
 _AUDITED = ["row_index", "column_name", "original_value", "new_value", "cleaning_action"]
@@ -995,16 +971,6 @@ def ui_ts_format(s, d):
     return table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("shown"))
 
 
-@query(f"SELECT * FROM (VALUES {_WEIGHT}) t(component_name, component_weight)")
-def ui_weights(s, d):
-    return s.createDataFrame([(n, w) for n, (w, _) in C.COMPONENTS.items()], "component_name string, component_weight double").orderBy("component_name")
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in C.EXPLANATIONS.items())}) t(issue_type, explanation)")
-def fn_explain(s, d):
-    return s.createDataFrame(list(C.EXPLANATIONS.items()), "issue_type string, explanation string")
-
-
 # ---- names, by a frame of four columns whose names have defects ---------------------------------
 
 _NAMED = {"c_custkey": "_row_id", "c_name": "Customer ID", "c_nationkey": "customer_id", "c_acctbal": " balance", "c_mktsegment": "marketSegment"}
@@ -1029,21 +995,6 @@ for _name in ("near_duplicate_column_name", "column_name_whitespace", "inconsist
     SQL[_name] = "SELECT * FROM (VALUES {}) t(issue_type, severity, confidence, column_name, suggested_value)".format(", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE), {q(n)}, {'CAST(NULL AS VARCHAR)' if v is None else q(v)})" for a, b, c, n, v in _NAMES if a == _name))
 
 
-@query("SELECT * FROM (VALUES ('duplicate_column_name', 'Critical', 'amount'), ('duplicate_column_name', 'Critical', 'amount')) t(issue_type, severity, column_name)")
-def duplicate_column_name(s, d):
-    return s.createDataFrame([(r[0], r[1], r[3]) for r in detect.name_findings(["id", "amount", "amount"])], "issue_type string, severity string, column_name string")
-
-
-@query("SELECT * FROM (VALUES ('customer_id', 'snake_case'), ('a-b', 'kebab-case'), ('Customer ID', 'space separated'), ('marketSegment', 'camelCase/PascalCase'), ('Name', 'unknown')) t(name, style)")
-def fn_name_style(s, d):
-    return s.createDataFrame([(n, detect.name_style(n) or "unknown") for n in ("customer_id", "a-b", "Customer ID", "marketSegment", "Name")], "name string, style string")
-
-
-@query("SELECT * FROM (VALUES ('customer_id', true), ('l_orderkey', true), ('paid', false), ('unitprice', false)) t(name, hinted)")
-def fn_name_hint(s, d):
-    return s.createDataFrame([(n, profile.has_hint(n, C.IDENTIFIER_HINTS)) for n in ("customer_id", "l_orderkey", "paid", "unitprice")], "name string, hinted boolean")
-
-
 # ---- one query for each inferred text type ------------------------------------------------------
 
 _INFERRED = {
@@ -1112,12 +1063,12 @@ def res_apply(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import choice_queries, io_queries
+    from . import catalog_queries, choice_queries, io_queries
 
-    return QUERIES | io_queries.QUERIES | choice_queries.QUERIES
+    return QUERIES | io_queries.QUERIES | choice_queries.QUERIES | catalog_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import choice_queries, io_queries
+    from . import catalog_queries, choice_queries, io_queries
 
-    return SQL | io_queries.SQL | choice_queries.SQL
+    return SQL | io_queries.SQL | choice_queries.SQL | catalog_queries.SQL
