@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import profile
-from .sources import encodings, loader, xlsx
+from .sources import encodings, loader
 from .sources.files import AS_IT_IS, folder, put_bytes, write_one_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,17 +161,20 @@ def src_delimiter(s, d):
     return out
 
 
+# Phrases with letters that tell encodings apart.
 _SAID = {"utf-8": "naïve façade – žluťoučký", "windows-1252": "crème brûlée à la carte, señor", "windows-1255": "שלום עולם וברוכים הבאים", "utf-16": "größer als Łódź"}
 
 
-@_query("SELECT written, said, found FROM (VALUES ('utf-8', 'naïve façade – žluťoučký', 'utf-8'), ('windows-1252', 'crème brûlée à la carte, señor', 'windows-1252'), ('windows-1255', 'שלום עולם וברוכים הבאים', 'windows-1255'), ('utf-16', 'größer als Łódź', 'utf-16')) AS v(written, said, found)")
+@_query(f"SELECT written, said || ' ' || s_name AS said, written AS found FROM supplier, (VALUES {', '.join(f"('{e}', '{x}')" for e, x in _SAID.items())}) AS v(written, said)")
 def src_encoding(s, d):
-    """Four files in four encodings, none of which is named when they are loaded."""
-    rows = []
-    for name, text in _SAID.items():
-        got = loader.load_bytes(s, "said.csv", f'id,said\n1,"{text}"\n'.encode(name))
-        rows.append((name, got.df.first()["said"], got.encoding))
-    return s.createDataFrame(rows, "written string, said string, found string")
+    """All suppliers, each with a phrase, uploaded as four files in four encodings, none of which is named."""
+    out = None
+    for e, phrase in _SAID.items():
+        rows = (f'{r["s_suppkey"]},"{phrase} {r["s_name"]}"' for r in _table(s, d, "supplier").select("s_suppkey", "s_name").toLocalIterator())
+        got = loader.load_bytes(s, "said.csv", "\n".join(["id,said", *rows, ""]).encode(e))
+        one = got.df.select(F.lit(e).alias("written"), "said", F.lit(got.encoding).alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _CODED = ("windows-1252", "iso-8859-1", "iso-8859-15", "windows-1254", "iso-8859-9", "cp850", "mac-roman", "utf-8", "utf-16-le", "utf-16-be")
@@ -230,42 +233,72 @@ def src_dedupe_cols(s, d):
     return s.createDataFrame([(r["n_nationkey"], n) for r, n in zip(rows, names)], "place int, name string")
 
 
-@_query("SELECT header, odd FROM (VALUES ('id,name', false), ('1,2', true), ('1,name', false), ('1,2,name', true), (',', true)) AS v(header, odd)")
-def src_headerless(s, d):
-    return s.createDataFrame([(h, loader.looks_headerless(h.split(","))) for h in ("id,name", "1,2", "1,name", "1,2,name", ",")], "header string, odd boolean")
+#: Columns of customers by how many of them are numbers.
+_SETS = {"most": ("c_custkey", "c_acctbal", "c_name"), "half": ("c_custkey", "c_name"), "names": ("c_name", "c_mktsegment")}
 
 
-@_query("SELECT size, shown FROM (VALUES (0, '0 B'), (1023, '1023 B'), (1024, '1.0 KB'), (1572864, '1.5 MB'), (5368709120, '5.0 GB')) AS v(size, shown)")
-def util_size(s, d):
-    return s.createDataFrame([(n, loader.human_size(n)) for n in (0, 1023, 1024, 1572864, 5368709120)], "size long, shown string")
+@_query(" UNION ALL ".join(
+    f"""SELECT '{k}' AS kind, headed, NOT headed AND 2 * ({' + '.join(f"regexp_full_match(CAST({c} AS VARCHAR), '[+-]?[0-9]+([.][0-9]+)?')::INT" for c in names)}) > {len(names)} AS warned, n
+    FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 1), (SELECT count(*) AS n FROM customer), (VALUES (true), (false)) AS v(headed)""" for k, names in _SETS.items()))
+def src_headerless(s, d):
+    """Tables of all customers written with and without a header and loaded with the first row as data if it looks so."""
+    out = None
+    for kind, names in _SETS.items():
+        rows = _table(s, d, "customer").orderBy("c_custkey").select(*names)
+        for headed in (True, False):
+            path = write_one_csv(rows, _place(s), header=headed)
+            got = loader.load(s, path)
+            warned = any("header" in w for w in got.warnings)
+            if not headed:
+                got = loader.load(s, path, header=False)
+            one = got.df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(headed).alias("headed"), F.lit(warned).alias("warned"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
-def _fails(load: Callable[[], object]) -> bool:
+def _rows_or_none(load: Callable[[], loader.Loaded]) -> int | None:
+    """Rows of what is loaded; none if it is refused."""
     try:
-        load()
-        return False
+        return load().df.count()
     except loader.LoadError:
-        return True
+        return None
 
 
-@_query("SELECT size, refused FROM (VALUES (209715200, false), (209715201, true)) AS v(size, refused)")
+@_query("SELECT limit_mb, CASE WHEN limit_mb > 0 THEN n END AS n FROM (SELECT count(*) AS n FROM orders), (VALUES (200), (100000), (0)) AS v(limit_mb)")
 def src_size_limit(s, d):
-    return s.createDataFrame([(n, _fails(lambda n=n: loader.check_size(n))) for n in (209715200, 209715201)], "size long, refused boolean")
+    """All orders in one file, loaded under three limits."""
+    path = write_one_csv(_table(s, d, "orders").select("o_orderkey", "o_orderstatus"), _place(s))
+    return s.createDataFrame([(m, _rows_or_none(lambda m=m: loader.load(s, path, limit_mb=m))) for m in (200, 100000, 0)], "limit_mb int, n long")
 
 
-_BROKEN = {"empty.csv": b"", "blank.csv": b" \n \n", "ragged.csv": b"a,b\n1,2\n3,4,5\n", "short.csv": b"a,b\n1,2\n3\n", "no workbook.xlsx": b"junk", "old.xls": b"junk", "other.pdf": b"junk", "good.csv": b"a,b\n1,2\n"}
+#: Lines of customers in files with a defect each; rows by name of the file, or null if it is to be refused.
+_DEFECTS = {
+    "good.csv": "concat(c_custkey, ',', c_nationkey)", "ragged.csv": "concat(c_custkey, ',', c_nationkey, CASE WHEN c_custkey % 100 = 3 THEN ',1' ELSE '' END)", "short.csv": "CASE WHEN c_custkey % 100 = 3 THEN CAST(c_custkey AS STRING) ELSE concat(c_custkey, ',', c_nationkey) END",
+    "blank.csv": "repeat(' ', CAST(c_custkey % 3 AS INT))", "no workbook.xlsx": "c_name", "old.xls": "c_name", "other.pdf": "c_name",
+}
 
 
-@_query("SELECT name, refused FROM (VALUES ('empty.csv', true), ('blank.csv', true), ('ragged.csv', true), ('short.csv', false), ('no workbook.xlsx', true), ('old.xls', true), ('other.pdf', true), ('good.csv', false)) AS v(name, refused)")
+@_query("SELECT name, CASE WHEN name IN ('good.csv', 'short.csv') THEN n END AS n FROM (SELECT count(*) AS n FROM customer), (VALUES ('good.csv'), ('ragged.csv'), ('short.csv'), ('blank.csv'), ('no workbook.xlsx'), ('old.xls'), ('other.pdf'), ('missing.csv')) AS v(name)")
 def load_errors(s, d):
-    return s.createDataFrame([(n, _fails(lambda n=n, x=x: loader.load_bytes(s, n, x))) for n, x in _BROKEN.items()], "name string, refused boolean")
-
-
-@_query("SELECT name, kind, n FROM (VALUES ('up.csv', 'csv', 2), ('up.xlsx', 'excel', 2)) AS v(name, kind, n)")
+    """All customers in files with defects: how many rows are loaded, or that the file is refused."""
+    place, found = _place(s), [("missing.csv", _rows_or_none(lambda: loader.load(s, f"{_place(s)}/missing.csv")))]
+    for name, line in _DEFECTS.items():
+        lines = _table(s, d, "customer").orderBy("c_custkey").select(F.expr(line).alias("value"))
+        if name not in ("blank.csv", "no workbook.xlsx", "old.xls", "other.pdf"):
+            head = s.range(1).select(F.lit("a,b").alias("value"))
+            lines = head.unionByName(lines)
+        lines.coalesce(1).write.text(f"{place}/{name}")
+        found.append((name, _rows_or_none(lambda name=name: loader.load(s, f"{place}/{name}"))))
+    return s.createDataFrame(found, "name string, n long")
+
+
+@_query("SELECT kind, s_suppkey AS id, s_name AS name FROM supplier, (VALUES ('csv'), ('excel')) AS v(kind)")
 def src_read_bytes(s, d):
-    sheet = xlsx.write_sheet(["a", "b"], [(1, "x"), (2, "y")])
-    got = [loader.load_bytes(s, "up.csv", b"a,b\n1,x\n2,y\n"), loader.load_bytes(s, "up.xlsx", sheet)]
-    return s.createDataFrame([(g.name, g.kind, g.df.count()) for g in got], "name string, kind string, n long")
+    """All suppliers uploaded as the bytes of a CSV and of a workbook."""
+    rows = _table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    text = "\n".join(["id,name", *(f"{r['id']},{r['name']}" for r in rows.toLocalIterator()), ""])
+    got = [loader.load_bytes(s, "up.csv", text.encode()), loader.load_bytes(s, "up.xlsx", loader.to_excel(rows))]
+    return got[0].df.select(F.lit(got[0].kind).alias("kind"), "id", "name").unionByName(got[1].df.select(F.lit(got[1].kind).alias("kind"), "id", "name"))
 
 
 @_query(f"{_CELLS_SQL} SELECT id, CASE WHEN name <> 'N/A' THEN name END AS name, balance, even, segment FROM t")
@@ -311,13 +344,13 @@ def sink_logs(s, d):
 
 _WHOLE = {
     "Phone": "501000000 + c_custkey", "Mobile Number": "c_custkey * 3 + 972000000", "Employee ID": "c_custkey + 10000", "Order Code": "c_custkey", "Quantity": "c_custkey % 7", "Year": "c_custkey % 30 + 1990",
-    "misc_field": "CASE CAST(c_custkey % 12 AS INT) WHEN 0 THEN 'ab' WHEN 1 THEN 'x9' WHEN 2 THEN '7-q' WHEN 3 THEN 'zz top' WHEN 4 THEN '#' WHEN 5 THEN 'k_1' WHEN 6 THEN 'two words' WHEN 7 THEN '%%' WHEN 8 THEN 'n' WHEN 9 THEN '0x' WHEN 10 THEN 'yo' ELSE 'q.r' END",
+    "misc_field": "concat(repeat('q', CAST(c_custkey % 5 AS INT)), 'x', lower(hex(c_custkey)))",
 }
 
 
-def _inferred(s: SparkSession, d: str, names: tuple[str, ...], where: str = "true") -> DataFrame:
+def _inferred(s: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
     shown = ", ".join(f"{_WHOLE[n]} AS `{n}`" for n in names)
-    df = s.sql(f"SELECT c_custkey AS _row_id, {shown} FROM {{customer}} WHERE {where}", customer=_table(s, d, "customer"))
+    df = s.sql(f"SELECT c_custkey AS _row_id, {shown} FROM {{customer}}", customer=_table(s, d, "customer"))
     return profile.profile_frame(s, profile.profile(df)).select(F.col("original_name").alias("column_name"), "logical_type")
 
 
@@ -333,5 +366,5 @@ def infer_int_identifier(s, d):
 
 @_query("SELECT 'misc_field' AS column_name, 'Unknown' AS logical_type")
 def infer_unknown(s, d):
-    """Twelve short irregular tokens: as many as there are rows; in a long table their repeats would make them a category."""
-    return _inferred(s, d, ("misc_field",), "c_custkey BETWEEN 1 AND 12")
+    """A short irregular token for each customer: no pattern, no shape that most share, no repeats."""
+    return _inferred(s, d, ("misc_field",))
