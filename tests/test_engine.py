@@ -346,4 +346,4 @@ def test_stream(spark, tmp_path):
 def test_registered_queries_have_twins():
     from qualiframe import queries
 
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.oracle_sql()) > 130
+    assert set(queries.oracle_sql()) == set(queries.queries()) and len(queries.oracle_sql()) > 200
