@@ -12,8 +12,8 @@ anchors are sorted, about one byte in eighteen, and of these only anchors met in
    shares and lexical within one.  Runs are merged by loser trees that keep, for each waiting suffix,
    the prefix it is known to share with the last winner and compare only what lies behind it.
 4. A run is cut into at most ``FAN`` parts at a time.  Where there are more shares than that, merging
-   takes several levels, each of which joins the runs of some ``FAN`` chunks before the next cut, so
-   runs stay long at any size.
+   takes several levels, each of which joins the runs of some chunks before the next cut, so runs
+   stay long at any size; a task merges about the text of one share at each level.
 5. The merged order with its common prefixes gives, for each window, the smallest document that has
    it; the chunks turn that into removed byte ranges.
 6. Windows at hot anchors are not sorted in one task: their 128-bit hashes, once a chunk, are grouped
@@ -274,6 +274,21 @@ class Suffixes:
         self.anchors, self.docs = anchor[order], which
 
 
+def _levels(shares: int, fan: int) -> tuple[int, int]:
+    """(levels, parts that each of them cuts a run into): as few levels as ``fan`` allows, with parts as even as can be.
+
+    Runs cut by ranges of ``unit`` shares come from ``unit`` groups of chunks, so what one task merges is
+    about the text of one share at every level.
+    """
+    levels = 1
+    while fan**levels < shares:
+        levels += 1
+    step = max(1, math.ceil(shares ** (1 / levels)))
+    while step**levels < shares:
+        step += 1
+    return levels, step
+
+
 def _share_of(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :HEAD]).view(">u4").ravel().astype(np.int64)
 
@@ -625,13 +640,12 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text
     work.drop("bits")
     known = chunks.join(work.broadcast_if_small(told, "told"), "chunk", "left").select("chunk", "ids", "offsets", "data", "told")
 
-    levels = 1
-    while fan**levels < shares:
-        levels += 1
-    groups = math.ceil((n_chunks or 1) / fan)
-    runs = known.mapInArrow(_send_runs(span, shares, parts, fan ** (levels - 1), groups), RUNS)
-    for level in range(levels - 2, -1, -1):
-        runs = runs.groupBy("t", "g").applyInArrow(_forwarded(span, fan**level, fan), RUNS)
+    levels, step = _levels(shares, fan)
+    unit = step ** (levels - 1)
+    runs = known.mapInArrow(_send_runs(span, shares, parts, unit, unit), RUNS)
+    while unit > 1:
+        unit //= step
+        runs = runs.groupBy("t", "g").applyInArrow(_forwarded(span, unit, step), RUNS)
     found = work.save(runs.groupBy("t").applyInArrow(_answers(span), "chunk long, nth binary, first binary, last binary, doc binary"), "found")
     answers = work.save(found.groupBy("chunk").agg(F.collect_list(F.struct("nth", "first", "last", "doc")).alias("answers")), "answers")
     work.drop("found")
