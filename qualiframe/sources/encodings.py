@@ -154,11 +154,11 @@ def detect(spark: SparkSession, path: str | list[str], by_folder: bool = False)
     """
     lines, raw, text = _lines(spark, path)
     file = (F.regexp_replace("file", "/[^/]*$", "") if by_folder else F.lit("")).alias("file")
-    facts = {"invalid": F.count_if(~F.is_valid_utf8(raw)), "high": F.count_if(text.rlike(r"[\x80-\xff]"))}
+    facts, wide = {"invalid": F.count_if(~F.is_valid_utf8(raw))}, {}
     for e, (whole, lead) in WIDE.items():
-        facts[f"broken {e}"] = F.count_if(~text.rlike(rf"^(?:{whole})*+$"))
+        wide[f"broken {e}"] = F.count_if(~text.rlike(rf"^(?:{whole})*+$"))
         marked = F.regexp_replace(text, r"([\x81-\xfe][\x40-\xfe])", "$1\x00")  # pairs of bytes from the left, each with an end
-        facts[f"common {e}"] = F.sum(F.regexp_count(marked, F.lit(rf"{lead}[\x40-\xfe]\x00")))
+        wide[f"common {e}"] = F.sum(F.regexp_count(marked, F.lit(rf"{lead}[\x40-\xfe]\x00")))
     facts["zeros"] = F.sum(F.regexp_count(text, F.lit(r"\x00")))
     facts["size"] = F.sum(F.length(text))
     # lines end at byte 10, whose zero byte comes after it (little end first) or before
@@ -166,10 +166,14 @@ def detect(spark: SparkSession, path: str | list[str], by_folder: bool = False)
     facts["not_before"] = F.count_if(~text.endswith("\x00"))
     facts["files"] = F.count_distinct("file")
     told = {r["name"]: r for r in lines.groupBy(file.alias("name")).agg(*[v.alias(k) for k, v in facts.items()]).collect()}
+    unsure = [n for n, r in told.items() if r["invalid"] and not r["zeros"]]
+    if unsure:  # only lines with a byte above 127, of files that are no utf-8, can tell code pages and encodings of several bytes apart
+        lines = lines.filter(text.rlike(r"[\x80-\xff]") & file.isin(*unsure))
+        more = {r["name"]: r for r in lines.groupBy(file.alias("name")).agg(*[v.alias(k) for k, v in wide.items()]).collect()}
     words = F.explode(F.regexp_extract_all(text, F.lit(r"([A-Za-z\x80-\xff]*[\x80-\xff][A-Za-z\x80-\xff]*)"), 1))
     words = lines.select(file, words.alias("word")).withColumn("word", F.concat(F.lit(" "), "word", F.lit(" ")))
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
-    counted = words.select("file", pairs.alias("pair")).groupBy("file", "pair").count() if any(r["invalid"] for r in told.values()) else None
+    counted = words.select("file", pairs.alias("pair")).groupBy("file", "pair").count() if unsure else None
     of: dict[str, dict[tuple[int, int], int]] = defaultdict(dict)
     for r in counted.collect() if counted is not None else ():  # at most 65,536 rows a file
         of[r["file"]][tuple(map(ord, r["pair"]))] = r["count"]
@@ -182,5 +186,5 @@ def detect(spark: SparkSession, path: str | list[str], by_folder: bool = False)
             out[name] = ("utf-8", 1.0)
         else:
             high = max(1, sum(n for (_, b), n in of[name].items() if b >= 128))
-            out[name] = judge(of[name], {e: r[f"broken {e}"] for e in WIDE}, {e: min(1.0, 2 * (r[f"common {e}"] or 0) / high) for e in WIDE})
+            out[name] = judge(of[name], {e: more[name][f"broken {e}"] for e in WIDE}, {e: min(1.0, 2 * (more[name][f"common {e}"] or 0) / high) for e in WIDE})
     return out

@@ -1,5 +1,6 @@
 """Files, ranges and passes at larger sizes; white space, marks and null texts."""
 
+import duckdb
 import pyspark.sql.functions as F
 
 from qualiframe import io_queries
@@ -14,3 +15,14 @@ def test_files_hold_no_more_as_a_table_grows(spark, monkeypatch):
     monkeypatch.setattr(io_queries, "_FILE_BYTES", 1000)
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("t"))
     assert io_queries._files(rows, 2) == 10 and io_queries._files(rows.limit(10), 2) == 2
+
+
+def test_decode_of_null_texts_and_languages(spark, tmp_path):
+    """A null text is written and counted as an empty one; a null language has a folder too; utf-16 is written as such."""
+    rows = [(i, None if i % 5 == 0 else "" if i % 7 == 0 else f"Größe façade señor {i} été déjà über", None if i % 3 == 0 else "de") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(io_queries.SQL["src_decode"]).fetchall(), key=repr)
+    got = io_queries.QUERIES["src_decode"](spark, str(tmp_path)).select("lang", "written", "n", "same").collect()
+    assert sorted(map(tuple, got), key=repr) == want
