@@ -4,6 +4,19 @@ import duckdb
 import pyspark.sql.functions as F
 
 from qualiframe import io_queries
+from qualiframe.functions import expr as E
+
+
+def test_strip_and_marks_are_those_of_the_patterns(spark):
+    """Every character of two bytes and some more, as text ends, inside and alone."""
+    some = [chr(i) for i in (*range(1, 0x3100), 0xE000, 0xFEFF)]
+    rows = [(t,) for c in some for t in (c, f"{c}1{c}2{c}", f"a{c} {c}\n")] + [(t,) for t in ("", "(5)", "( 5 )", "(-5)", "()", "(", " $1,000.50 ", "a \n", "\n", "+1 555-010", None)]
+    df = spark.createDataFrame(rows, "c string")
+    c = F.col("c")
+    by_pattern = F.regexp_replace(c, E.STRIP, ""), F.regexp_replace(c, E.NUMBER_MARKS, ""), F.regexp_replace(c, E.PHONE_MARKS, "")
+    quick = E.strip(c), F.translate(c, E.NUMBER_CHARS, ""), F.translate(c, E.PHONE_CHARS, "")
+    for a, b in zip(by_pattern, quick):
+        assert df.filter(~a.eqNullSafe(b)).count() == 0
 
 
 def test_ranges_do_not_grow_with_the_table():
@@ -26,3 +39,15 @@ def test_decode_of_null_texts_and_languages(spark, tmp_path):
     want = sorted(con.sql(io_queries.SQL["src_decode"]).fetchall(), key=repr)
     got = io_queries.QUERIES["src_decode"](spark, str(tmp_path)).select("lang", "written", "n", "same").collect()
     assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_scores_tell_rows_apart_for_uniqueness_only(spark, tmp_path):
+    """The distinct rows are those of one component, so what is grouped by row is small."""
+    from qualiframe.operators import score
+
+    df = spark.range(20).select(F.col("id").alias("_row_id"), F.lit("x").alias("a"))
+    issues = spark.range(400).select(F.when(F.col("id") < 100, "exact_duplicate_row").otherwise("missing_null").alias("issue_type"), (F.col("id") % 20).alias("row_index"))
+    got = {r["component_name"]: r["issue_count"] for r in score.score(df, issues).collect()}
+    assert got["Uniqueness"] == 20 and got["Completeness"] == 300
+    plan = score.score(df, issues)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (component_name" in plan.replace("#", " #").replace("  ", " ").split("Aggregate", 1)[1]
