@@ -51,3 +51,47 @@ def test_scores_tell_rows_apart_for_uniqueness_only(spark, tmp_path):
     assert got["Uniqueness"] == 20 and got["Completeness"] == 300
     plan = score.score(df, issues)._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN (component_name" in plan.replace("#", " #").replace("  ", " ").split("Aggregate", 1)[1]
+
+
+def test_quick_forms_of_text_rules_are_those_of_the_patterns(spark):
+    some = [chr(i) for i in (*range(1, 0x3100), 0xE000, 0xFEFF)]
+    rows = [(t,) for c in some for t in (c, f"a{c}b", f"a {c}b", f" a{c}{c}b")] + [(t,) for t in ("", "  ", "a  b", " a b ", "a b", "1e5", "(5)", "-Inf", "nan", " INFINITY ", "$1,000.50", "12 eur", None)]
+    df = spark.createDataFrame(rows, "c string")
+    c = F.col("c")
+    plain = E.strip(F.regexp_replace(c, rf"{E.WS}+", " ")), F.regexp_replace(c, E.NON_PRINTABLE, ""), c != F.regexp_replace(c, E.NON_PRINTABLE, "")
+    for a, b in zip(plain, (E.collapse(c), E.printable(c), E.unprintable(c))):
+        assert df.filter(~a.eqNullSafe(b)).count() == 0
+    assert df.filter(E.is_number(c) & ~E.maybe_number(E.strip(c))).count() == 0
+
+
+def test_rules_on_cells_are_generated_code(spark):
+    """``array_compact`` is not, and neither were the rules inside of it."""
+    from qualiframe.plans import engine
+
+    df = spark.range(50).selectExpr("id as _row_id", "concat(' a  b', id) as note", "if(id % 5 = 0, 'x', '2024-01-02') as day", "cast(id - 3 as double) as score")
+    plan = engine.analyze(df).issues._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in plan and "lambda" not in plan
+
+
+def test_a_session_works_out_what_is_asked_for(spark):
+    """Fixes that ask for no type, and findings after them, need no profile, findings or figures of the table before."""
+    from qualiframe.plans import engine
+
+    df = spark.range(40).selectExpr("id as _row_id", "if(id % 4 = 0, ' a', 'a') as t", "id % 3 as k")
+    session = engine.Session(engine.analyze(df)).apply(["trim_whitespace"])
+    assert session.after.issues.filter("issue_type = 'leading_trailing_whitespace'").count() == 0
+    assert not {"_typed", "issues", "components", "profiles"} & set(session.before.__dict__)
+    assert "profiles" not in session.after.__dict__
+    assert session.before.issues.filter("issue_type = 'leading_trailing_whitespace'").count() == 10
+    assert {p.original_name: p.median for p in session.before.profiles}["k"] == 1.0
+
+
+def test_rules_and_components_are_dealt_to_all_cores(spark, tmp_path):
+    """A table of one file is one task until it is dealt."""
+    from qualiframe import queries
+
+    spark.range(300).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "cast(id % 25 as int) as c_nationkey", "cast(id as double) as c_acctbal", "'BUILDING' as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = queries.dealt(queries.messy(spark, str(tmp_path)))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert queries.QUERIES["score_validity"](spark, str(tmp_path)).count() == 1
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() > 0
