@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .linkage import link
 from .scratch import Scratch
@@ -32,6 +33,15 @@ def _unit(vector: np.ndarray) -> np.ndarray:
     return vector / np.sqrt((vector * vector).sum(axis=-1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return _unit(x / np.abs(x).max())
+
+
+def _read(payload: bytes, single: bool) -> np.ndarray:
+    """The unit vector of a stored one: floats travel as given, in half the bytes, and are scaled where they are read."""
+    return _scaled(np.frombuffer(payload, np.float32).astype(np.float64)) if single else np.frombuffer(payload, np.float64)
+
+
 def _direction(node: int, dim: int) -> np.ndarray:
     return _unit(np.random.default_rng(node & 0xFFFFFFFFFFFFFFFF).standard_normal(dim))
 
@@ -43,11 +53,11 @@ def _child(node: int, side: int) -> int:
     return mixed - (1 << 64) if mixed >> 63 else mixed
 
 
-def _fit(threshold: float, leaf: int, depth: int):
+def _fit(threshold: float, leaf: int, depth: int, single: bool):
     """Splits of up to ``depth`` levels for one node's sample: rows (node, split), none for a tight node."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sample = np.stack([np.frombuffer(v, np.float64) for v in pdf["vector"]])
+        sample = np.stack([_read(v, single) for v in pdf["vector"]])
         scale = float(pdf["n"].iloc[0]) / len(sample)
         spill = 0.8 * np.sqrt(2 * (1 - threshold)) / np.sqrt(sample.shape[1])
         nodes, splits, todo = [], [], [(int(pdf["node"].iloc[0]), np.arange(len(sample)), 0)]
@@ -68,14 +78,14 @@ def _fit(threshold: float, leaf: int, depth: int):
     return run
 
 
-def _descend(threshold: float):
+def _descend(threshold: float, single: bool):
     """(id, node, vector, tight) for (id, node, vector, nodes, splits): where a vector falls, on both sides within the spill."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            vectors = [np.frombuffer(v, np.float64) for v in batch.column(2).to_pylist()]
+            vectors = [_read(v, single) for v in batch.column(2).to_pylist()]
             out: list[tuple[int, int, bool]] = []
             _, first, inverse = np.unique(roots, return_index=True, return_inverse=True)
             for k, at in enumerate(first):
@@ -101,23 +111,31 @@ def _descend(threshold: float):
     return run
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for v in batch.column(2).to_pylist():
-            one = None
-            if v and None not in v:
-                x = np.array(v, np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    x = x / np.abs(x).max() if np.isfinite(x).all() and x.any() else None
-                one = None if x is None else _unit(x).tobytes()
-            out.append(one)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
+def _units(single: bool):
+    """(vec_id, label, unit, vector): the unit vector, null if there is none, and what is stored of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, kept = [], []
+            for v in batch.column(2).to_pylist():
+                one = two = None
+                if v and None not in v:
+                    x = np.array(v, np.float64)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        if np.isfinite(x).all() and x.any():
+                            one = _scaled(x).tobytes()
+                            two = x.astype(np.float32).tobytes() if single else one
+                units.append(one)
+                kept.append(two)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary()), pa.array(kept, pa.binary())], names=["vec_id", "label", "unit", "vector"])
+
+    return run
 
 
-def leaves(members: DataFrame, work: Scratch, threshold: float, trees: int, leaf: int) -> DataFrame:
-    """(id, key): the leaves of every tree that hold a member of (id, label, vector)."""
-    root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("label").cast("string"), F.length("vector")) for t in range(trees)]))
+def leaves(members: DataFrame, work: Scratch, threshold: float, trees: int, leaf: int, single: bool = False) -> DataFrame:
+    """(id, key): the leaves of every tree that hold a member of (id, label, vector); ``single`` says that vectors are stored as floats."""
+    size = F.length("vector") * (2 if single else 1)
+    root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("label").cast("string"), size) for t in range(trees)]))
     rows = members.select("id", root.alias("node"), "vector", F.lit(False).alias("tight"))
     done, old = [], []
     for turn in range(ROUNDS + 1):
@@ -131,10 +149,10 @@ def leaves(members: DataFrame, work: Scratch, threshold: float, trees: int, leaf
             break
         again = rows.select("id", "node", "vector").join(large, "node")
         few = F.pmod(F.xxhash64("id", "node"), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")) * F.lit(float(1 << 30))
-        model = again.filter(few).groupBy("node").applyInPandas(_fit(threshold, leaf, DEPTH), "root long, nodes array<long>, splits array<double>")
+        model = again.filter(few).groupBy("node").applyInPandas(_fit(threshold, leaf, DEPTH, single), "root long, nodes array<long>, splits array<double>")
         model = work.save(model.withColumnRenamed("root", "node"), f"model{turn}")
         placed = rows.select("id", "node", "vector").join(model, "node").select("id", "node", "vector", "nodes", "splits")
-        rows = placed.mapInArrow(_descend(threshold), "id long, node long, vector binary, tight boolean")
+        rows = placed.mapInArrow(_descend(threshold, single), "id long, node long, vector binary, tight boolean")
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
@@ -145,17 +163,18 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     """(vec_id, n_links, component_id, kept) of every vector; links join vectors of one label whose cosine reaches ``threshold``."""
     work = Scratch(vectors.sparkSession, "forest")
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
-    units = base.mapInArrow(_units, "vec_id long, label string, vector binary")
-    ident = F.when(F.col("vector").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "vector"))
-    units = work.save(units.withColumn("id", ident), "units")
+    single = base.schema["v"].dataType.elementType == T.FloatType()
+    units = base.mapInArrow(_units(single), "vec_id long, label string, unit binary, vector binary")
+    ident = F.when(F.col("unit").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "unit"))
+    units = work.save(units.withColumn("id", ident).drop("unit"), "units")
     members = units.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     members = work.save(members, "members")
-    keyed = leaves(members, work, threshold, trees, leaf)
+    keyed = leaves(members, work, threshold, trees, leaf, single)
 
-    size = members.agg(F.max(F.length("vector"))).first()[0] or 0
+    size = (members.agg(F.max(F.length("vector"))).first()[0] or 0) * (2 if single else 1)  # as prepared
 
     def prepare(payloads: pa.Array) -> list[np.ndarray]:
-        return [np.frombuffer(p, np.float64) for p in payloads.to_pylist()]
+        return [_read(p, single) for p in payloads.to_pylist()]
 
     def verify(rows: list[np.ndarray]) -> np.ndarray:
         matrix = np.stack(rows)
