@@ -17,6 +17,8 @@ _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Chunks that are encoded at once; the library's own results are large.
+LEARNED = 8000
 _END = b"\xff"  # no byte of UTF-8, so it can stand for the end of a word
 
 
@@ -59,18 +61,19 @@ class WordTokens:
     """Ids of a ``tokenizers`` file whose pieces never cross white space, by chunk and from memory.
 
     A chunk between white space has the same ids wherever it stands, so each is encoded once while it is
-    remembered; what is remembered is bounded, and on overflow only what the texts at hand use stays.
+    remembered.  What is remembered is bounded: two sets of about ``remember`` chunks, of which the older
+    is forgotten when the newer is full, but for what was used since.
     Chunks of plain letters are cut and merged by ranks (see ``merge_ranks``).  All others, and those
     that may hold a special token, go through the library whole, as do texts with the four separators
     on which the two notions of white space differ.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.model, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        self.model, self.known, self.older, self.remember = Tokenizer.from_file(path), {}, {}, remember
         self.cut, self.merge = regex.compile(PIECES).findall, None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)["model"]
@@ -108,10 +111,13 @@ class WordTokens:
         chunks = [x.split() for x in texts]
         used = set().union(*chunks)
         if len(self.known) > self.remember:
-            self.known = {c: self.known[c] for c in used if c in self.known}
-        new = list(used.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
+            self.older, self.known = self.known, {}
+        new = used.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(new - again)
+        for at in range(0, len(new), LEARNED):
+            self._learn(new[at : at + LEARNED])
         known, out = self.known, []
         for text, row in zip(texts, chunks):
             if any(c in text for c in _SPLIT_DIFFERS):
