@@ -5,6 +5,8 @@ import pyspark.sql.functions as F
 
 from qualiframe import io_queries
 from qualiframe.functions import expr as E
+from qualiframe.operators import profile
+from qualiframe.plans import engine
 
 
 def test_strip_and_marks_are_those_of_the_patterns(spark):
@@ -95,3 +97,24 @@ def test_rules_and_components_are_dealt_to_all_cores(spark, tmp_path):
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert queries.QUERIES["score_validity"](spark, str(tmp_path)).count() == 1
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() > 0
+
+
+def test_long_methods_are_left_to_split_projections(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    df = spark.createDataFrame([(i, f"A{i}", 1.0 * i) for i in range(30)], "_row_id long, code string, amount double")
+    engine.analyze(df).types  # noqa: B018
+    assert spark.conf.get(key) == "8000"
+    spark.conf.set(key, "20000")
+    engine.analyze(df).types  # noqa: B018
+    assert spark.conf.get(key) == "20000"
+    spark.conf.unset(key)
+
+
+def test_patterns_are_for_text_and_digits_for_numbers(spark):
+    df = spark.createDataFrame([(i, f" (1,{i:03})", 1000 + i) for i in range(30)], "_row_id long, amount string, number long")
+    rows, facts = profile.distinct_aggregates(profile.value_table(df), examples=False, text=["amount"])
+    told = {r["column"]: r for r in rows.collect()}
+    facts.unpersist()
+    assert told["amount"]["numeric"] == 1.0 and told["amount"]["digit_share"] is None
+    assert told["number"]["digit_share"] == 1.0 and told["number"]["shape_share"] is None and told["number"]["unique"] == 30
