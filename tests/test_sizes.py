@@ -6,7 +6,6 @@ import pyspark.sql.functions as F
 from qualiframe import io_queries
 from qualiframe.functions import expr as E
 from qualiframe.operators import profile
-from qualiframe.plans import engine
 
 
 def test_strip_and_marks_are_those_of_the_patterns(spark):
@@ -101,13 +100,12 @@ def test_rules_and_components_are_dealt_to_all_cores(spark, tmp_path):
 
 def test_long_methods_are_left_to_split_projections(spark):
     key = "spark.sql.codegen.hugeMethodLimit"
-    spark.conf.unset(key)
-    df = spark.createDataFrame([(i, f"A{i}", 1.0 * i) for i in range(30)], "_row_id long, code string, amount double")
-    engine.analyze(df).types  # noqa: B018
-    assert spark.conf.get(key) == "8000"
-    spark.conf.set(key, "20000")
-    engine.analyze(df).types  # noqa: B018
-    assert spark.conf.get(key) == "20000"
+    for chosen, inside in ((None, "8000"), ("20000", "20000")):
+        spark.conf.set(key, chosen) if chosen else spark.conf.unset(key)
+        before = spark.conf.get(key)
+        with profile.short_methods(spark):
+            assert spark.conf.get(key) == inside
+        assert spark.conf.get(key) == before
     spark.conf.unset(key)
 
 
