@@ -116,3 +116,28 @@ def test_patterns_are_for_text_and_digits_for_numbers(spark):
     facts.unpersist()
     assert told["amount"]["numeric"] == 1.0 and told["amount"]["digit_share"] is None
     assert told["number"]["digit_share"] == 1.0 and told["number"]["shape_share"] is None and told["number"]["unique"] == 30
+
+
+def test_patterns_are_tried_once_for_each_shape(spark):
+    """Values that differ in digits alone are one shape; a number keeps its zeros, as its number of digits asks for them."""
+    df = spark.createDataFrame([(i, f"user{i}@example.com", f"2024-01-{i % 28 + 1:02}" if i % 10 else "2024-13-45", 100 + i + (0.0 if i % 2 else 0.5)) for i in range(100, 900)], "_row_id long, mail string, day string, number double")
+    values = profile.value_table(df)
+    shapes = profile.value_shapes(values, ["mail", "day"]).groupBy("column").agg(F.count(F.lit(1)).alias("shapes"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    got = {r["column"]: r for r in shapes.collect()}
+    assert (got["mail"]["shapes"], got["mail"]["n"], got["mail"]["k"]) == (1, 800, 800)
+    assert (got["day"]["shapes"], got["day"]["n"], got["day"]["k"]) == (1, 800, 29)
+    assert got["number"]["k"] == 800 and got["number"]["shapes"] < 20
+    typed = profile.Typed(df)
+    types = {p.original_name: p for p in typed.profiles}
+    assert types["mail"].logical_type == "Email" and types["mail"].unique_count == 800
+    assert types["day"].logical_type == "Date stored as text" and types["day"].confidence == 0.9
+    typed.values.unpersist()
+
+
+def test_types_ask_for_no_figure_of_text(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, None, " ")], "_row_id long, a string, b string")
+    assert len(profile.type_aggregates(df)) == 1
+    typed = profile.Typed(df)
+    assert [(s["present"], s["written"]) for s in typed.stats.values()] == [(1, 1), (2, 1)]
+    assert [p.min_text_length for p in typed.figures()] == [1, 1]
+    typed.values.unpersist()
