@@ -141,3 +141,13 @@ def test_types_ask_for_no_figure_of_text(spark):
     assert [(s["present"], s["written"]) for s in typed.stats.values()] == [(1, 1), (2, 1)]
     assert [p.min_text_length for p in typed.figures()] == [1, 1]
     typed.values.unpersist()
+
+
+def test_rows_that_share_a_hash_are_stored_before_they_are_counted_and_shown(spark):
+    from qualiframe.operators import detect
+
+    df = spark.range(60).selectExpr("id as _row_id", "if(id < 50, cast(id as string), 'x') as a", "if(id = 59, double('NaN'), 1.0d) as b", "if(id < 55, null, 2) as c")
+    found = detect.duplicate_findings(df, 60)
+    assert "InMemoryRelation" in found._jdf.queryExecution().withCachedData().toString()
+    assert sorted(r["row_index"] for r in found.collect()) == [51, 52, 53, 54, 56, 57, 58]
+    assert detect.duplicate_findings(df.filter("_row_id < 50"), 50) is None
