@@ -41,3 +41,17 @@ def test_groups_of_issues_are_counted_not_collected(spark):
     assert "collect_" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, overrides.group_rows(issues).collect())) == [("a", "missing_null", 1), ("a", "missing_null", 3)]
     assert [r["row_indices"] for r in overrides.issue_groups(issues).collect()] == [[1, 3], []]
+
+
+def test_groups_have_the_profiles_of_their_columns(spark):
+    """Category, action, effective type and confidence; larger groups, by issues, first."""
+    from qualiframe.operators import overrides
+
+    one, two = ("Missing Value", "Look at it."), ("Numeric", "Decide.")
+    rows = [("a", "missing_null", "Low", 1, *one), ("a", "missing_null", "Low", 2, *one), ("b", "negative_value", "Low", 5, *two), ("b", "negative_value", "Low", 5, *two), ("b", "negative_value", "Low", 5, *two), ("c", "missing_null", "High", 7, *one), ("", "missing_null", "High", 7, *one)]
+    issues = spark.createDataFrame(rows, "column_name string, issue_type string, severity string, row_index long, issue_category string, recommended_action string")
+    profiles = spark.createDataFrame([("a", "Free text", 0.5), ("b", "Decimal", 1.0), ("z", "Empty", 1.0)], "original_name string, effective_logical_type string, confidence double")
+    got = overrides.group_counts(issues, profiles=profiles)
+    assert got.columns[7:] == ["issue_category", "recommended_action", "effective_logical_type", "inference_confidence"]
+    assert [tuple(r) for r in got.collect()] == [
+        ("c", "missing_null", "High", 1, 1, 7, 7, *one, "Unknown", 0.0), ("b", "negative_value", "Low", 3, 1, 5, 5, *two, "Decimal", 1.0), ("a", "missing_null", "Low", 2, 2, 1, 2, *one, "Free text", 0.5)]
