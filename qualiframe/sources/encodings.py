@@ -1,11 +1,11 @@
 """Encodings of text files, told from all of their bytes.
 
-One distributed pass per set of files counts, for each file, pairs of neighbouring bytes of words that
-have a byte above 127 (at most 256 x 256 rows a file), lines that break the rules of an encoding of
+One distributed pass per set of files counts, for each file, pairs of neighbouring bytes of words, one
+of them above 127 (at most 256 x 256 rows a file), lines that break the rules of an encoding of
 several bytes, and zero bytes.  A code page is then judged by what the pairs would say in it: letters
-of one language cost little, by how common they are there, while signs inside of words, letters of
-two scripts side by side and capitals after small letters cost much.  The cheapest page wins; its
-confidence is the share of the worst possible cost that it saves.
+of one language, or of those that a text mixes, cost little, by how common they are there, while signs
+inside of words, letters of two scripts side by side and capitals after small letters cost much.  The
+cheapest page wins; its confidence is the share of the worst possible cost that it saves.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ WIDE = {
 #: Bits: a letter that no language of the page has, a sign inside of a word, a control character, two scripts, a capital after a small letter, accents side by side, a rarer page.
 STRANGE, SIGN, CONTROL, MIXED, CAPITAL, BESIDE, RARE = 8.0, 10.0, 12.0, 7.0, 5.0, 2.0, 24.0
 UNSURE = 0.5
+#: Steps that fit the shares of languages in a text.
+ROUNDS = 25
 
 
 @lru_cache(maxsize=64)
@@ -77,15 +79,23 @@ def _ranks(language: str) -> dict[str, float]:
 
 
 def _letter_costs(chars: set[str], counts: dict[str, int]) -> dict[str, float]:
-    """Cost of each letter in the language that makes the whole cheapest."""
-    best, least = {}, math.inf
-    for language in LETTERS:
-        ranks = _ranks(language)
-        costs = {c: ranks.get(c, ranks.get(c.lower(), STRANGE - 1.5) + 1.5) for c in chars}
-        total = sum(costs[c] * counts[c] for c in chars)
-        if total < least:
-            best, least = costs, total
-    return best
+    """Cost of each letter in the language, or the mix of languages, that makes the whole cheapest; texts quote words of other languages."""
+    every = {c: [_ranks(x).get(c, _ranks(x).get(c.lower(), STRANGE - 1.5) + 1.5) for x in LETTERS] for c in chars}
+    totals = [sum(every[c][i] * counts[c] for c in chars) for i in range(len(LETTERS))]
+    best = min(range(len(LETTERS)), key=totals.__getitem__)
+    alone = {c: costs[best] for c, costs in every.items()}
+    # shares of the languages by expectation and maximization, from equal ones on
+    odds = {c: [2.0**-x for x in costs] for c, costs in every.items()}
+    shares, n = [1 / len(LETTERS)] * len(LETTERS), sum(counts[c] for c in chars)
+    for _ in range(ROUNDS if chars else 0):
+        parts = [0.0] * len(LETTERS)
+        for c, odd in odds.items():
+            each = [s * o for s, o in zip(shares, odd)]
+            times = counts[c] / sum(each)
+            parts = [p + times * x for p, x in zip(parts, each)]
+        shares = [p / n for p in parts]
+    mixed = {c: -math.log2(sum(s * o for s, o in zip(shares, odd))) for c, odd in odds.items()}
+    return min(alone, mixed, key=lambda costs: sum(costs[c] * counts[c] for c in chars))
 
 
 def page_cost(pairs: dict[tuple[int, int], int], encoding: str) -> float:
@@ -154,26 +164,30 @@ def detect(spark: SparkSession, path: str | list[str], by_folder: bool = False)
     """
     lines, raw, text = _lines(spark, path)
     file = (F.regexp_replace("file", "/[^/]*$", "") if by_folder else F.lit("")).alias("file")
-    facts, wide = {"invalid": F.count_if(~F.is_valid_utf8(raw))}, {}
-    for e, (whole, lead) in WIDE.items():
-        wide[f"broken {e}"] = F.count_if(~text.rlike(rf"^(?:{whole})*+$"))
-        marked = F.regexp_replace(text, r"([\x81-\xfe][\x40-\xfe])", "$1\x00")  # pairs of bytes from the left, each with an end
-        wide[f"common {e}"] = F.sum(F.regexp_count(marked, F.lit(rf"{lead}[\x40-\xfe]\x00")))
-    facts["zeros"] = F.sum(F.regexp_count(text, F.lit(r"\x00")))
-    facts["size"] = F.sum(F.length(text))
+    facts = {"invalid": F.count_if(~F.is_valid_utf8(raw)), "lines": F.count(F.lit(1)), "size": F.sum(F.octet_length(raw))}
+    facts["zeros"] = facts["size"] - F.sum(F.octet_length(F.replace(raw, F.lit("\x00"), F.lit(""))))
     # lines end at byte 10, whose zero byte comes after it (little end first) or before
-    facts["not_after"] = F.count_if(~text.startswith("\x00"))
-    facts["not_before"] = F.count_if(~text.endswith("\x00"))
+    facts["not_after"] = F.count_if(~raw.startswith("\x00"))
+    facts["not_before"] = F.count_if(~raw.endswith("\x00"))
     facts["files"] = F.count_distinct("file")
     told = {r["name"]: r for r in lines.groupBy(file.alias("name")).agg(*[v.alias(k) for k, v in facts.items()]).collect()}
     unsure = [n for n, r in told.items() if r["invalid"] and not r["zeros"]]
+    broken, common = {}, {}
     if unsure:  # only lines with a byte above 127, of files that are no utf-8, can tell code pages and encodings of several bytes apart
-        lines = lines.filter(text.rlike(r"[\x80-\xff]") & file.isin(*unsure))
-        more = {r["name"]: r for r in lines.groupBy(file.alias("name")).agg(*[v.alias(k) for k, v in wide.items()]).collect()}
-    words = F.explode(F.regexp_extract_all(text, F.lit(r"([A-Za-z\x80-\xff]*[\x80-\xff][A-Za-z\x80-\xff]*)"), 1))
-    words = lines.select(file, words.alias("word")).withColumn("word", F.concat(F.lit(" "), "word", F.lit(" ")))
+        lines, text = lines.select(file, text.alias("text")), F.col("text")
+        lines = lines.filter(text.rlike(r"[\x80-\xff]") & F.col("file").isin(*unsure))
+        fits = [F.count_if(~text.rlike(rf"^(?:{whole})*+$")).alias(e) for e, (whole, _) in WIDE.items()]
+        broken = {r["file"]: r for r in lines.groupBy("file").agg(*fits).collect()}
+        whole = [e for e in WIDE if any(not r[e] for r in broken.values())]
+        if whole:
+            marked = F.regexp_replace(text, r"([\x81-\xfe][\x40-\xfe])", "$1\x00")  # pairs of bytes from the left, each with an end
+            leads = [F.sum(F.regexp_count(marked, F.lit(rf"{WIDE[e][1]}[\x40-\xfe]\x00"))).alias(e) for e in whole]
+            common = {r["file"]: r.asDict() for r in lines.groupBy("file").agg(*leads).collect()}
+    # bytes above 127 with the letters beside them, as what two other bytes say is the same in all pages; equal ones are cut into pairs once
+    words = F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z]?[\x80-\xff](?:[A-Za-z]?[\x80-\xff])*+[A-Za-z]?"), 0))
+    words = lines.select("file", words.alias("word")).groupBy("file", "word").count().withColumn("word", F.concat(F.lit(" "), "word", F.lit(" ")))
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
-    counted = words.select("file", pairs.alias("pair")).groupBy("file", "pair").count() if unsure else None
+    counted = words.select("file", pairs.alias("pair"), "count").groupBy("file", "pair").agg(F.sum("count").alias("count")) if unsure else None
     of: dict[str, dict[tuple[int, int], int]] = defaultdict(dict)
     for r in counted.collect() if counted is not None else ():  # at most 65,536 rows a file
         of[r["file"]][tuple(map(ord, r["pair"]))] = r["count"]
@@ -181,10 +195,10 @@ def detect(spark: SparkSession, path: str | list[str], by_folder: bool = False)
     for name, r in told.items():
         if r["zeros"]:
             little = r["not_after"] >= r["files"] and r["not_after"] - r["files"] <= r["not_before"]
-            out[name] = (f"utf-{32 if r['zeros'] > 0.62 * r['size'] else 16}-{'le' if little else 'be'}", 1.0)
+            out[name] = (f"utf-{32 if r['zeros'] > 0.62 * (r['size'] + r['lines']) else 16}-{'le' if little else 'be'}", 1.0)
         elif not r["invalid"]:
             out[name] = ("utf-8", 1.0)
         else:
             high = max(1, sum(n for (_, b), n in of[name].items() if b >= 128))
-            out[name] = judge(of[name], {e: more[name][f"broken {e}"] for e in WIDE}, {e: min(1.0, 2 * (more[name][f"common {e}"] or 0) / high) for e in WIDE})
+            out[name] = judge(of[name], {e: broken[name][e] for e in WIDE}, {e: min(1.0, 2 * (common.get(name, {}).get(e) or 0) / high) for e in WIDE})
     return out

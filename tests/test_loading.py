@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
-from qualiframe.sources import loader
+from qualiframe.sources import encodings, loader
 
 
 def write(path, data):
@@ -194,3 +194,20 @@ def test_storage_types_of_a_wide_table(spark):
     edges = spark.createDataFrame([("9223372036854775808", "1e400", "inf", "", None)], "big string, huge string, inf string, blank string, none string")
     assert loader.storage_types(edges) == {"big": "double", "huge": "double", "inf": "double"}
     assert loader.storage_types(edges.limit(0)) == {} and loader.infer_storage(edges.select()).columns == []
+
+
+def test_words_of_several_languages_do_not_make_a_rarer_page():
+    """Judged by one language alone, these words look like Polish in cp852."""
+    for encoding in ("cp850", "mac-roman"):
+        pairs: dict[tuple[int, int], int] = {}
+        for word, n in (("forêt", 50), ("León", 50), ("año", 15), ("été", 5)):
+            said = f" {word} ".encode(encoding)
+            for pair in zip(said, said[1:]):
+                pairs[pair] = pairs.get(pair, 0) + n
+        assert encodings.judge(pairs, dict.fromkeys(encodings.WIDE, 1), dict.fromkeys(encodings.WIDE, 0.0))[0] == encoding
+
+
+def test_lines_of_no_or_one_letter_are_utf_16_not_32(spark, tmp_path):
+    for name, text in (("empty", "\n" * 40), ("short", "a\n" * 40)):
+        for encoding in ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be"):
+            assert encodings.detect(spark, write(tmp_path / f"{name}-{encoding}.csv", text.encode(encoding)))[""][0] == encoding
