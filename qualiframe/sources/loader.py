@@ -258,7 +258,9 @@ def as_page(df: DataFrame, page: Sequence[str | None]) -> DataFrame:
     if not pairs:
         return df
     a, z = ("".join(x) for x in zip(*pairs))
-    return df.select(*[F.translate(F.col(f"`{f.name}`"), a, z).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+    other = "[" + "".join(f"\\x{ord(c):02x}" for c in a) + "]"
+    shown = lambda c: F.when(c.rlike(other), F.translate(c, a, z)).otherwise(c)  # noqa: E731  most cells have none of these, and to look is cheaper
+    return df.select(*[shown(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def _parsed(encoding: str, delimiter: str, width: int, header: bool):

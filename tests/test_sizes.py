@@ -42,6 +42,19 @@ def test_decode_of_null_texts_and_languages(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_decode_of_languages_with_few_letters(spark, tmp_path, monkeypatch):
+    """One letter does not tell an encoding; the files of one encoding are there at a time, and none is left."""
+    rows = [(1, "voilà un caf\u00e9 noir", "fr"), (2, "plain", "en"), (3, "", "xx"), (4, "Ü", "de"), (5, "Ü", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(io_queries, "_place", lambda s: f"file://{tmp_path}/place")
+    there, read_back = [], io_queries._read_back
+    monkeypatch.setattr(io_queries, "_read_back", lambda *a: there.append(sorted(p.name for p in (tmp_path / "place").iterdir())) or read_back(*a))
+    got = io_queries.QUERIES["src_decode"](spark, str(tmp_path)).collect()
+    want = {(lang, e, n, n) for lang, n in (("fr", 1), ("en", 1), ("xx", 1), ("de", 2)) for e in io_queries._CODED}
+    assert {(r["lang"], r["written"], r["n"], r["same"]) for r in got} == want and len(got) == len(want)
+    assert there == [sorted(["plain", "had", e]) for e in io_queries._CODED] and not (tmp_path / "place").exists()
+
+
 def test_scores_tell_rows_apart_for_uniqueness_only(spark, tmp_path):
     """The distinct rows are those of one component, so what is grouped by row is small."""
     from qualiframe.operators import score
