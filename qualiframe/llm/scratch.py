@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 #: Most bytes of a stored (compressed) table that is sent to every executor.
 BROADCAST_BYTES = 8 << 20
 
+#: A writer looks at the size of its pages and row groups after 100 rows only, and a reader holds all rows of a
+#: group, or 4096, decoded at once: with rows of megabytes that grows with what a task has. So sizes are looked at row by row.
+LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.size": 8 << 20}
+
 _OWN: dict[str, str] = {}
 
 
@@ -51,10 +55,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` once and return it as a read of that table."""
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", large_rows: bool = False) -> DataFrame:
+        """Write ``df`` once and return it as a read of that table; ``large_rows`` are of megabytes each."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        df.write.mode("overwrite").options(compression=codec, **LARGE_ROWS if large_rows else {}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def stored_bytes(self, name: str) -> int:

@@ -629,14 +629,14 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text
     """
     work = Scratch(docs.sparkSession, "suffixes")
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chunks = work.save(base.mapInArrow(_chunks(chunk), "chunk long, ids binary, offsets binary, data binary"), "chunks")
+    chunks = work.save(base.mapInArrow(_chunks(chunk), "chunk long, ids binary, offsets binary, data binary"), "chunks", large_rows=True)
     size, n_chunks = chunks.agg(F.sum(F.length("data")), F.count(F.lit(1))).first()
     shares = max(32, math.ceil((size or 0) / share))
     parts = max(32, math.ceil(shares / HASH_SHARES))
     hashes = chunks.mapInArrow(_send_hashes(span, parts), "t long, chunk long, hashes binary")
     bits = work.save(hashes.groupBy("t").applyInArrow(_repeated(hot), "chunk long, t long, bits binary, hot binary"), "bits")
     any_hot = not bits.filter("hot is not null").isEmpty()
-    told = work.save(bits.groupBy("chunk").agg(F.collect_list(F.struct("t", "bits", "hot")).alias("told")), "told")
+    told = work.save(bits.groupBy("chunk").agg(F.collect_list(F.struct("t", "bits", "hot")).alias("told")), "told", large_rows=True)
     work.drop("bits")
     known = chunks.join(work.broadcast_if_small(told, "told"), "chunk", "left").select("chunk", "ids", "offsets", "data", "told")
 
@@ -647,14 +647,14 @@ def remove_repeats(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text
         unit //= step
         runs = runs.groupBy("t", "g").applyInArrow(_forwarded(span, unit, step), RUNS)
     found = work.save(runs.groupBy("t").applyInArrow(_answers(span), "chunk long, nth binary, first binary, last binary, doc binary"), "found")
-    answers = work.save(found.groupBy("chunk").agg(F.collect_list(F.struct("nth", "first", "last", "doc")).alias("answers")), "answers")
+    answers = work.save(found.groupBy("chunk").agg(F.collect_list(F.struct("nth", "first", "last", "doc")).alias("answers")), "answers", large_rows=True)
     work.drop("found")
     if any_hot:
         windows = work.save(known.filter(F.exists("told", lambda x: x["hot"].isNotNull())).mapInArrow(_send_windows(span, parts), "chunk long, h1 long, h2 long, low long, high long"), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h1", "h2", "low")
         least = work.save(least, "least")
         hit = windows.withColumnRenamed("low", "own").join(least, ["h1", "h2"]).filter("low < high")
-        hot_answers = work.save(hit.groupBy("chunk").agg(F.collect_list(F.struct("h1", "h2", "low")).alias("windows")), "hot_answers")
+        hot_answers = work.save(hit.groupBy("chunk").agg(F.collect_list(F.struct("h1", "h2", "low")).alias("windows")), "hot_answers", large_rows=True)
         work.drop("windows", "least")
         answers = answers.join(hot_answers, "chunk", "full").select("chunk", "answers", "windows")
     else:
