@@ -566,9 +566,13 @@ def _send_windows(span: int, parts: int):
 def _remove_sorted(edge: np.ndarray, ids, offsets, data, told, answers: pa.Array, span: int, shares: int, parts: int) -> None:
     own = Suffixes(ids, offsets, data, told, span, shares, parts)
     begins = np.concatenate([[0], own.ends[:-1]])
-    # An answer of another share is another row; each is small.
-    for one in range(len(answers)):
-        nth, first, last, doc = (np.frombuffer(answers.field(k)[one].as_buffer(), kind) for k, kind in (("nth", np.int32), ("first", np.uint8), ("last", np.uint8), ("doc", np.int64)))
+    kinds = (("nth", np.int32), ("first", np.uint8), ("last", np.uint8), ("doc", np.int64))
+    parts = [[np.frombuffer(x.as_buffer(), kind) for x in answers.field(k)] for k, kind in kinds]
+    # Answers of another share are another row; rows are the smaller the more shares there are, so some are taken at once.
+    ends, lo = np.cumsum([len(x) for x in parts[0]]), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RESOLVED, "right")))
+        nth, first, last, doc = (np.concatenate(x[lo:hi]) for x in parts)
         times = own.ends[nth] - begins[nth]
         answer = np.repeat(np.arange(len(nth)), times)
         place = np.repeat(begins[nth] - (np.cumsum(times) - times), times) + np.arange(len(answer))
@@ -576,6 +580,7 @@ def _remove_sorted(edge: np.ndarray, ids, offsets, data, told, answers: pa.Array
         answer, anchor = answer[hit], own.anchors[place[hit]]
         np.add.at(edge, anchor - last[answer], 1)
         np.add.at(edge, anchor - first[answer] + span, -1)
+        lo = hi
 
 
 def _remove_hot(edge: np.ndarray, ids, offsets, data, told, answers: pa.Array, span: int, parts: int) -> None:
